@@ -43,37 +43,43 @@ def packed_values(cell: Column, comma: str = "alone", names: bool = False) -> Co
     """
     square = cell.rlike(r"(?s)\A\s*\[.*\]\s*\z")
     bare = F.regexp_replace(cell, r"(?s)\A\s*(?:\[(.*)\]|\{(.*)\})\s*\z", "$1$2")
-    marked = F.regexp_replace(bare, _quoted('"'), rf'{_MARK}"$1{_MARK}')
-    marked = F.when(
-        F.instr(marked, "'") > 0, F.regexp_replace(marked, _quoted("'"), rf"{_MARK}'$1{_MARK}")
-    ).otherwise(marked)
+    marked = _let(bare, lambda c: F.when(F.instr(c, '"') > 0, F.regexp_replace(c, _quoted('"'), rf'{_MARK}"$1{_MARK}')).otherwise(c))
+    marked = _let(marked, lambda c: F.when(F.instr(c, "'") > 0, F.regexp_replace(c, _quoted("'"), rf"{_MARK}'$1{_MARK}")).otherwise(c))
     if names:
         marked = F.regexp_replace(
             marked, rf",(?=\s*(?:(?:\p{{Lu}}\p{{M}}*\.[ -]?)+|Jr\.)\s*(?:\z|[,{HARD}{_MARK}]|&))", _KEPT
         )
-    pieces = F.split(marked, _MARK, -1)
     anything = rf"[,{HARD}]" + (r"|\s+(?:&|and)\s+" if names else "")
-    if comma == "always":
-        delimiter = F.lit(anything)
-    else:
+
+    def delimiter(pieces: Column) -> Column:
+        if comma == "always":
+            return F.lit(anything)
         other = F.exists(_evens(pieces), lambda p: p.rlike(f"[{HARD}]"))
-        delimiter = F.when(square | ~other, F.lit(anything)).otherwise(F.lit(f"[{HARD}]"))
+        return F.when(square | ~other, F.lit(anything)).otherwise(F.lit(f"[{HARD}]"))
 
-    def divide(piece: Column, i: Column) -> Column:
+    def divide(piece: Column, i: Column, at: Column) -> Column:
         literal = F.regexp_replace(F.substr(piece, F.lit(2)), r"\\([\"'\\])", "$1")
         doubled = F.when(F.startswith(piece, F.lit('"')), F.replace(literal, F.lit('""'), F.lit('"'))).otherwise(
             F.replace(literal, F.lit("''"), F.lit("'"))
         )
-        parts = F.transform(F.split(piece, delimiter, -1), lambda v: F.regexp_replace(v, _LIST_MARK, ""))
+        parts = F.transform(F.split(piece, at, -1), lambda v: F.regexp_replace(v, _LIST_MARK, ""))
         return F.when(i % 2 == 1, F.array(doubled)).otherwise(parts)
 
-    values = F.flatten(F.transform(pieces, divide))
+    values = _let(
+        F.split(marked, _MARK, -1),
+        lambda pieces: _let(delimiter(pieces), lambda at: F.flatten(F.transform(pieces, lambda p, i: divide(p, i, at)))),
+    )
     if names:
         values = F.transform(values, lambda v: F.replace(v, F.lit(_KEPT), F.lit(",")))
     values = F.transform(values, lambda v: F.regexp_replace(v, r"\A[\s\u00a0]+|[\s\u00a0]+\z", ""))
     return F.when(cell.isNotNull(), F.filter(values, lambda v: v != ""))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 _LIST_MARK = r"\A\s*(?:[-*‣◦▪●]\s+)"
 
 
