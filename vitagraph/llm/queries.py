@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitagraph.llm import bpe, packing, pairs, terms
+from vitagraph.llm import bpe, packing, pairs, sentences, terms
 from vitagraph.operators.packed import FIELDS, packed_values
 from vitagraph.sources.tables import latest_by, plain_term, table
 
@@ -45,6 +45,13 @@ def p2_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _term_counts(spark, sf_dir).select("field_name", "term", "occurrences", "records", "mark")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every case text and of every sentence cell."""
+    cases = sentences.split_sentences(table(spark, sf_dir, "cases"), ["row_id"], "case_text")
+    cells = sentences.split_sentences(table(spark, sf_dir, "v2_edges_gemini"), ["row_id"], "sentence")
+    return cases.select(F.lit("cases").alias("src"), "*").unionByName(cells.select(F.lit("v2_edges_gemini").alias("src"), "*"))
+
+
 def _baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     mesh = _mesh_terms(spark, sf_dir).select(F.lit("mesh_terms").alias("field_name"), F.col("article_id").alias("basket"), F.explode("terms").alias("item"))
     edges = table(spark, sf_dir, "v1_edges").where(F.col("source_id").rlike(r"\AP[0-9]+\z"))
@@ -72,6 +79,7 @@ def p9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_term_counts": p2_term_counts,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p8_ids": p8_ids,
     "p9_packing": p9_packing,
