@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitagraph.operators.packed import FIELDS, split_packed
+from vitagraph.operators.units import in_tenths, measured_values
 from vitagraph.sources.tables import table
 
 
@@ -20,4 +21,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found}
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every measured value of case texts and nodes, in tenths of the common unit."""
+    values = measured_values(
+        table(spark, sf_dir, "cases"), table(spark, sf_dir, "v4_nodes"), table(spark, sf_dir, "clinical_measures")
+    )
+    return values.select("src", "row_id", "measure", in_tenths(F.col("value")).alias("tenths")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
