@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitagraph.sources.tables import checkpointed
+
 #: At most this many heavy items in each field.
 HEAVY = 512
 #: Items of one block of a large basket; larger baskets are counted block by block.
@@ -122,7 +124,8 @@ def pair_counts(baskets: DataFrame, group: str, basket: str, item: str, least: i
         n_baskets (non-empty baskets of the group) and lift = joint * n_baskets /
         (n_lo * n_hi). An empty table gives no rows.
     """
-    rows = (
+    # written once: every branch below reads it again
+    rows = checkpointed(
         baskets.select(F.col(group).alias("g"), F.col(basket).cast("string").alias("k"), F.col(item).alias("item"))
         .where("g is not null and k is not null and item is not null")
         .distinct()
@@ -131,7 +134,7 @@ def pair_counts(baskets: DataFrame, group: str, basket: str, item: str, least: i
     per_group = (
         rows.groupBy("g", "k").agg(F.count("*").alias("places")).groupBy("g").agg(F.count("*").alias("n_baskets"), F.sum("places").alias("places"))
     )
-    items = (
+    items = checkpointed(
         items.where(F.col("n") >= least)
         .join(F.broadcast(per_group), "g")  # a row for each field, which are named in the code
         .select("g", "item", "n", F.xxhash64("g", "item").alias("id"), (F.col("n") * HEAVY > F.col("places")).alias("is_heavy"))
