@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitagraph.llm import bpe, packing, pairs, sentences, terms
+from vitagraph.llm import bpe, groups, lookalike, overlap, packing, pairs, sentences, terms
 from vitagraph.operators.packed import FIELDS, packed_values
 from vitagraph.sources.tables import latest_by, plain_term, table
 
@@ -64,6 +64,68 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.where(pairs.above_chance(3)).select("field_name", "item_lo", "item_hi")
 
 
+def _split_name(c: Column) -> Column:
+    """train, validation or test, whatever the spelling; else null."""
+    plain = F.lower(F.trim(c))
+    return (
+        F.when(plain.rlike(r"\Atrain"), "train").when(plain.rlike(r"\A(?:val|dev)"), "validation").when(plain.rlike(r"\Atest"), "test")
+    )
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current row of each case: case_id, article_id, split."""
+    current = latest_by(table(spark, sf_dir, "split_manifest"), "case_id", "article_id", "split")
+    return current.select("case_id", "article_id", _split_name(F.col("split")).alias("split"))
+
+
+def _split_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = table(spark, sf_dir, "cases").select("case_id", "article_id", "case_text")
+    return cases.join(_manifest(spark, sf_dir).where("split is not null").select("case_id", "split"), "case_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of validation or test whose text stands in a training case too."""
+    found = overlap.cross_split_pairs(_split_cases(spark, sf_dir), "case_id", "case_text", "split")
+    lo, hi = F.least("eval_key", "train_key"), F.greatest("eval_key", "train_key")
+    return found.select(lo.alias("case_lo"), hi.alias("case_hi")).distinct()
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping cases per split and article."""
+    rows = _split_cases(spark, sf_dir)
+    found = overlap.cross_split_pairs(rows, "case_id", "case_text", "split")
+    return overlap.overlap_report(found, rows, "case_id", "split", "article_id")
+
+
+def _article_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """case_id, split and group_id of the cases of the manifest."""
+    digits = F.regexp_extract("article_id", r"([0-9]+)\s*\z", 1)
+    rows = _manifest(spark, sf_dir).select(
+        "case_id",
+        "split",
+        F.regexp_replace("case_id", r"_[^_]*\z", "").alias("own"),
+        F.when(digits != "", F.concat(F.lit("PMC"), digits)).alias("named"),
+    )
+    links = rows.where("named is not null and named <> own").select(F.col("own").alias("a"), F.col("named").alias("b"))
+    labels, _ = groups.spanning_forest(links)
+    return rows.join(labels, rows["own"] == labels["node"], "left").select("case_id", "split", F.coalesce("root", "own").alias("group_id"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cases of the groups that the manifest tears apart."""
+    rows = _article_groups(spark, sf_dir)
+    torn = rows.groupBy("group_id").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").select("group_id")
+    return rows.join(torn, "group_id", "left_semi").select("case_id", "group_id")
+
+
+def p7_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A common split for all cases of each group: 80, 10 and 10 per cent."""
+    rows = _article_groups(spark, sf_dir)
+    sizes = rows.groupBy("group_id").agg(F.count("*").alias("records"))
+    dealt = groups.deal_groups(sizes, {"train": 0.8, "validation": 0.1, "test": 0.1})
+    return rows.drop("split").join(dealt.select("group_id", "split"), "group_id").select("case_id", "group_id", "split")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode_documents(bpe.spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -76,11 +138,21 @@ def p9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sized, "doc_id", F.col("n_tokens"), table(spark, sf_dir, "pack_sizes"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that look the same and are not the same string."""
+    return lookalike.look_alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_term_counts": p2_term_counts,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_report": p6_report,
+    "p7_found": p7_found,
+    "p7_splits": p7_splits,
     "p8_ids": p8_ids,
     "p9_packing": p9_packing,
+    "p10_found": p10_found,
 }
