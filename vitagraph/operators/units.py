@@ -79,6 +79,9 @@ _NUMBER = rf"(?:\d{{1,3}}(?:[{_THIN}]\d{{3}})+(?:[.,]\d+)?(?![\d])|\d+(?:[.,]\d+
 _SPELLED = rf"(?:{_NUMBER}|\b(?:{'|'.join(_WORDS)})\b)"
 _NOT_SPACED = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
 
+_WORD_SIGN = re.compile(r"(?![฀-๿぀-ヿ㐀-鿿])\w")
+_NAME_END = re.compile(r"(?:e?s)?(?!(?![฀-๿぀-ヿ㐀-鿿])\w)")
+
 
 def plain_unit(unit: str) -> str:
     """A unit's spelling without blanks, in lower case, one sign for micro and degree."""
@@ -235,9 +238,9 @@ class TextMeasures:
         for last, name in self.names.iter(lower):
             start, end = last + 1 - len(name), last + 1
             if not _NOT_SPACED.match(name):
-                if start and (lower[start - 1].isalnum() or lower[start - 1] == "_"):
+                if start and _WORD_SIGN.match(lower, start - 1):
                     continue
-                tail = re.compile(r"(?:e?s)?(?!\w)").match(lower, end)
+                tail = _NAME_END.match(lower, end)
                 if tail is None:
                     continue
                 end = tail.end()
