@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from vitagraph.plans import general_problems
+from vitagraph.plans import clinical_queries, general_problems, graph_queries, text_queries
 
-FLAGSHIP = "p3_found"
+FLAGSHIP = "entity_types"
+_WITH_ORACLE = {**text_queries.QUERIES, **graph_queries.QUERIES, **clinical_queries.QUERIES}
 
 
 def queries() -> dict:
-    return dict(general_problems.QUERIES)
+    """The core's queries; the problems' come first."""
+    return {**general_problems.QUERIES, **{k: f for k, (f, _) in _WITH_ORACLE.items()}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for DuckDB of the queries that have one."""
+    return {k: sql for k, (_, sql) in _WITH_ORACLE.items() if sql}
