@@ -22,10 +22,14 @@ _END = rf"(?={_BLANK}(?:\z|[\]}},{HARD}]))"
 _START = rf"(?<=^{_BLANK}|[\[{{,{HARD}]{_BLANK}|[ ]&[ ]|[ ]and[ ])"
 
 
-def _quoted(q: str) -> str:
-    """A quoted whole value: unrolled, so that long cells need no recursion."""
+def _value_in(q: str) -> str:
+    """A value in quotes ``q``: unrolled, so that long cells need no recursion."""
     plain, inner = rf"[^{q}\\]*+", rf"(?:\\.|{q}{q}|{q}(?!{_BLANK}(?:\z|[\]}},{HARD}])))"
-    return rf"(?s){_START}{q}({plain}(?:{inner}{plain})*+){q}{_END}"
+    return rf"{q}{plain}(?:{inner}{plain})*+{q}"
+
+
+#: A quoted whole value, in one pass over both kinds of quotes.
+_QUOTED = rf"(?s){_START}(?:{_value_in(chr(34))}|{_value_in(chr(39))}){_END}"
 
 
 def packed_values(cell: Column, comma: str = "alone", names: bool = False) -> Column:
@@ -43,8 +47,7 @@ def packed_values(cell: Column, comma: str = "alone", names: bool = False) -> Co
     """
     square = cell.rlike(r"(?s)\A\s*\[.*\]\s*\z")
     bare = F.regexp_replace(cell, r"(?s)\A\s*(?:\[(.*)\]|\{(.*)\})\s*\z", "$1$2")
-    marked = _let(bare, lambda c: F.when(F.instr(c, '"') > 0, F.regexp_replace(c, _quoted('"'), rf'{_MARK}"$1{_MARK}')).otherwise(c))
-    marked = _let(marked, lambda c: F.when(F.instr(c, "'") > 0, F.regexp_replace(c, _quoted("'"), rf"{_MARK}'$1{_MARK}")).otherwise(c))
+    marked = _let(bare, lambda c: F.when(c.rlike("[\"']"), F.regexp_replace(c, _QUOTED, f"{_MARK}$0{_MARK}")).otherwise(c))
     if names:
         marked = F.regexp_replace(
             marked, rf",(?=\s*(?:(?:\p{{Lu}}\p{{M}}*\.[ -]?)+|Jr\.)\s*(?:\z|[,{HARD}{_MARK}]|&))", _KEPT
@@ -58,7 +61,7 @@ def packed_values(cell: Column, comma: str = "alone", names: bool = False) -> Co
         return F.when(square | ~other, F.lit(anything)).otherwise(F.lit(f"[{HARD}]"))
 
     def divide(piece: Column, i: Column, at: Column) -> Column:
-        literal = F.regexp_replace(F.substr(piece, F.lit(2)), r"\\([\"'\\])", "$1")
+        literal = F.regexp_replace(F.substr(piece, F.lit(2), F.length(piece) - 2), r"\\([\"'\\])", "$1")
         doubled = F.when(F.startswith(piece, F.lit('"')), F.replace(literal, F.lit('""'), F.lit('"'))).otherwise(
             F.replace(literal, F.lit("''"), F.lit("'"))
         )
