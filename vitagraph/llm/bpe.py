@@ -157,7 +157,7 @@ class SegmentTreeBpe:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; an empty text has none."""
         cut = [self.words(t) for t in texts]
-        counts = np.array([len(c) for c in cut])
+        counts = np.array([len(c) for c in cut], np.int64)
         code = self.codes([w for c in cut for w in c])
         lengths = (self.ends - self.starts)[code]
         total = int(lengths.sum())
@@ -172,7 +172,7 @@ class SegmentTreeBpe:
         cut = [self.words(t) for t in texts]
         code = self.codes([w for c in cut for w in c])
         sums = np.zeros(len(texts), np.int64)
-        np.add.at(sums, np.repeat(np.arange(len(texts)), [len(c) for c in cut]), (self.ends - self.starts)[code])
+        np.add.at(sums, np.repeat(np.arange(len(texts)), np.array([len(c) for c in cut], np.int64)), (self.ends - self.starts)[code])
         return sums
 
 

@@ -164,8 +164,8 @@ def pair_counts(baskets: DataFrame, group: str, basket: str, item: str, least: i
     heads = large.where("block = 0").select("g", "k", F.col("heavy").alias("top"))
     wide = (
         wide.select("a.g", "a.k", F.col("a.light").alias("light"), F.col("b.light").alias("other"), (F.col("a.block") == F.col("b.block")).alias("same"), ((F.col("a.block") == 0) & (F.col("b.block") == 0)).alias("first"))
-        .join(heads, ["g", "k"])
-        .select("light", F.col("top").alias("heavy"), "other", "same", "first")
+        .join(heads, ["g", "k"], "left")  # a basket without heavy items may lack block 0
+        .select("light", F.coalesce("top", F.array().cast("array<bigint>")).alias("heavy"), "other", "same", "first")
     )
     counted = small.unionByName(wide).mapInPandas(_count_blocks, "a bigint, b bigint, n bigint")
     joint = counted.groupBy("a", "b").agg(F.sum("n").alias("joint")).where(F.col("joint") >= least)
