@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitagraph.sources.tables import checkpointed
+
 # ---- fixed values: letters and signs of other code but the same shape ------
 CYRILLIC = "АВЕЅЗІЇЈКМНОРСТУХҮаеѕіїјорсухһԁԛԝӏ"
 CYRILLIC_AS = "ABES3IÏJKMHOPCTYXYaesiïjopcyxhdqwl"
@@ -180,7 +182,7 @@ def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     the same string. Exact copies are grouped before the join, so a class without
     a second string costs nothing, however many copies it has; only the classes
     that have one are paired, along their distinct strings."""
-    rows = look_alikes(df, key, text)
+    rows = checkpointed(look_alikes(df, key, text))  # the texts are rewritten once
     strings = rows.groupBy("form_id", "raw_id").agg(F.count("*").alias("n"))
     mixed = strings.groupBy("form_id").agg(F.count("*").alias("k")).where("k > 1").select("form_id")
     kept = rows.join(mixed, "form_id", "left_semi")
