@@ -92,12 +92,14 @@ def split_groups(groups: list, test_size: float = 0.2, seed: int = 42) -> set:
     return {ordered[i] for i in order[: int(np.ceil(test_size * len(ordered)))]}
 
 
-def balanced_folds(sizes: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """``group``, ``fold``: groups dealt by falling size in snake order, so that the
-    folds' sizes are alike; no group is in two folds."""
-    rank = F.row_number().over(W.orderBy(F.desc("size"), group)) - 1
-    turn = F.floor(rank / k) % 2
-    return sizes.select(group, F.when(turn == 0, rank % k).otherwise(k - 1 - rank % k).cast("int").alias("fold"))
+def balanced_folds(sizes: dict[str, int], k: int = 5) -> dict[str, int]:
+    """Fold of each group: by falling size, each into the fold that is smallest so far
+    (a table of groups on the driver, as for :func:`split_groups`)."""
+    held, fold = [0] * k, {}
+    for group in sorted(sizes, key=lambda g: (-sizes[g], g)):
+        fold[group] = held.index(min(held))
+        held[fold[group]] += sizes[group]
+    return fold
 
 
 def train_classifier(rows: DataFrame, text: str, label: str, features: int = 1 << 14, reg: float = 1.0):

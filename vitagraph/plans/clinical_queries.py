@@ -10,6 +10,7 @@ from vitagraph.operators import evaluate as E
 from vitagraph.operators import graph as G
 from vitagraph.operators import learn as L
 from vitagraph.operators import matching as M
+from vitagraph.operators import rules, tagger
 from vitagraph.operators import scope as R
 from vitagraph.sources.tables import table
 
@@ -274,7 +275,29 @@ def bio(spark, sf_dir):
     return E.bio_spans(E.repair_bio(tags, keys, "at", "tag"), keys, "at")
 
 
+def rule_edges(spark, sf_dir):
+    e = rules.rule_edges(numbered(spark, sf_dir), lexicon(spark, sf_dir))
+    return e.select("case_id", "sent_no", "rule", "source", "target", "relation", "attributes")
+
+
+def ngram_entities(spark, sf_dir):
+    """Entities of all sentences by models of tagged ones."""
+    keys = ["case_id", "sent_no"]
+    lines = tagged(spark, sf_dir).select(*keys, F.split("tagged", " ").alias("tokens"))
+    plain = numbered(spark, sf_dir).select(*keys, T.words(F.lower("sentence")).alias("tokens"))
+    fitted = tagger.fit_tagger(lines.select(F.transform("tokens", lambda t: F.when(t.startswith("TAG-"), t).otherwise(F.lower(t))).alias("tokens")), "tokens")
+    return tagger.find_entities(plain, keys, "tokens", fitted)
+
+
+def stems(spark, sf_dir):
+    w = table(spark, sf_dir, "cases").select(F.explode(T.words(F.col("case_text"))).alias("word"))
+    return L.stem_words(w, "word")
+
+
 QUERIES = {
+    "r4_rule_edges": (rule_edges, None),
+    "l19_ngram_entities": (ngram_entities, None),
+    "t11_stems": (stems, None),
     "x5_sentence_attributes": (
         lambda s, d: sentences(s, d).select("sentence", X.sentence_attributes(F.col("sentence")).alias("found")).where("found <> ''"),
         f"{_S}, l as (select sentence, {_ATTR} as l from s) select sentence, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '; ') as found from l where len(l) > 0",
