@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitagraph.sources.tables import checkpointed
+
 # ---- fixed values: unit spellings (lower case, without blanks) --------------
 _MASS_VOLUME = {
     "mg/dl": "mg/dl mg% mg/100ml mgdl-1 mg·dl-1 mg.dl-1 milligramsperdeciliter milligramsperdecilitre milligramsper100ml",
@@ -509,8 +511,9 @@ def measured_values(cases: DataFrame, nodes: DataFrame, measures: DataFrame) ->
     case's text is resolved there, and left out if the text does not state it.
     """
     rows = _catalogue(measures)
-    stated = stated_values(cases, ["row_id", "case_id"], "case_text", rows)
-    held = node_values(nodes, rows)
+    # written once: the sure and the doubtful values, and the histories, read them again
+    stated = checkpointed(stated_values(cases, ["row_id", "case_id"], "case_text", rows))
+    held = checkpointed(node_values(nodes, rows))
     doubtful = held.where("not sure").withColumnRenamed("value", "guess").drop("sure")
     resolved = resolve_from_text(doubtful, stated, rows)
     sure = held.where("sure").select("row_id", "measure", "value")
