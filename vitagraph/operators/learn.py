@@ -14,17 +14,15 @@ def padded_ngrams(tokens: Column, order: int) -> Column:
     """``array<struct<n, context, word>>`` of all n-grams of up to ``order`` tokens of
     a sentence padded at both ends."""
     pad = lambda s: F.array_repeat(F.lit(s), order - 1)
-    padded = F.concat(pad("<s>"), tokens, pad("</s>"))
-    size = F.size(padded)
 
-    def runs(n: int) -> Column:
-        starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+    def runs(padded: Column, n: int) -> Column:
+        starts = F.when(F.size(padded) >= n, F.sequence(F.lit(1), F.size(padded) - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(
             starts,
             lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(padded, i, n - 1), " ").alias("context"), F.element_at(padded, i + (n - 1)).alias("word")),
         )
 
-    return F.concat(*[runs(n) for n in range(1, order + 1)])
+    return T.let(F.concat(pad("<s>"), tokens, pad("</s>")), lambda p: F.concat(*[runs(p, n) for n in range(1, order + 1)]))
 
 
 def ngram_model(sentences: DataFrame, tokens: str, order: int, backward: bool = False) -> DataFrame:

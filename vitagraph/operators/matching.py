@@ -52,13 +52,11 @@ def dictionary(terms: DataFrame, term: str, category: str) -> DataFrame:
 
 def ngrams(words: Column, most: int) -> Column:
     """``array<struct<start, n, key>>`` of all runs of 1 to ``most`` normalized words."""
-    size = F.size(words)
+    def runs(w: Column, n: int) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice(w, i + 1, n), " ").alias("key")))
 
-    def runs(n: int) -> Column:
-        starts = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice(words, i + 1, n), " ").alias("key")))
-
-    return F.concat(*[runs(n) for n in range(1, most + 1)])
+    return T.let(words, lambda w: F.concat(*[runs(w, n) for n in range(1, most + 1)]))
 
 
 def greedy(spans: Column, order: Column) -> Column:

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitagraph.functions.text import let
+
 #: Characters that divide a cell wherever they stand outside quotes.
 HARD = r";|\t\r\n•·"
 _MARK, _KEPT = "\u0002", "\u0004"
@@ -47,7 +49,7 @@ def packed_values(cell: Column, comma: str = "alone", names: bool = False) -> Co
     """
     square = cell.rlike(r"(?s)\A\s*\[.*\]\s*\z")
     bare = F.regexp_replace(cell, r"(?s)\A\s*(?:\[(.*)\]|\{(.*)\})\s*\z", "$1$2")
-    marked = _let(bare, lambda c: F.when(c.rlike("[\"']"), F.regexp_replace(c, _QUOTED, f"{_MARK}$0{_MARK}")).otherwise(c))
+    marked = let(bare, lambda c: F.when(c.rlike("[\"']"), F.regexp_replace(c, _QUOTED, f"{_MARK}$0{_MARK}")).otherwise(c))
     if names:
         marked = F.regexp_replace(
             marked, rf",(?=\s*(?:(?:\p{{Lu}}\p{{M}}*\.[ -]?)+|Jr\.)\s*(?:\z|[,{HARD}{_MARK}]|&))", _KEPT
@@ -68,9 +70,9 @@ def packed_values(cell: Column, comma: str = "alone", names: bool = False) -> Co
         parts = F.transform(F.split(piece, at, -1), lambda v: F.regexp_replace(v, _LIST_MARK, ""))
         return F.when(i % 2 == 1, F.array(doubled)).otherwise(parts)
 
-    values = _let(
+    values = let(
         F.split(marked, _MARK, -1),
-        lambda pieces: _let(delimiter(pieces), lambda at: F.flatten(F.transform(pieces, lambda p, i: divide(p, i, at)))),
+        lambda pieces: let(delimiter(pieces), lambda at: F.flatten(F.transform(pieces, lambda p, i: divide(p, i, at)))),
     )
     if names:
         values = F.transform(values, lambda v: F.replace(v, F.lit(_KEPT), F.lit(",")))
@@ -78,11 +80,6 @@ def packed_values(cell: Column, comma: str = "alone", names: bool = False) -> Co
     return F.when(cell.isNotNull(), F.filter(values, lambda v: v != ""))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 _LIST_MARK = r"\A\s*(?:[-*‣◦▪●]\s+)"
 
 
