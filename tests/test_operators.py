@@ -276,3 +276,36 @@ def test_stream(spark, terms, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {r.target_id for rows in out.values() for r in rows} == {"S:nausea", "E:ct_scan", "A:stomach"}
+
+
+def test_substitution_and_patterns(spark):
+    terms = {"CT": "computed tomography", "CT scan": "imaging ($1)", "bp": "x"}
+    assert one(spark, lambda c: T.substitute(c, terms), "ct scan, CT and BP; bpm") == "imaging ($1), computed tomography and x; bpm"
+    import re
+
+    rx = re.compile(T.alternatives(["cyst", "biopsy", "lymph node"]), re.I)
+    assert rx.findall("Cysts, biopsies and lymph  nodes; cystic") == ["Cysts", "biopsies", "lymph  nodes"]
+    assert one(spark, T.valid_number, "1.5") and not one(spark, T.valid_number, "nan") and not one(spark, T.valid_number, "x")
+    assert one(spark, T.repair_tags, "a TAG-DRUG/NN b") == "a TAG-DRUG b"
+
+
+def test_json_and_dictionary_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a", "b")], "key string, label string")
+    sinks.write_json_lines(df, str(tmp_path / "j"), {"made_by": "test"})
+    assert spark.read.json(str(tmp_path / "j")).count() == 1 and spark.read.json(str(tmp_path / "j_meta")).first().made_by == "test"
+    sinks.save_dictionary(df, str(tmp_path / "d"), "stems")
+    assert sinks.load_dictionary(spark, str(tmp_path / "d"), "stems").columns == ["key", "label"]
+    with pytest.raises(ValueError):
+        sinks.load_dictionary(spark, str(tmp_path / "d"), "words")
+    terms = spark.createDataFrame([("b", "s", "X"), ("a", "s", "X"), ("c", "s", "Y")], "term string, source string, category string")
+    sinks.write_category_csv(terms, str(tmp_path / "c"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 3
+
+
+def test_empty_tables(spark, terms):
+    empty = sentences(spark, "x").limit(0)
+    assert G.star_edges(empty, terms).count() == 0 and rules.rule_edges(empty, terms).count() == 0
+    spans = M.match_terms(empty, ["case_id", "sent_no"], "sentence", terms)
+    assert G.candidate_pairs(empty, spans, ["case_id", "sent_no"]).count() == 0
+    assert X.typed_quantities(empty, ["case_id", "sent_no"], "sentence").count() == 0
+    assert A.co_patients(spark.createDataFrame([], "source_id string, target_id string")).count() == 0

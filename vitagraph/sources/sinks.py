@@ -37,3 +37,24 @@ def write_viewer_csv(df: DataFrame, fields: list[str], path: str, by_case: bool
 def write_category_csv(terms: DataFrame, path: str) -> None:
     """``term``, ``source`` in a folder for each ``category``, sorted by term."""
     terms.select("term", "source", "category").repartition("category").sortWithinPartitions("category", "term").write.mode("overwrite").option("header", True).partitionBy("category").csv(path)
+
+
+def write_json_lines(df: DataFrame, path: str, meta: dict[str, str] | None = None) -> None:
+    """Records as JSON lines; ``meta`` goes into a folder ``<path>_meta`` beside them."""
+    df.write.mode("overwrite").json(path)
+    if meta:
+        row = df.sparkSession.createDataFrame([tuple(meta.values())], ", ".join(f"`{k}` string" for k in meta))
+        row.coalesce(1).write.mode("overwrite").json(f"{path}_meta")
+
+
+def save_dictionary(terms: DataFrame, path: str, preparation: str) -> None:
+    """A dictionary with the name of the preparation that made its keys."""
+    terms.withColumn("preparation", F.lit(preparation)).write.mode("overwrite").parquet(path)
+
+
+def load_dictionary(spark, path: str, preparation: str) -> DataFrame:
+    """A saved dictionary; ValueError if its keys were made by another preparation."""
+    terms = spark.read.parquet(path)
+    if not terms.where(F.col("preparation") != preparation).isEmpty():
+        raise ValueError("the dictionary was made by another preparation")
+    return terms.drop("preparation")
