@@ -64,6 +64,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.where(pairs.above_chance(3)).select("field_name", "item_lo", "item_hi")
 
 
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs in at least 3 baskets, with their counts and lift."""
+    counted = pairs.pair_counts(_baskets(spark, sf_dir), "field_name", "basket", "item", 3)
+    return counted.withColumn("lift", F.round("lift", 6))
+
+
 def _split_name(c: Column) -> Column:
     """train, validation or test, whatever the spelling; else null."""
     plain = F.lower(F.trim(c))
@@ -138,6 +144,19 @@ def p9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sized, "doc_id", F.col("n_tokens"), table(spark, sf_dir, "pack_sizes"))
 
 
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of each kind, the tokens in them and the share of room used."""
+    kinds = table(spark, sf_dir, "pack_sizes")
+    used = p9_packing(spark, sf_dir).groupBy("container_kind").agg(F.count_distinct("container_id").alias("containers"), F.sum("item_tokens").alias("tokens"))
+    return used.join(kinds, "container_kind").withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
+
+
+def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text in its consistent form."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", lookalike.consistent_form(F.col("text")).alias("form"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that look the same and are not the same string."""
     return lookalike.look_alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -148,11 +167,26 @@ QUERIES = {
     "p2_term_counts": p2_term_counts,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p5_pairs": p5_pairs,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p7_found": p7_found,
     "p7_splits": p7_splits,
     "p8_ids": p8_ids,
     "p9_packing": p9_packing,
+    "p9_fill": p9_fill,
     "p10_found": p10_found,
+    "p10_forms": p10_forms,
+}
+
+#: Oracles of the problems that SQL can express on whole tables.
+ORACLES = {
+    "p7_found": r"""
+with recursive m as (select case_id, article_id, split, row_number() over (partition by case_id order by loaded_at is not null desc, loaded_at desc, row_id desc) as rn from split_manifest where case_id is not null),
+ r as (select case_id, regexp_replace(case_id, '_[^_]*$', '') as own, case when regexp_extract(article_id, '([0-9]+)\s*$', 1) <> '' then 'PMC' || regexp_extract(article_id, '([0-9]+)\s*$', 1) end as named,
+   case when regexp_matches(lower(trim(split)), '^train') then 'train' when regexp_matches(lower(trim(split)), '^(val|dev)') then 'validation' when regexp_matches(lower(trim(split)), '^test') then 'test' end as s from m where rn = 1),
+ l as (select own as a, named as b from r where named <> own union select named, own from r where named <> own),
+ reach as (select a, a as b from l union select reach.a, l.b from reach join l on reach.b = l.a),
+ lab as (select a, min(b) as root from reach group by a), g as (select case_id, coalesce(root, own) as group_id, s from r left join lab on own = a)
+select case_id, group_id from g where group_id in (select group_id from g group by 1 having min(s) <> max(s))""",
 }
