@@ -154,6 +154,7 @@ def test_packing_is_valid(spark):
 SAME = [
     ("ﬁne ﬀ", "fine ff"), ("ｗａｓ　ok", "was ok"), ("é", "é"), ("a​b­", "ab"), ("a b c", "a b c"), ("сat", "cat"), ("pοre", "pore"),
     ("non‐x‑y", "non-x-y"), ("37 ℃", "37 °C"), ("5 µg 𝜇", "5 μg µ"), ("отёк", "отëк"), ("K Å", "K Å"), ("a\r\nb", "a\nb"), ("й", "й"), ("wait…", "wait..."),
+    ("trou\u03bd\u0435\u0301", "trouv\u00e9"), ("\u0435\u200b\u0301", "\u00e9"),
 ]
 DIFFERENT = [("A", "a"), ("é", "e"), ("5²", "52"), ("5", "6"), ("a;b", "a,b"), ("и", "й"), ("37º", "37o"), ("👩‍⚕", "👩⚕"), ("a b", "ab"), ("l", "I")]
 

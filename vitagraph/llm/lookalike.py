@@ -112,7 +112,7 @@ class Transducer:
         self.parts = re.compile(
             f"(?P<emoji>[{emoji}][️\U0001f3fb-\U0001f3ff]*(?:‍[{emoji}♀♂][️\U0001f3fb-\U0001f3ff]*)+)"
             f"|(?P<cluster>[^{marks}\\s][{unseen}]*[{marks}][{marks}{unseen}]*)"
-            f"|\r\n?|[{simple}]+"
+            f"|\r\n?|(?:[{simple}](?![{unseen}]*[{marks}]))+"
         )
         self.special = re.compile(f"[{marks}]|[{emoji}][️\U0001f3fb-\U0001f3ff]*‍")
         self.table = str.maketrans(self.map)
