@@ -126,6 +126,25 @@ def test_overlaps_equal_brute_force(spark, monkeypatch):
     assert overlap.cross_split_pairs(df.limit(0), "k", "t", "s").count() == 0
 
 
+@pytest.mark.parametrize("length", [18, 45, 100])
+def test_overlaps_with_spread_changes(spark, length):
+    rng = random.Random(length)
+    words = [f"w{k}" for k in range(300)]
+    rows, cut = [], {}
+    for i in range(60):
+        t = [rng.choice(words) for _ in range(length)]
+        step = rng.choice([5, 6, 8, 10])  # 20 to 10 % changed, evenly or at random
+        at = range(step - 1, length, step) if i % 2 else rng.sample(range(length), length // step)
+        copy = list(t)
+        for j in at:
+            copy[j] = f"x{j}"
+        rows += [(f"a{i}", " ".join(t), "train"), (f"b{i}", " ".join(copy), "test")]
+        cut |= {f"a{i}": t, f"b{i}": copy}
+    want = {(f"b{i}", f"a{i}") for i in range(60) if 5 * plain_common(cut[f"a{i}"], cut[f"b{i}"]) >= 4 * length}
+    got = {(r.eval_key, r.train_key) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, "k string, t string, s string"), "k", "t", "s").collect()}
+    assert len(want) > 50 and got == want
+
+
 def test_overlap_report(spark):
     rows = spark.createDataFrame([("a", "t", "train", "s1"), ("b", "t", "test", "s2"), ("c", "u", "test", "s2")], "k string, t string, s string, source string")
     found = overlap.cross_split_pairs(rows, "k", "t", "s")
