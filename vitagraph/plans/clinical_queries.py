@@ -12,7 +12,7 @@ from vitagraph.operators import learn as L
 from vitagraph.operators import matching as M
 from vitagraph.operators import rules, tagger
 from vitagraph.operators import scope as R
-from vitagraph.sources.tables import table
+from vitagraph.sources.tables import latest_by, table
 
 
 def _q(s: str) -> str:
@@ -36,6 +36,28 @@ def numbered(spark, sf_dir):
 _NUMBERED = "n as (select case_id, sentence_number as sent_no, min(sentence) as sentence from v2_edges_gemini where sentence is not null and case_id is not null and sentence_number is not null group by 1,2)"
 
 
+def case_sentences(spark, sf_dir):
+    """All sentences of each case's current text, numbered from 1."""
+    current = latest_by(table(spark, sf_dir, "cases").where("case_text is not null"), "case_id", "case_text")
+    pieces = F.transform(T.split_lines_and_stops(F.col("case_text")), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    numbers = current.select("case_id", F.posexplode(F.filter(pieces, lambda p: p != "")).alias("at", "sentence"))
+    return numbers.select("case_id", (F.col("at") + 1).alias("sent_no"), "sentence")
+
+
+def text_sentences(spark, sf_dir):
+    """Different sentences of the case texts."""
+    return case_sentences(spark, sf_dir).select("sentence").distinct()
+
+
+_PIECES = r"string_split(regexp_replace(regexp_replace(case_text, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), '\n+', chr(1), 'g'), chr(1))"
+_TEXTS = (
+    "ct as (select case_id, case_text, row_number() over (partition by case_id order by loaded_at is not null desc, loaded_at desc, row_id desc) as rn from cases where case_id is not null and case_text is not null), "
+    rf"cp as (select case_id, list_filter(list_transform({_PIECES}, lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') as ps from ct where rn = 1), "
+    "n as (select case_id, cast(unnest(generate_series(1, len(ps))) as integer) as sent_no, unnest(ps) as sentence from cp)"
+)
+_S_TEXTS = f"with {_TEXTS}, s as (select distinct sentence from n)"
+
+
 def lexicon(spark, sf_dir):
     """Dictionary of the node labels: key, label (the smallest type)."""
     n = table(spark, sf_dir, "v4_nodes").where("label is not null and type <> 'Patient'")
@@ -46,8 +68,12 @@ _KEY = "trim(regexp_replace(replace(lower({0}),'-',' '),'[^a-z0-9]+',' ','g'))"
 _LEX = f"lex as (select key, min(type) as label from (select {_KEY.format('label')} as key, type from v4_nodes where label is not null and type <> 'Patient') where key <> '' group by key)"
 
 
-def _extract(name):
-    return lambda s, d: sentences(s, d).select("sentence", F.array_join(name(F.col("sentence")), "; ").alias("found")).where("found <> ''")
+def _extract(name, of):
+    return lambda s, d: of(s, d).select("sentence", F.array_join(name(F.col("sentence")), "; ").alias("found")).where("found <> ''")
+
+
+def _labs(text):
+    return F.regexp_extract_all(text, F.lit("(?i)" + X.LAB), F.lit(0))
 
 
 def _wordy(column):
@@ -62,16 +88,16 @@ def _rx(p, g=0):
 _ATTR = "list_concat(" + ", ".join(f"list_transform({_rx(p)}, lambda x: '{n}=' || x)" for n, p in X.SENTENCE_PATTERNS.items()) + ")"
 
 
-def modifiers(spark, sf_dir):
-    return sentences(spark, sf_dir).select("sentence", *X.modifiers(F.col("sentence")))
+def modifiers(spark, sf_dir, of=sentences):
+    return of(spark, sf_dir).select("sentence", *X.modifiers(F.col("sentence")))
 
 
 def demographics(spark, sf_dir):
     return table(spark, sf_dir, "cases").where("case_text is not null").select("row_id", X.gender(F.col("case_text")).alias("gender"))
 
 
-def ages(spark, sf_dir):
-    return sentences(spark, sf_dir).select("sentence", X.age_years(F.col("sentence")).alias("age")).where("age is not null")
+def ages(spark, sf_dir, of=sentences):
+    return of(spark, sf_dir).select("sentence", X.age_years(F.col("sentence")).alias("age")).where("age is not null")
 
 
 def vitals(spark, sf_dir):
@@ -87,8 +113,12 @@ _VITALS = {
 }
 
 
-def quantities(spark, sf_dir):
-    return X.typed_quantities(sentences(spark, sf_dir), ["sentence"], "sentence")
+def sentence_attributes(spark, sf_dir, of=sentences):
+    return of(spark, sf_dir).select("sentence", X.sentence_attributes(F.col("sentence")).alias("found")).where("found <> ''")
+
+
+def quantities(spark, sf_dir, of=sentences):
+    return X.typed_quantities(of(spark, sf_dir), ["sentence"], "sentence")
 
 
 def merged(spark, sf_dir):
@@ -136,8 +166,8 @@ _DEFAULT_SQL = "case type " + " ".join(f"when '{k}' then '{v}'" for k, v in R.DE
 _KIND_SQL = "case kind " + " ".join(f"when '{k}' then '{v}'" for k, v in _KINDS.items()) + " else 'Other' end"
 
 
-def _spans(spark, sf_dir, by):
-    return M.match_terms(numbered(spark, sf_dir), ["case_id", "sent_no"], "sentence", lexicon(spark, sf_dir), by)
+def _spans(spark, sf_dir, by, of=case_sentences):
+    return M.match_terms(of(spark, sf_dir), ["case_id", "sent_no"], "sentence", lexicon(spark, sf_dir), by)
 
 
 def _greedy_sql(order):
@@ -154,26 +184,26 @@ def _greedy_sql(order):
     select case_id, sent_no, cast(start as integer) as start, cast(stop as integer) as stop, term, label from f where start is not null"""
 
 
-def entity_types(spark, sf_dir):
+def entity_types(spark, sf_dir, of=numbered):
     """How many entities of each type the cases' sentences mention, and in how many cases."""
-    return _spans(spark, sf_dir, M.LONGEST_FIRST).groupBy("label").agg(F.count("*").alias("mentions"), F.count_distinct("case_id").alias("cases"))
+    return _spans(spark, sf_dir, M.LONGEST_FIRST, of).groupBy("label").agg(F.count("*").alias("mentions"), F.count_distinct("case_id").alias("cases"))
 
 
 def star_edges(spark, sf_dir):
-    return G.star_edges(numbered(spark, sf_dir), lexicon(spark, sf_dir)).select("source_id", "target_id", "relation", "attributes", "case_id", "sentence_number")
+    return G.star_edges(case_sentences(spark, sf_dir), lexicon(spark, sf_dir)).select("source_id", "target_id", "relation", "attributes", "case_id", "sentence_number")
 
 
 def star_nodes(spark, sf_dir):
-    return G.star_nodes(G.star_edges(numbered(spark, sf_dir), lexicon(spark, sf_dir)))
+    return G.star_nodes(G.star_edges(case_sentences(spark, sf_dir), lexicon(spark, sf_dir)))
 
 
 def pairs(spark, sf_dir):
-    p = G.candidate_pairs(numbered(spark, sf_dir), _spans(spark, sf_dir, M.LONGEST_FIRST), ["case_id", "sent_no"])
+    p = G.candidate_pairs(case_sentences(spark, sf_dir), _spans(spark, sf_dir, M.LONGEST_FIRST), ["case_id", "sent_no"])
     return p.withColumn("label", G.weak_label(p))
 
 
 def tagged(spark, sf_dir):
-    n = numbered(spark, sf_dir)
+    n = case_sentences(spark, sf_dir)
     return M.tag_text(n, ["case_id", "sent_no"], "sentence", _spans(spark, sf_dir, M.LONGEST_FIRST))
 
 
@@ -204,7 +234,7 @@ def patient_runs(spark, sf_dir):
 
 def anchors(spark, sf_dir):
     """Each entity's nearest preceding patient mention in its sentence."""
-    n = numbered(spark, sf_dir)
+    n = case_sentences(spark, sf_dir)
     keys = ["case_id", "sent_no"]
     toks = n.select(*keys, F.posexplode(T.words(F.col("sentence"))).alias("at", "token"))
     people = M.word_runs(toks, keys, "at", "token").select(*keys, F.col("run_start").alias("start"), (F.col("run_stop") + 1).alias("stop"))
@@ -229,8 +259,8 @@ _SCORES = f"""with {_GP}, j as (select coalesce(gs.label, ps.label) as label, gs
  z as (select *, round(case when precision+recall=0 then 0 else 2*precision*recall/(precision+recall) end,6) as f1 from r) """
 
 
-def lm(spark, sf_dir):
-    s = sentences(spark, sf_dir).select(T.words(F.lower("sentence")).alias("t"))
+def lm(spark, sf_dir, of=sentences):
+    s = of(spark, sf_dir).select(T.words(F.lower("sentence")).alias("t"))
     return L.laplace(L.ngram_model(s, "t", 3))
 
 
@@ -262,7 +292,7 @@ def classified(spark, sf_dir):
 
 
 def neighbours(spark, sf_dir):
-    n = numbered(spark, sf_dir)
+    n = case_sentences(spark, sf_dir)
     toks = n.select("case_id", "sent_no", F.posexplode(T.words(F.col("sentence"))).alias("at", "token"))
     return L.neighbour_features(toks, ["case_id", "sent_no"], "at", "token")
 
@@ -276,7 +306,7 @@ def bio(spark, sf_dir):
 
 
 def rule_edges(spark, sf_dir):
-    e = rules.rule_edges(numbered(spark, sf_dir), lexicon(spark, sf_dir))
+    e = rules.rule_edges(case_sentences(spark, sf_dir), lexicon(spark, sf_dir))
     return e.select("case_id", "sent_no", "rule", "source", "target", "relation", "attributes")
 
 
@@ -284,7 +314,7 @@ def ngram_entities(spark, sf_dir):
     """Entities of all sentences by models of tagged ones."""
     keys = ["case_id", "sent_no"]
     lines = tagged(spark, sf_dir).select(*keys, F.split("tagged", " ").alias("tokens"))
-    plain = numbered(spark, sf_dir).select(*keys, T.words(F.lower("sentence")).alias("tokens"))
+    plain = case_sentences(spark, sf_dir).select(*keys, T.words(F.lower("sentence")).alias("tokens"))
     fitted = tagger.fit_tagger(lines.select(F.transform("tokens", lambda t: F.when(t.startswith("TAG-"), t).otherwise(F.lower(t))).alias("tokens")), "tokens")
     return tagger.find_entities(plain, keys, "tokens", fitted)
 
@@ -299,17 +329,17 @@ QUERIES = {
     "l19_ngram_entities": (ngram_entities, None),
     "t11_stems": (stems, None),
     "x5_sentence_attributes": (
-        lambda s, d: sentences(s, d).select("sentence", X.sentence_attributes(F.col("sentence")).alias("found")).where("found <> ''"),
+        sentence_attributes,
         f"{_S}, l as (select sentence, {_ATTR} as l from s) select sentence, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '; ') as found from l where len(l) > 0",
     ),
-    "x1_sizes": (_extract(X.sizes), None),
-    "x2_labs": (_extract(lambda c: F.regexp_extract_all(c, F.lit("(?i)" + X.LAB), F.lit(0))), f"{_S} select sentence, array_to_string({_rx(X.LAB)}, '; ') as found from s where len({_rx(X.LAB)}) > 0"),
+    "x1_sizes": (_extract(X.sizes, text_sentences), None),
+    "x2_labs": (_extract(_labs, sentences), f"{_S} select sentence, array_to_string({_rx(X.LAB)}, '; ') as found from s where len({_rx(X.LAB)}) > 0"),
     "x4_modifiers": (
         modifiers,
         f"{_S} select sentence, {_rx(X.POD, 1)}[1] as pod, coalesce({_rx(X.DURATION_HISTORY)}[1], {_rx(X.DURATION)}[1]) as duration, lower({_rx(X.LATERALITY, 1)}[1]) as laterality, lower({_rx(X.ASPECT, 1)}[1]) as aspect, array_to_string({_rx(X.DOSAGE)}, '; ') as dosages from s",
     ),
     "x6_clinical_attributes": (vitals, "select row_id, " + ", ".join(f"cast(len(regexp_extract_all({_wordy('case_text')}, '{_q(p)}', 0, 'i')) as integer) as {n}" for n, p in _VITALS.items()) + " from cases where case_text is not null"),
-    "x8_typed_quantities": (quantities, None),
+    "x8_typed_quantities": (lambda s, d: quantities(s, d, text_sentences), None),
     "x11_age": (
         ages,
         f"{_S}, a as (select sentence, lower({_rx(X.AGE, 1)}[1]) as num, lower({_rx(X.AGE, 2)}[1]) as u from s) select sentence, round(coalesce(case num "
@@ -337,8 +367,8 @@ QUERIES = {
         x as (select a.sentence, a.entity, a.kind, first(c.relation order by abs(c.c - a.pos0), c.relation) as r from a join cues c on a.sentence = c.sentence join allowed w on w.type = a.type and w.relation = c.relation where pos0 >= 0 group by 1,2,3)
         select a.sentence, a.entity, a.kind, coalesce(x.r, {_DEFAULT_SQL}) as relation from a left join x on a.sentence=x.sentence and a.entity=x.entity and a.kind=x.kind where pos0 >= 0""",
     ),
-    "m1_match_left_to_right": (lambda s, d: _spans(s, d, M.LEFT_TO_RIGHT), _greedy_sql("start, n desc")),
-    "m2_match_longest_first": (lambda s, d: _spans(s, d, M.LONGEST_FIRST), _greedy_sql("n desc, start")),
+    "m1_match_left_to_right": (lambda s, d: _spans(s, d, M.LEFT_TO_RIGHT, numbered), _greedy_sql("start, n desc")),
+    "m2_match_longest_first": (lambda s, d: _spans(s, d, M.LONGEST_FIRST, numbered), _greedy_sql("n desc, start")),
     "m4_tag_text": (tagged, None),
     "m6_patient_runs": (patient_runs, None),
     "m7_dictionary": (
@@ -386,3 +416,18 @@ QUERIES = {
     "w1_neighbours": (neighbours, None),
     "l9_relation_classifier": (classified, None),
 }
+
+#: The queries whose SQL reads the edges' sentences, over all sentences of the case texts.
+_WHOLE = {
+    "entity_types": lambda s, d: entity_types(s, d, case_sentences),
+    "m1_match_left_to_right": lambda s, d: _spans(s, d, M.LEFT_TO_RIGHT),
+    "m2_match_longest_first": lambda s, d: _spans(s, d, M.LONGEST_FIRST),
+    "x2_labs": _extract(_labs, text_sentences),
+    "x4_modifiers": lambda s, d: modifiers(s, d, text_sentences),
+    "x5_sentence_attributes": lambda s, d: sentence_attributes(s, d, text_sentences),
+    "x11_age": lambda s, d: ages(s, d, text_sentences),
+    "l17_ngram_model": lambda s, d: lm(s, d, text_sentences),
+}
+QUERIES |= {
+    f"{k}_texts": (f, QUERIES[k][1].replace(_NUMBERED, _TEXTS).replace(_S, _S_TEXTS)) for k, f in _WHOLE.items()
+}
