@@ -1,5 +1,6 @@
 """Operators on small inputs: text, matching, rules, graph, scores, models, files."""
 
+import math
 import random
 
 import pytest
@@ -309,3 +310,32 @@ def test_empty_tables(spark, terms):
     assert G.candidate_pairs(empty, spans, ["case_id", "sent_no"]).count() == 0
     assert X.typed_quantities(empty, ["case_id", "sent_no"], "sentence").count() == 0
     assert A.co_patients(spark.createDataFrame([], "source_id string, target_id string")).count() == 0
+
+
+def test_merge_terms(spark):
+    terms = spark.createDataFrame([("abdominal pain", "Symptom"), ("pain", "Symptom"), ("ct scan", "Exam")], "key string, label string")
+    rows = spark.createDataFrame([(1, "Abdominal pain, then a CT scan."), (2, "no term"), (3, None)], "k int, t string")
+    got = {r.k: r.tokens for r in M.merge_terms(rows, ["k"], "t", terms).collect()}
+    assert got == {1: ["Abdominal_pain", "then", "a", "CT_scan"], 2: ["no", "term"], 3: None}
+
+
+def test_context_bag(spark):
+    rows = spark.createDataFrame([(1, i, w) for i, w in enumerate("a B , c d e f b".split())] + [(2, 0, "z")], "s int, at int, w string")
+    got = {(r.s, r.at): r.bag for r in L.context_bag(rows, ["s"], "at", "w").collect()}
+    assert got[1, 0] == ["b", "c", "d", "e"] and got[1, 1] == ["a", "c", "d", "e", "f"] and got[1, 7] == ["c", "d", "e", "f"] and got[2, 0] == []
+
+
+def test_pair_features_tables_and_prediction(spark):
+    (a, b, relations), odd = G.VALID_PAIRS[0], ("Nothing", "Nowhere")
+    rows = [("x head", a, "y tail", b, "forward", d, between) for d, between in ((0, ""), (10, f"{a},Q"), (16, "Q"))] + [("x", *odd[:1], "y", odd[1], "forward", 9, "")]
+    f = L.pair_features(spark.createDataFrame(rows, "e1 string, type_e1 string, e2 string, type_e2 string, reading_order string, token_dist int, intervening string").withColumn("between", F.lit("and then")))
+    got = [(r.dist_bin, r.token_dist_scaled, r.num_intervening, r.has_same_type_intervening, r.valid_schema_pair, r.head_e1) for r in f.collect()]
+    assert got == [("adj_0", 0.0, 0, False, True, "head"), ("far_9_15", 1.0, 2, True, True, "head"), ("very_far_16+", 1.6, 1, False, True, "head"), ("far_9_15", 0.9, 0, False, False, "x")]
+    counts = {(r.level, r.x): (r.n_xy, r.n_x, r.n_y, r.pmi) for r in L.pair_pmi_tables(f).collect()}
+    pmi = lambda xy, x, y: round(math.log2((xy + 0.5) / 4.5 / ((x + 0.5) / 4.5 * (y + 0.5) / 4.5)), 6)
+    assert counts["type", a] == (2, 3, 3, pmi(2, 3, 3)) and counts["lexical", "x head"] == (3, 3, 3, pmi(3, 3, 3)) and counts["head", "x"] == (1, 1, 1, pmi(1, 1, 1))
+    labels = ["NONE", "UNKNOWN", relations[0]]
+    p = f.select(L.schema_prediction(F.array(F.lit(0.2), F.lit(0.5), F.lit(0.30004)), labels, F.col("type_e1"), F.col("type_e2")).alias("p")).collect()
+    assert [(r.p.pred_label, r.p.pred_confidence) for r in p] == [(relations[0], 0.3)] * 3 + [("NONE", 0.2)]
+    assert p[0].p.probabilities == {"NONE": 0.2, "UNKNOWN": 0.5, relations[0]: 0.3}
+    assert L.top_features(["f", "g", "h"], ["A"], [[0.1, 2.0, 0.1]], 2) == [("A", 1, "g", 2.0), ("A", 2, "f", 0.1)]

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from vitagraph.functions import text as T
+from vitagraph.operators.graph import VALID_PAIRS
+from vitagraph.operators.scope import same_clause
 
 
 def padded_ngrams(tokens: Column, order: int) -> Column:
@@ -74,6 +76,75 @@ def neighbour_features(tokens: DataFrame, keys: list[str], at: str, token: str,
     return tokens.select(*keys, at, low.alias("w"), T.word_shape(F.col(token)).alias("shape"), *near)
 
 
+def context_bag(tokens: DataFrame, keys: list[str], at: str, token: str, reach: int = 5) -> DataFrame:
+    """Tokens with ``bag``: the different tokens, in lower case and without
+    punctuation, up to ``reach`` positions away in their sentence."""
+    near = F.collect_list(F.struct(F.col(at).alias("at"), F.lower(token).alias("w"))).over(W.partitionBy(*keys).orderBy(at).rowsBetween(-reach, reach))
+    others = F.transform(F.filter(near, lambda x: (x["at"] != F.col(at)) & x["w"].rlike(r"[\p{L}\p{N}]")), lambda x: x["w"])
+    return tokens.select(*keys, at, F.lower(token).alias("w"), F.array_sort(F.array_distinct(others)).alias("bag"))
+
+
+def pair_features(pairs: DataFrame) -> DataFrame:
+    """Candidate pairs (:func:`graph.candidate_pairs`) with ``pair``, ``pair_order``,
+    ``valid_schema_pair``, ``token_dist_scaled``, ``log_dist``, ``dist_bin``,
+    ``pair_dist``, ``same_clause``, ``head_e1``, ``head_e2``, ``num_intervening`` and
+    ``has_same_type_intervening``."""
+    d, pair = F.col("token_dist"), F.concat("type_e1", F.lit("->"), "type_e2")
+    bins = F.when(d == 0, "adj_0").when(d <= 3, "close_1_3").when(d <= 8, "med_4_8").when(d <= 15, "far_9_15").otherwise("very_far_16+")
+    between = F.when(F.col("intervening") == "", F.array().cast("array<string>")).otherwise(F.split("intervening", ","))
+    return pairs.select(
+        "*", pair.alias("pair"), F.concat(pair, F.lit("|"), "reading_order").alias("pair_order"),
+        pair.isin([f"{a}->{b}" for a, b, _ in VALID_PAIRS]).alias("valid_schema_pair"),
+        (d / 10.0).alias("token_dist_scaled"), F.log1p(d).alias("log_dist"), bins.alias("dist_bin"), F.concat(pair, F.lit("|"), bins).alias("pair_dist"), same_clause(F.col("between")).alias("same_clause"),
+        T.headword(F.col("e1")).alias("head_e1"), T.headword(F.col("e2")).alias("head_e2"), F.size(between).alias("num_intervening"),
+        (F.array_contains(between, F.col("type_e1")) | F.array_contains(between, F.col("type_e2"))).alias("has_same_type_intervening"),
+    )
+
+
+def pair_pmi_tables(features: DataFrame, reach: int = 10) -> DataFrame:
+    """``level`` (lexical, head or type), ``x``, ``y``, joint and marginal counts and
+    the smoothed PMI of pairs from :func:`pair_features`. Marginals count all pairs,
+    the joint counts of types those at most ``reach`` words apart."""
+    levels = {"lexical": ("e1", "e2"), "head": ("head_e1", "head_e2"), "type": ("type_e1", "type_e2")}
+    rows = features.select(
+        F.inline(F.array(*[F.struct(F.lit(k).alias("level"), F.col(x).alias("x"), F.col(y).alias("y"), ((F.col("token_dist") <= reach) | F.lit(k != "type")).alias("near")) for k, (x, y) in levels.items()]))
+    )
+    counts = rows.groupBy("level", "x", "y").agg(F.count("*").alias("n_all"), F.count_if("near").alias("n_xy"))
+    nx = counts.groupBy("level", "x").agg(F.sum("n_all").alias("n_x"))
+    ny = counts.groupBy("level", "y").agg(F.sum("n_all").alias("n_y"))
+    total = counts.where("level = 'lexical'").agg(F.sum("n_all").alias("n"))
+    p = lambda c: (F.col(c) + 0.5) / (F.col("n") + 0.5)
+    found = counts.join(nx, ["level", "x"]).join(ny, ["level", "y"]).join(F.broadcast(total))
+    return found.select("level", "x", "y", "n_xy", "n_x", "n_y", F.round(F.log2(p("n_xy") / (p("n_x") * p("n_y"))), 6).alias("pmi"))
+
+
+def schema_prediction(probability: Column, labels: list[str], type_e1: Column, type_e2: Column) -> Column:
+    """``struct<pred_label, pred_confidence, probabilities>``: the most probable of the
+    relations that the schema allows for the types, or NONE; ties go to the first
+    label. Numbers have four decimals; without an allowed label NONE has -1."""
+    pair = F.concat(type_e1, F.lit(">"), type_e2)
+    allowed = F.lit(None).cast("array<string>")
+    for a, b, relations in VALID_PAIRS:
+        allowed = F.when(pair == f"{a}>{b}", F.array(*map(F.lit, relations))).otherwise(allowed)
+    allowed = F.concat(F.coalesce(allowed, F.array().cast("array<string>")), F.array(F.lit("NONE")))
+    scored = F.array(*[F.struct(F.get(probability, F.lit(i)).alias("p"), F.lit(-i).alias("i"), F.lit(x).alias("l")) for i, x in enumerate(labels)])
+    best = F.array_max(F.filter(scored, lambda s: F.array_contains(allowed, s["l"])))
+    return F.struct(
+        F.coalesce(best["l"], F.lit("NONE")).alias("pred_label"), F.coalesce(F.round(best["p"], 4), F.lit(-1.0)).alias("pred_confidence"),
+        F.map_from_arrays(F.array(*map(F.lit, labels)), F.transform(probability, lambda x: F.round(x, 4))).alias("probabilities"),
+    )
+
+
+def top_features(names: list[str], labels: list[str], coefficients, k: int = 8) -> list[tuple[str, int, str, float]]:
+    """(label, rank from 1, feature, coefficient) of each label's ``k`` largest
+    coefficients (a matrix of labels by features)."""
+    return [
+        (label, r, names[i], float(row[i]))
+        for label, row in zip(labels, coefficients)
+        for r, i in enumerate(sorted(range(len(names)), key=lambda i: (-row[i], i))[:k], 1)
+    ]
+
+
 def hidden(keys: list[Column], share: float, seed: int) -> Column:
     """Whether a span is hidden in training, by a hash of its key: the same in every
     run and whatever the order of the rows."""

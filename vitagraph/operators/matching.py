@@ -147,3 +147,18 @@ def tag_text(texts: DataFrame, keys: list[str], text: str, spans: DataFrame) ->
     return texts.join(listed, keys, "left").select(
         *keys, F.when(F.col("s_").isNull(), F.array_join(words, " ")).otherwise(F.array_join(F.filter(F.transform(words, tag), lambda w: w.isNotNull()), " ")).alias("tagged")
     )
+
+
+def merge_terms(texts: DataFrame, keys: list[str], text: str, terms: DataFrame) -> DataFrame:
+    """``keys``, ``tokens``: the words of each text, those of a dictionary term (the
+    earliest, then the longest) joined by ``_``. Null texts have null tokens."""
+    spans = match_terms(texts, keys, text, terms, LEFT_TO_RIGHT)
+    listed = spans.groupBy(*keys).agg(F.collect_list(F.struct("start", "stop")).alias("s_"))
+    words = T.words(F.col(text))
+
+    def joined(w: Column, i: Column) -> Column:
+        own = F.filter("s_", lambda s: (s["start"] <= i) & (i < s["stop"]))
+        inside = F.array_join(F.slice(words, i + 1, F.get(own, F.lit(0))["stop"] - i), "_")
+        return F.when(F.col("s_").isNull() | (F.size(own) == 0), w).when(F.get(own, F.lit(0))["start"] == i, inside)
+
+    return texts.join(listed, keys, "left").select(*keys, F.filter(F.transform(words, joined), lambda w: w.isNotNull()).alias("tokens"))
