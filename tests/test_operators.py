@@ -339,3 +339,10 @@ def test_pair_features_tables_and_prediction(spark):
     assert [(r.p.pred_label, r.p.pred_confidence) for r in p] == [(relations[0], 0.3)] * 3 + [("NONE", 0.2)]
     assert p[0].p.probabilities == {"NONE": 0.2, "UNKNOWN": 0.5, relations[0]: 0.3}
     assert L.top_features(["f", "g", "h"], ["A"], [[0.1, 2.0, 0.1]], 2) == [("A", 1, "g", 2.0), ("A", 2, "f", 0.1)]
+
+
+def test_terms_of_more_than_five_words_match(spark):
+    terms = spark.createDataFrame([("atypical squamous cells of the cervix", "Result"), ("cervix", "Anatomy"), ("squamous cells", "Result")], "key string, label string")
+    rows = spark.createDataFrame([(1, "Atypical squamous cells of the cervix were seen")], "k int, t string")
+    for by in (M.LONGEST_FIRST, M.LEFT_TO_RIGHT):
+        assert [(r.start, r.stop) for r in M.match_terms(rows, ["k"], "t", terms, by).collect()] == [(0, 6)]

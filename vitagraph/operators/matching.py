@@ -52,13 +52,17 @@ def dictionary(terms: DataFrame, term: str, category: str) -> DataFrame:
     return kinds.select("key", F.size(F.split("key", " ")).alias("n_words"), F.when(only, "IGNORE").otherwise(F.get(ranked, F.lit(0))).alias("label"), ranked.alias("candidates"))
 
 
-def ngrams(words: Column, most: int) -> Column:
+def ngrams(words: Column, most: Column) -> Column:
     """``array<struct<start, n, key>>`` of all runs of 1 to ``most`` normalized words."""
-    def runs(w: Column, n: int) -> Column:
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice(w, i + 1, n), " ").alias("key")))
+    def runs(w: Column, n: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(w) - n)
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), n.alias("n"), F.array_join(F.slice(w, i + 1, n), " ").alias("key")))
 
-    return T.let(words, lambda w: F.concat(*[runs(w, n) for n in range(1, most + 1)]))
+    def lengths(w: Column) -> Column:
+        longest = F.least(most, F.size(w))
+        return F.when(longest > 0, F.sequence(F.lit(1), longest)).otherwise(F.array().cast("array<int>"))
+
+    return T.let(words, lambda w: F.flatten(F.transform(lengths(w), lambda n: runs(w, n))))
 
 
 def key_filter(terms: DataFrame) -> DataFrame:
@@ -84,17 +88,19 @@ LEFT_TO_RIGHT = ("start", "-n")
 LONGEST_FIRST = ("-n", "start")
 
 
-def match_terms(texts: DataFrame, keys: list[str], text: str, terms: DataFrame, by: tuple[str, str] = LONGEST_FIRST, most: int = 5) -> DataFrame:
+def match_terms(texts: DataFrame, keys: list[str], text: str, terms: DataFrame, by: tuple[str, str] = LONGEST_FIRST) -> DataFrame:
     """``keys``, ``start``, ``stop`` (word positions, exclusive), ``term``, ``label`` of
     the dictionary terms in each text, not overlapping.
 
     texts: one row for each sentence, identified by ``keys``. terms: ``key``,
     ``label`` (one row a key). by: LEFT_TO_RIGHT (earliest, then longest) or
-    LONGEST_FIRST (longest, then earliest). Null texts match nothing.
+    LONGEST_FIRST (longest, then earliest). Terms of any number of words match; null
+    texts match nothing.
     """
+    longest = terms.agg(F.coalesce(F.max(F.size(F.split("key", " "))), F.lit(0)).alias("most"))
     normalized = F.transform(T.words(F.col(text)), T.normalize_phrase)
     cand = (
-        texts.select(*keys, F.explode(ngrams(normalized, most)).alias("g")).select(*keys, "g.start", "g.n", "g.key")
+        texts.withColumn("most_", longest.scalar()).select(*keys, F.explode(ngrams(normalized, F.col("most_"))).alias("g")).select(*keys, "g.start", "g.n", "g.key")
         .withColumn("h_", F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)))
         .where(F.getbit(F.get(key_filter(terms).scalar(), F.expr("int(h_ / 64)")), F.expr("int(h_ % 64)")) == 1).drop("h_")
         .join(terms.select("key", "label"), "key")
