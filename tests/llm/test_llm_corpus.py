@@ -186,3 +186,14 @@ def test_deal_groups(spark):
     assert abs(share["train"] - 0.8) < 0.01 and abs(share["test"] - 0.1) < 0.01
     with pytest.raises(ValueError):
         groups.deal_groups(spark.createDataFrame(rows, "group_id string, records bigint"), {})
+
+
+def test_p5_pairs_counts_every_pair(spark, tmp_path):
+    from vitagraph.llm import queries
+
+    spark.sql("select 1L as row_id, 'a1' as article_id, '' as mesh_terms, timestamp'2024-01-01' as loaded_at").write.parquet(f"{tmp_path}/metadata.parquet")
+    edges = [("P1", "x"), ("P1", "y"), ("P2", "x"), ("P2", "y"), ("P2", "z")]
+    spark.createDataFrame(edges, "source_id string, target_id string").write.parquet(f"{tmp_path}/v1_edges.parquet")
+    got = {(r.item_lo, r.item_hi): (r.joint, r.n_lo, r.n_hi, r.lift) for r in queries.p5_pairs(spark, str(tmp_path)).collect()}
+    assert got == {("x", "y"): (2, 2, 2, 1.0), ("x", "z"): (1, 2, 1, 1.0), ("y", "z"): (1, 2, 1, 1.0)}
+    assert queries.p5_found(spark, str(tmp_path)).count() == 0

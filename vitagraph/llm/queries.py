@@ -65,8 +65,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs in at least 3 baskets, with their counts and lift."""
-    counted = pairs.pair_counts(_baskets(spark, sf_dir), "field_name", "basket", "item", 3)
+    """All pairs that share a basket, with their counts and lift."""
+    counted = pairs.pair_counts(_baskets(spark, sf_dir), "field_name", "basket", "item", 1)
     return counted.withColumn("lift", F.round("lift", 6))
 
 
