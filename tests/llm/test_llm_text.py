@@ -178,3 +178,12 @@ def test_look_alike_pairs(spark):
     got = {tuple(r) for r in lookalike.look_alike_pairs(df, "doc_id", "text").collect()}
     assert got == {(1, 2), (2, 3), (1, 4), (3, 4), (2, 4)}
     assert lookalike.look_alike_pairs(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_long_and_nested_brackets_are_not_divided():
+    from vitagraph.llm.sentences import sentence_spans
+
+    for inner in ("word " * 300 + "ends. Then " + "word " * 300, "a (b) c. Then d"):
+        text = f"Seen ({inner}) today. Next one."
+        assert len(sentence_spans(text)) == 2
+    assert len(sentence_spans("Open ( here. Next one.")) == 2
