@@ -197,3 +197,14 @@ def test_p5_pairs_counts_every_pair(spark, tmp_path):
     got = {(r.item_lo, r.item_hi): (r.joint, r.n_lo, r.n_hi, r.lift) for r in queries.p5_pairs(spark, str(tmp_path)).collect()}
     assert got == {("x", "y"): (2, 2, 2, 1.0), ("x", "z"): (1, 2, 1, 1.0), ("y", "z"): (1, 2, 1, 1.0)}
     assert queries.p5_found(spark, str(tmp_path)).count() == 0
+
+
+def test_p2_ngrams_counts_words_of_terms(spark, tmp_path):
+    from vitagraph.llm import queries
+
+    spark.sql("select 1L as row_id, 'a1' as article_id, 'Heart Failure; heart rate' as mesh_terms, timestamp'2024-01-01' as loaded_at").write.parquet(f"{tmp_path}/metadata.parquet")
+    spark.createDataFrame([("Acute heart failure", "Disease", "c1")], "label string, type string, case_id string").write.parquet(f"{tmp_path}/v4_nodes.parquet")
+    got = {(r.field_name, r.ngram): (r.n, r.occurrences, r.records) for r in queries.p2_ngrams(spark, str(tmp_path)).collect()}
+    mesh = {"heart": (1, 2, 1), "failure": (1, 1, 1), "rate": (1, 1, 1), "heart failure": (2, 1, 1), "heart rate": (2, 1, 1)}
+    label = {"acute": 1, "heart": 1, "failure": 1, "acute heart": 2, "heart failure": 2, "acute heart failure": 3}
+    assert got == {("mesh_terms", k): v for k, v in mesh.items()} | {("label", k): (n, 1, 1) for k, n in label.items()}

@@ -17,21 +17,26 @@ def _mesh_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current.select("article_id", F.filter(values, lambda v: v != "").alias("terms"))
 
 
-def _term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and mark of every mesh term and every label."""
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """field_name, record and terms (an array) of all mesh terms and labels."""
     nodes = table(spark, sf_dir, "v4_nodes")
     label = plain_term(F.col("label"))
     labels = nodes.where((F.col("type").isNull() | (F.col("type") != "Patient")) & F.col("label").isNotNull()).where(label != "")
-    values = (
+    return (
         _mesh_terms(spark, sf_dir)
         .select(F.lit("mesh_terms").alias("field_name"), F.col("article_id").alias("record"), "terms")
         .unionByName(labels.select(F.lit("label").alias("field_name"), F.col("case_id").alias("record"), F.array(label).alias("terms")))
     )
+
+
+def _term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and mark of every mesh term and every label."""
+    nodes = table(spark, sf_dir, "v4_nodes")
     totals = (
         table(spark, sf_dir, "metadata").agg(F.countDistinct("article_id").alias("all_records")).select(F.lit("mesh_terms").alias("field_name"), "all_records")
         .unionByName(nodes.agg(F.countDistinct("case_id").alias("all_records")).select(F.lit("label").alias("field_name"), "all_records"))
     )
-    counts = terms.ngram_counts(values, "field_name", "record", "terms")
+    counts = terms.ngram_counts(_terms(spark, sf_dir), "field_name", "record", "terms")
     return terms.mark_terms(counts, totals, "field_name").withColumnRenamed("ngram", "term")
 
 
@@ -45,6 +50,13 @@ def p2_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _term_counts(spark, sf_dir).select("field_name", "term", "occurrences", "records", "mark")
 
 
+def p2_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences and records of all n-grams of words within the terms, of any n."""
+    rows = _terms(spark, sf_dir).select("field_name", "record", F.explode("terms").alias("term")).select("field_name", "record", F.split("term", " ").alias("words"))
+    longest = rows.agg(F.max(F.size("words"))).first()[0] or 1
+    return terms.ngram_counts(rows, "field_name", "record", "words", longest)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of every case text and of every sentence cell."""
     cases = sentences.split_sentences(table(spark, sf_dir, "cases"), ["row_id"], "case_text")
@@ -165,6 +177,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_term_counts": p2_term_counts,
+    "p2_ngrams": p2_ngrams,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
