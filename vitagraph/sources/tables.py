@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,18 +15,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only where it is unset
-    (tests on one machine) a temporary folder is made."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="vitagraph-ckpt-"))
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables: below the shared folder that
+    ``spark.checkpoint.dir`` names. Only a session on one machine may leave it unset (a
+    temporary folder is used then); on a cluster that is an error. The folder is
+    removed when the driver ends."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SCRATCH:
+        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not base:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="vitagraph-")
+        _SCRATCH[sc.applicationId] = path = f"{base}/vitagraph-{sc.applicationId}"
+        atexit.register(_remove, sc, path)
+    return _SCRATCH[sc.applicationId]
+
+
+def _remove(sc, path: str) -> None:
+    try:
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(sc._jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
+    except Exception:  # the driver's JVM is gone: nothing can be done from here
+        pass
+
+
+#: Application id -> its folder.
+_SCRATCH: dict[str, str] = {}
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage: ``df`` as a table written once in the shared folder. Unlike a
+    checkpoint of the rows, which computes them twice, later steps read only the
+    columns they need, and lost executors cost nothing before it."""
+    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def latest_by(df: DataFrame, key: str, *values: str) -> DataFrame:
