@@ -29,6 +29,11 @@ CASES = [
     ("authors", "['D'Ost, C.', \"O'Neil, B.\"]", ["D'Ost, C.", "O'Neil, B."]),
     ("authors", "A Bee, C Dee & E Eff", ["A Bee", "C Dee", "E Eff"]),
     ("authors", "A Bee | C Dee Jr.,E Eff and G Gee", ["A Bee", "C Dee Jr.", "E Eff", "G Gee"]),
+    ("mesh_terms", 'x,          "a, b",c', ["x", "a, b", "c"]),
+    ("mesh_terms", "a\x02b; c\x04", ["a\x02b", "c\x04"]),
+    ("mesh_terms", 'x, y; "b, c"', ["x, y", "b, c"]),
+    ("mesh_terms", '"b, c"', ["b, c"]),
+    ("authors", '"Bri, W." & "Dal, F. K."', ["Bri, W.", "Dal, F. K."]),
     ("attributes", 'a=1, b=2, "note=x, y; z"', ["a=1", "b=2", "note=x, y; z"]),
     ("attributes", '{"a=1"; "b=p|q"}', ["a=1", "b=p|q"]),
 ]

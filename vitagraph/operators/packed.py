@@ -1,10 +1,10 @@
 """Several values packed in one field: one row per value, its place kept.
 
-Method: quotes that enclose a whole value are turned into markers, the cell is
-split on them, odd pieces are literals and even pieces are divided on the
-delimiters; array folds put the values together again with their ordinals. The
-whole operator is made of built-in expressions, so it stays inside the JVM and
-needs no shuffle.
+Method: a cell is split on the quote characters that open and close a whole value; odd
+pieces are literals, even pieces are divided on the delimiters, and array folds put the
+values together again with their ordinals. Which quotes enclose a whole value is read
+from the delimiters around them. The whole operator is made of built-in expressions, so
+it stays inside the JVM and needs no shuffle; no sign of a cell is used as a mark.
 """
 
 from __future__ import annotations
@@ -18,20 +18,21 @@ from vitagraph.functions.text import let
 
 #: Characters that divide a cell wherever they stand outside quotes.
 HARD = r";|\t\r\n•·"
-_MARK, _KEPT = "\u0002", "\u0004"
-_BLANK = r"[ \u00a0]{0,9}"
-_END = rf"(?={_BLANK}(?:\z|[\]}},{HARD}]))"
-_START = rf"(?<=^{_BLANK}|[\[{{,{HARD}]{_BLANK}|[ ]&[ ]|[ ]and[ ])"
+_BLANKS = r"[ \u00a0]*+"
+_AND = r"[ ](?:&|and)[ ]"
+_LIST_MARK = r"\A\s*(?:[-*‣◦▪●]\s+)"
 
 
-def _value_in(q: str) -> str:
-    """A value in quotes ``q``: unrolled, so that long cells need no recursion."""
-    plain, inner = rf"[^{q}\\]*+", rf"(?:\\.|{q}{q}|{q}(?!{_BLANK}(?:\z|[\]}},{HARD}])))"
-    return rf"{q}{plain}(?:{inner}{plain})*+{q}"
+def _quoted(names: bool) -> str:
+    """A quoted whole value (group 2) after its delimiter (group 1). The inner loop is
+    unrolled, so that long cells need no recursion."""
+    end = rf"{_BLANKS}(?:\z|[\]}},{HARD}])" + (f"|{_AND}" if names else "")
 
+    def value(q: str) -> str:
+        plain, inner = rf"[^{q}\\]*+", rf"(?:\\.|{q}{q}|{q}(?!{end}))"
+        return rf"{q}{plain}(?:{inner}{plain})*+{q}"
 
-#: A quoted whole value, in one pass over both kinds of quotes.
-_QUOTED = rf"(?s){_START}(?:{_value_in(chr(34))}|{_value_in(chr(39))}){_END}"
+    return rf"(?s)(\A|[\[{{,{HARD}]|{_AND}){_BLANKS}({value(chr(34))}|{value(chr(39))})(?={end})"
 
 
 def packed_values(cell: Column, comma: str = "alone", names: bool = False) -> Column:
@@ -49,44 +50,36 @@ def packed_values(cell: Column, comma: str = "alone", names: bool = False) -> Co
     """
     square = cell.rlike(r"(?s)\A\s*\[.*\]\s*\z")
     bare = F.regexp_replace(cell, r"(?s)\A\s*(?:\[(.*)\]|\{(.*)\})\s*\z", "$1$2")
-    marked = let(bare, lambda c: F.when(c.rlike("[\"']"), F.regexp_replace(c, _QUOTED, f"{_MARK}$0{_MARK}")).otherwise(c))
-    if names:
-        marked = F.regexp_replace(
-            marked, rf",(?=\s*(?:(?:\p{{Lu}}\p{{M}}*\.[ -]?)+|Jr\.)\s*(?:\z|[,{HARD}{_MARK}]|&))", _KEPT
-        )
-    anything = rf"[,{HARD}]" + (r"|\s+(?:&|and)\s+" if names else "")
-
-    def delimiter(pieces: Column) -> Column:
+    quoted = F.lit(_quoted(names))
+    kept = rf"(?!\s*(?:(?:\p{{Lu}}\p{{M}}*\.[ -]?)+|Jr\.)\s*(?:\z|[,{HARD}]|&))" if names else ""
+    anything = rf",{kept}|[{HARD}]" + (r"|\s+(?:&|and)\s+" if names else "")
+
+    def delimiter(c: Column) -> Column:
+        """What divides the even pieces; delimiters inside quotes do not count."""
         if comma == "always":
             return F.lit(anything)
-        other = F.exists(_evens(pieces), lambda p: p.rlike(f"[{HARD}]"))
-        return F.when(square | ~other, F.lit(anything)).otherwise(F.lit(f"[{HARD}]"))
+        outside = F.when(c.rlike("[\"']"), F.regexp_replace(c, quoted, F.lit("$1"))).otherwise(c)
+        return F.when(square | ~outside.rlike(f"[{HARD}]"), F.lit(anything)).otherwise(F.lit(f"[{HARD}]"))
+
+    def pieces(c: Column) -> Column:
+        """Even pieces as they stand, odd ones with their quotes."""
+        odd = F.regexp_extract_all(c, quoted, F.lit(2))
+        both = let(odd, lambda o: F.flatten(F.transform(F.split(c, quoted, -1), lambda p, i: F.when(i < F.size(o), F.array(p, F.get(o, i))).otherwise(F.array(p)))))
+        return F.when(c.rlike("[\"']"), both).otherwise(F.array(c))
+
+    def literal(piece: Column) -> Column:
+        plain = F.regexp_replace(F.substr(piece, F.lit(2), F.length(piece) - 2), r"\\([\"'\\])", "$1")
+        return F.when(F.startswith(piece, F.lit('"')), F.replace(plain, F.lit('""'), F.lit('"'))).otherwise(F.replace(plain, F.lit("''"), F.lit("'")))
 
     def divide(piece: Column, i: Column, at: Column) -> Column:
-        literal = F.regexp_replace(F.substr(piece, F.lit(2), F.length(piece) - 2), r"\\([\"'\\])", "$1")
-        doubled = F.when(F.startswith(piece, F.lit('"')), F.replace(literal, F.lit('""'), F.lit('"'))).otherwise(
-            F.replace(literal, F.lit("''"), F.lit("'"))
-        )
         parts = F.transform(F.split(piece, at, -1), lambda v: F.regexp_replace(v, _LIST_MARK, ""))
-        return F.when(i % 2 == 1, F.array(doubled)).otherwise(parts)
+        return F.when(i % 2 == 1, F.array(literal(piece))).otherwise(parts)
 
-    values = let(
-        F.split(marked, _MARK, -1),
-        lambda pieces: let(delimiter(pieces), lambda at: F.flatten(F.transform(pieces, lambda p, i: divide(p, i, at)))),
-    )
-    if names:
-        values = F.transform(values, lambda v: F.replace(v, F.lit(_KEPT), F.lit(",")))
+    values = let(bare, lambda c: let(delimiter(c), lambda at: F.flatten(F.transform(pieces(c), lambda p, i: divide(p, i, at)))))
     values = F.transform(values, lambda v: F.regexp_replace(v, r"\A[\s\u00a0]+|[\s\u00a0]+\z", ""))
     return F.when(cell.isNotNull(), F.filter(values, lambda v: v != ""))
 
 
-_LIST_MARK = r"\A\s*(?:[-*‣◦▪●]\s+)"
-
-
-def _evens(pieces: Column) -> Column:
-    return F.filter(pieces, lambda p, i: i % 2 == 0)
-
-
 def split_packed(df: DataFrame, keys: Sequence[str], fields: dict[str, dict]) -> DataFrame:
     """One row per value of each packed field: ``keys``, ``field_name``, ``pos``
     (from 1), ``item``.
