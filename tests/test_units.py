@@ -43,7 +43,7 @@ TEXTS = [
 
 @pytest.mark.parametrize("text,want", TEXTS)
 def test_stated_values(text, want):
-    assert sorted((m, U.tenths(v)) for m, _, v in R.read(text)) == sorted(want)
+    assert sorted((m, U.tenths(v)) for m, _, v, _ in R.read(text)) == sorted(want)
 
 
 def test_numbers():
@@ -72,11 +72,43 @@ def test_changepoints_are_optimal():
     assert U.changepoints([], 1.0) == []
 
 
+def ways_of(name):
+    return [m for m in R.measures if m.name == name][0].ways()
+
+
 def test_level_shift_is_reversed():
-    ways = [m for m in R.measures if m.name == "glucose"][0].ways()
-    found = U.resolve_history([209.0], [("11.6", ways), ("209", ways)], {"209": {209.0}})
-    assert found[1] == 209.0 and abs(found[0] - 209.0) < 1
-    assert U.resolve_history([209.0], [("3.0", ways)], {"209": {209.0}}) == [None]
+    ways = ways_of("glucose")
+    found = U.resolve_history([[209.0]], [(["11.6"], ways), (["209"], ways)], {"209": {209.0}})
+    assert found[1] == [209.0] and abs(found[0][0] - 209.0) < 1
+    assert U.resolve_history([[209.0]], [(["3.0"], ways)], {"209": {209.0}}) == [None]
+    assert U.resolve_history([], [(["3.0"], ways)], {}) == [None]
+
+
+def test_an_event_has_one_unit():
+    found = U.resolve_history([[45.0, 12.0, 4.0]], [(["4.5", "1.2", "0.4"], ways_of("lesion_size")), (["45", "12", "4"], ways_of("lesion_size"))], {})
+    assert found == [[45.0, 12.0, 4.0], [45.0, 12.0, 4.0]]
+
+
+def test_history_without_the_search(monkeypatch):
+    """Histories of many sources whose recorded units change: cut at the changes, the
+    shifts are reversed; uncut, only the values in the common unit are right."""
+    rng, right = random.Random(12), {True: 0, False: 0}
+    ways, factors = ways_of("body_weight"), (1.0, 1000.0, 1 / 0.45359237)
+    cases = []
+    for _ in range(60):
+        weight = rng.uniform(45, 110)
+        stated = [[round(weight * rng.uniform(0.97, 1.03), 1)] for _ in range(3)]
+        units = [f for f in rng.sample(factors, 3) for _ in range(rng.randint(1, 3))]
+        values = [rng.choice(stated)[0] for _ in units]
+        cases.append((stated, [([f"{v * f:.1f}"], ways) for v, f in zip(values, units)], values))
+    for search in (True, False):
+        if not search:
+            monkeypatch.setattr(U, "changepoints", lambda values, penalty: [0])
+        for stated, recorded, values in cases:
+            found = U.resolve_history(stated, recorded, {})
+            right[search] += sum(x is not None and abs(x[0] - v) < 0.1 for x, v in zip(found, values))
+    total = sum(len(v) for _, _, v in cases)
+    assert right[True] > 0.95 * total and right[False] < 0.5 * total
 
 
 def test_rows(spark):
@@ -87,7 +119,8 @@ def test_rows(spark):
     nodes = spark.createDataFrame(
         [(1, "R:glucose", "Glucose ", "Result", "value=11.6", "a_1"), (2, "R:glucose", None, "Result", "value=11.6; unit=mmol/L", "b_1"),
          (3, "R:bp", "BP (kPa)", "Result", "value=14.1/10.2", "b_1"), (4, "R:weight", "weight", "Result", "value=2,600; unit=g", None),
-         (5, "R:weight", "weight loss", "Symptom", "value=3", "a_1"), (6, None, None, None, None, None), (7, "R:glucose", "glucose", "Result", "value=99", "c_1")],
+         (5, "R:weight", "weight loss", "Symptom", "value=3", "a_1"), (6, None, None, None, None, None), (7, "R:glucose", "glucose", "Result", "value=99", "c_1"),
+         (8, "R:temp", "temp", "Result", "body_temperature=98.6 °F", "z_1")],
         "row_id bigint, node_id string, label string, type string, attributes string, case_id string",
     )
     measures = spark.createDataFrame(MEASURES, "measure string, spoken_names string, common_unit string, molar_mass double")
@@ -95,5 +128,6 @@ def test_rows(spark):
     assert got == {
         ("cases", 1, "glucose", 2090), ("cases", 2, "glucose", 2090), ("cases", 5, "body_weight", 50), ("v4_nodes", 1, "glucose", 2090),
         ("v4_nodes", 2, "glucose", 2090), ("v4_nodes", 3, "systolic_pressure", 1058), ("v4_nodes", 3, "diastolic_pressure", 765), ("v4_nodes", 4, "body_weight", 26),
+        ("v4_nodes", 8, "body_temperature", 370),
     }
     assert U.measured_values(cases.limit(0), nodes.limit(0), measures).count() == 0

@@ -197,7 +197,7 @@ class TextMeasures:
                 value = rf"(?P<v>{_NUMBER}\s*/\s*{_NUMBER}\s*-?\s*{unit})"
             else:
                 value = rf"(?P<v>{_NUMBER}\s*-?\s*{unit})"
-            self.forward[m.name] = re.compile(rf"(?P<gap>[^\d.!?。！？；;\n\r]{{0,80}}?){value}", re.I)
+            self.forward[m.name] = re.compile(rf"(?P<gap>[^\d.!?。！？；;\n\r]*?){value}", re.I)
             self.backward[m.name] = re.compile(rf"(?<![\w.,]){value}[\s-]*(?:(?:of|de|的|の)\s*)?(?:\w+\s+)?\Z", re.I)
             m.part = re.compile(rf"({number})(?:\s*-?\s*({unit}))?", re.I)
         self.not_value = re.compile(_NOT_VALUE, re.I)
@@ -252,13 +252,16 @@ class TextMeasures:
                 found.append((start, end, name))
         return found
 
-    def read(self, text: str) -> list[tuple[str, str, float]]:
-        """(measure, number as written, value in the common unit) of a text."""
+    def read(self, text: str) -> list[tuple[str, str, float, int]]:
+        """(measure, number as written, value in the common unit, place of the
+        statement) of a text."""
         found, names = [], self._named(text)
         for k, (start, end, name) in enumerate(names):
             measures = self.by_name[_plain_name(name)]
             m = measures[0]
-            got = self.backward[m.name].search(text, max(0, start - 70), start) if m.common in ("mm", "mL") else None
+            # a value stands in the line of its name, between it and the adjacent names
+            since = max(text.rfind("\n", 0, start) + 1, names[k - 1][1] if k else 0)
+            got = self.backward[m.name].search(text, since, start) if m.common in ("mm", "mL") else None
             if got is None:
                 until = names[k + 1][0] + 1 if k + 1 < len(names) else len(text)
                 got = self.forward[m.name].match(text, end, until)
@@ -271,9 +274,9 @@ class TextMeasures:
             values = self.values_of(m, stated, comma)
             if len(measures) > 1:
                 if len(values) == len(measures):
-                    found += [(x.name, n, v) for x, (n, v) in zip(measures, values)]
+                    found += [(x.name, n, v, k) for x, (n, v) in zip(measures, values)]
             else:
-                found += [(m.name, n, v) for n, v in values]
+                found += [(m.name, n, v, k) for n, v in values]
         return found
 
     def node(self, label: str | None, node_id: str | None, value: str, unit: str) -> list[tuple]:
@@ -369,41 +372,60 @@ ROUNDED = 0.06
 
 
 def resolve_history(
-    stated: list[float],
-    recorded: list[tuple[str, list[tuple[float, float]]]],
+    stated: list[list[float]],
+    recorded: list[tuple[list[str], list[tuple[float, float]]]],
     numbers: dict[str, set[float]],
-) -> list[float | None]:
-    """Value in the common unit of each recorded number, or None.
-
-    stated: the source's values in the common unit. recorded: each number as
-    written, with the ways of the units it may be in. numbers: the stated values by
-    the number they are written with, for the exact check; without one, a value
-    counts that a matching level shift brings next to a stated value.
+) -> list[list[float] | None]:
+    """Values in the common unit of each recorded event, or None.
+
+    stated: the source's statements in their order, each with its values in the common
+    unit. recorded: its events in their order, each with its numbers as written and the
+    ways of the units that they may be in, all in one. The history is the log level of
+    every statement and event. A segment that holds statements is in the common unit;
+    of another, the level's shift from those tells by which known factor it is to be
+    reversed. numbers: the stated values by the number they are written with, for the
+    exact check that follows: a reversed value counts if the source states it so, or
+    within rounding.
     """
     log = lambda x: math.log(max(x, 1e-9))
-    raw = [(i, x) for i, (n, _) in enumerate(recorded) for x in {read_number(n, False), read_number(n, True)}]
-    raw.sort(key=lambda p: (p[1], p[0]))
-    history = [log(v) for v in sorted(stated)] + [log(x) for _, x in raw]
+    history, read = [log(max(v)) for v in stated], []
+    for i, (written, ways) in enumerate(recorded):
+        for comma in (False, True) if any(map(ambiguous, written)) else (False,):
+            values = [read_number(n, comma) for n in written]
+            a, b = ways[0] if len(ways) == 1 else (1.0, 0.0)
+            history.append(log(a * max(values) + b))
+            read.append((i, values))
     starts = changepoints(history, PENALTY)
-    level: dict[int, float] = {}
+    level, sure = [0.0] * len(history), [False] * len(history)
     for a, b in zip(starts, [*starts[1:], len(history)]):
-        level.update(dict.fromkeys(range(a, b), sum(history[a:b]) / (b - a)))
-    levels = sorted({level[k] for k in range(len(stated))})
-    choice: dict[int, list[tuple[float, float]]] = {}
-    for k, (i, x) in enumerate(raw, len(stated)):
-        for a, b in recorded[i][1]:
-            shifted, value = a * math.exp(level[k]) + b, a * x + b
-            if shifted > 0 and any(abs(log(shifted) - s) < NEAR for s in levels):
-                off = min(abs(log(value) - log(v)) for v in stated)
-                choice.setdefault(i, []).append((off, value))
-    found: list[float | None] = []
-    for i, (number, _) in enumerate(recorded):
-        near = sorted(choice.get(i, ()))
-        same = [v for _, v in near if any(abs(v - s) <= 1e-6 * max(1.0, abs(s)) for s in numbers.get(number, ()))]
-        if same:
-            found.append(same[0])
-        else:
-            found.append(near[0][1] if near and near[0][0] <= ROUNDED else None)
+        level[a:b] = [sum(history[a:b]) / (b - a)] * (b - a)
+        sure[a:b] = [a < len(stated)] * (b - a)
+    known = {x for x, s in zip(level, sure) if s}
+
+    def off(way: tuple[float, float], at: float) -> float:
+        shifted = way[0] * math.exp(at) + way[1]
+        return min((abs(log(shifted) - x) for x in known), default=math.inf) if shifted > 0 else math.inf
+
+    def stands(value: float, number: str, exact: bool) -> bool:
+        if exact:
+            return any(abs(value - s) <= 1e-6 * max(1.0, abs(s)) for s in numbers.get(number, ()))
+        return any(abs(log(value) - log(s)) <= ROUNDED for v in stated for s in v)
+
+    found: list[list[float] | None] = [None] * len(recorded)
+    for exact in (True, False):
+        for k, (i, values) in enumerate(read, len(stated)):
+            written, ways = recorded[i]
+            if found[i] is not None:
+                continue
+            if len(ways) == 1 or sure[k]:
+                options = [ways[0] if len(ways) == 1 else (1.0, 0.0)]
+            else:
+                options = [w for d, w in sorted((off(w, level[k]), w) for w in ways) if d < NEAR]
+            for a, b in options:
+                reversed_ = [a * x + b for x in values]
+                if all(stands(v, n, exact) for v, n in zip(reversed_, written)):
+                    found[i] = reversed_
+                    break
     return found
 
 
@@ -415,21 +437,22 @@ def _catalogue(measures: DataFrame) -> tuple:
     return tuple(tuple(r) for r in rows if r[0] and r[1] and r[2])
 
 
-_VALUES = "array<struct<measure:string,number:string,value:double>>"
+_VALUES = "array<struct<measure:string,number:string,value:double,event:int>>"
 
 
 def stated_values(texts: DataFrame, keys: list[str], text: str, measures: tuple) -> DataFrame:
-    """``keys``, ``measure``, ``number`` (as written), ``value`` of all stated values."""
+    """``keys``, ``measure``, ``number`` (as written), ``value``, ``event`` (place of the
+    statement in the text) of all stated values."""
 
     @F.pandas_udf(_VALUES)
     def read(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = reader(measures)
         for part in parts:
-            yield pd.Series([[dict(zip(("measure", "number", "value"), v)) for v in run.read(t)] for t in part], index=part.index, dtype=object)
+            yield pd.Series([[dict(zip(("measure", "number", "value", "event"), v)) for v in run.read(t)] for t in part], index=part.index, dtype=object)
 
     return (
         texts.where(F.length(text) > 0).select(*keys, F.explode(read(F.col(text))).alias("v_"))
-        .select(*keys, "v_.measure", "v_.number", "v_.value")
+        .select(*keys, "v_.measure", "v_.number", "v_.value", "v_.event")
     )
 
 
@@ -439,7 +462,9 @@ def node_values(nodes: DataFrame, measures: tuple) -> DataFrame:
     attribute cells."""
     names = sorted({_plain_name(n) for _, s, _, _ in measures for n in s.split("|") if n})
     mine = F.lower(F.regexp_replace(F.coalesce("label", F.regexp_replace("node_id", r"\A[A-Za-z]+:", "")), r"[\s_ ]+", ""))
-    value = F.regexp_extract("attributes", r"(?i)(?:\A|[;|,\n{]\s*)\"?(?:value|size)\s*=\s*([^;|\n\"}]*)", 1)
+    # the value stands under a general name or under the measure's own
+    own = "|".join(re.escape(m).replace("_", "[_ ]") for m, *_ in measures)
+    value = F.regexp_extract("attributes", rf"(?i)(?:\A|[;|,\n{{]\s*)\"?(?:value|size|{own})\s*=\s*([^;|\n\"}}]*)", 1)
     unit = F.regexp_extract("attributes", r"(?i)(?:\A|[;|,\n{]\s*)\"?unit\s*=\s*([^;|\n\"}]*)", 1)
     wanted = nodes.where(mine.rlike(r"\A(?:" + "|".join(map(re.escape, names)) + ")")).select(
         "row_id", "case_id", "label", "node_id", value.alias("value_"), F.trim(unit).alias("unit_")
@@ -461,39 +486,52 @@ def node_values(nodes: DataFrame, measures: tuple) -> DataFrame:
 
 
 def resolve_from_text(open_values: DataFrame, stated: DataFrame, measures: tuple) -> DataFrame:
-    """``case_id``, ``measure``, ``number``, ``unit``, ``value`` of values that lack a
-    unit (an empty ``unit``) or are written in doubtful notation.
-
-    open_values: ``case_id``, ``measure``, ``number``, ``unit``; stated: ``case_id``,
-    ``measure``, ``number``, ``value``. Both are reduced to distinct rows first, so a
-    history holds each value of a case once, however often its rows are repeated.
+    """``row_id``, ``measure``, ``number``, ``value`` of values that lack a unit (an empty
+    ``unit``) or are written in doubtful notation.
+
+    open_values: ``row_id``, ``case_id``, ``measure``, ``number``, ``unit``; stated:
+    ``case_id``, ``measure``, ``number``, ``value``, ``event``. A source's history of a
+    measure is the statements of its case in the order of the text, then the rows of
+    its case in the order of ``row_id``. Repeated statements and rows stand in it once,
+    so it is bounded by what is different in a case, and all its rows take its values.
     A case without stated values, and a null case, give nothing.
     """
-    open_rows = open_values.select("case_id", "measure", "number", "unit").where("case_id is not null").distinct()
-    lists = open_rows.groupBy("case_id", "measure").agg(F.array_sort(F.collect_list(F.struct("number", "unit"))).alias("open"))
+    key = ["case_id", "measure"]
+    cells = (
+        open_values.where("case_id is not null").groupBy("row_id", *key)
+        .agg(F.array_sort(F.collect_set("number")).alias("numbers"), F.max("unit").alias("unit"))
+    )
+    events = cells.groupBy(*key, "numbers", "unit").agg(F.min("row_id").alias("first_row"))
+    lists = events.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("first_row", "numbers", "unit"))).alias("open"))
     known = (
-        stated.select("case_id", "measure", "number", "value").where("case_id is not null")
-        .join(open_rows.select("case_id", "measure").distinct(), ["case_id", "measure"], "left_semi")
-        .distinct().groupBy("case_id", "measure").agg(F.array_sort(F.collect_list(F.struct("number", "value"))).alias("known"))
+        stated.where("case_id is not null").join(events.select(*key).distinct(), key, "left_semi")
+        .groupBy(*key, "number", "value").agg(F.min("event").alias("event"))
+        .groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("event", "number", "value"))).alias("known"))
     )
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("array<array<double>>")
     def resolve(measure: pd.Series, known: pd.Series, recorded: pd.Series) -> pd.Series:
         by_name = {m.name: m for m in reader(measures).measures}
         out = []
         for m, have, rows in zip(measure, known, recorded):
             by: dict[str, set[float]] = {}
+            told: dict[int, list[float]] = {}
             for h in have:
                 by.setdefault(h["number"], set()).add(h["value"])
+                told.setdefault(h["event"], []).append(h["value"])
             units = by_name[m].units
-            asked = [(r["number"], [units[r["unit"]]] if r["unit"] in units else by_name[m].ways()) for r in rows]
-            out.append(resolve_history([h["value"] for h in have], asked, by))
+            asked = [(list(r["numbers"]), [units[r["unit"]]] if r["unit"] in units else by_name[m].ways()) for r in rows]
+            out.append(resolve_history(list(told.values()), asked, by))
         return pd.Series(out, dtype=object)
 
+    solved = (
+        lists.join(known, key)
+        .select(*key, F.explode(F.arrays_zip("open", resolve("measure", "known", "open").alias("v"))).alias("r"))
+        .select(*key, "r.open.numbers", "r.open.unit", F.col("r.v").alias("vals")).where("vals is not null")
+    )
     return (
-        lists.join(known, ["case_id", "measure"])
-        .select("case_id", "measure", F.explode(F.arrays_zip("open", resolve("measure", "known", "open").alias("v"))).alias("r"))
-        .select("case_id", "measure", "r.open.number", "r.open.unit", F.col("r.v").alias("value")).where("value is not null")
+        cells.join(solved, [*key, "numbers", "unit"])
+        .select("row_id", "measure", F.explode(F.arrays_zip("numbers", "vals")).alias("x")).select("row_id", "measure", F.col("x.numbers").alias("number"), F.col("x.vals").alias("value"))
     )
 
 
@@ -518,7 +556,7 @@ def measured_values(cases: DataFrame, nodes: DataFrame, measures: DataFrame) ->
     resolved = resolve_from_text(doubtful, stated, rows)
     sure = held.where("sure").select("row_id", "measure", "value")
     opened = (
-        doubtful.join(resolved, ["case_id", "measure", "number", "unit"], "left")
+        doubtful.join(resolved, ["row_id", "measure", "number"], "left")
         .select("row_id", "measure", F.coalesce("value", "guess").alias("value")).where("value is not null")
     )
     return (
