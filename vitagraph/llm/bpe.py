@@ -3,7 +3,8 @@
 Method: the pair ranks of a word are the leaves of a segment tree of minima; its
 root is the leftmost merge of lowest rank, and a merge changes three leaves and
 their paths. All new words of a batch are merged in lockstep: one numpy tree per
-word length class, a row per word, one merge of every unfinished word per step.
+word length class, a row per word, one merge of every unfinished word per step; a few
+long words are merged one by one.
 Words already seen by the Python worker come from a bounded cache.
 """
 
@@ -25,6 +26,8 @@ VOCABULARY = "byte_bpe_50k"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A worker's cache of encoded words is emptied at this many words.
 CACHE_WORDS = 300_000
+#: Words of a length class that are merged one by one instead of in lockstep.
+FEW = 24
 _NONE = np.int64(2**62)
 
 
@@ -55,6 +58,7 @@ class SegmentTreeBpe:
         self.keys = key[self.order]
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)
         self.of_byte = np.array([ids[x] for x in _byte_letters()], np.int64)
+        self.rank = {int(k): r for r, k in enumerate(key)}
         self.words = regex.compile(PATTERN).findall
         self.cache: dict[str, int] = {}
         self._clear()
@@ -75,6 +79,10 @@ class SegmentTreeBpe:
         found: list = [None] * len(words)
         for c in map(int, np.unique(classes)):
             rows = np.flatnonzero(classes == c)
+            if len(rows) < FEW and c > 5:  # numpy gains nothing on a few long words
+                for i in rows:
+                    found[i] = self._alone(words[i])
+                continue
             step = max(1, 4_000_000 >> (c + 1))
             for k in range(0, len(rows), step):
                 part = rows[k : k + step]
@@ -82,6 +90,54 @@ class SegmentTreeBpe:
                     found[i] = ids
         return found
 
+    def _alone(self, word: bytes) -> np.ndarray:
+        """One word by its own tree: a leaf's key is its pair's rank, then its place."""
+        n = len(word)
+        width = 1 << max(1, (n - 1).bit_length())
+        symbol = [int(self.of_byte[b]) for b in word]
+        following, previous = list(range(1, n + 1)), list(range(-1, n - 1))
+        none, rank, merged = 1 << 62, self.rank.get, self.merged
+        shift = width.bit_length()
+        mask = (1 << shift) - 1
+
+        def leaf(at: int) -> int:
+            after = following[at]
+            if after >= n:
+                return none
+            r = rank(symbol[at] << 32 | symbol[after])
+            return none if r is None else r << shift | at
+
+        tree = [none] * width + [leaf(i) for i in range(n)] + [none] * (width - n)
+        for k in range(width - 1, 0, -1):
+            tree[k] = min(tree[2 * k], tree[2 * k + 1])
+
+        def put(at: int, key: int) -> None:
+            k = at + width
+            tree[k] = key
+            while k > 1:
+                k >>= 1
+                least = min(tree[2 * k], tree[2 * k + 1])
+                if tree[k] == least:
+                    break
+                tree[k] = least
+
+        while tree[1] < none:
+            at = tree[1] & mask
+            symbol[at] = int(merged[tree[1] >> shift])
+            gone = following[at]
+            following[at] = after = following[gone]
+            if after < n:
+                previous[after] = at
+            put(gone, none)
+            put(at, leaf(at))
+            if previous[at] >= 0:
+                put(previous[at], leaf(previous[at]))
+        out, at = [], 0
+        while at < n:
+            out.append(symbol[at])
+            at = following[at]
+        return np.array(out, np.int32)
+
     def _lockstep(self, words: list[bytes], width: int) -> list[np.ndarray]:
         n, size = len(words), np.array([len(w) for w in words])
         filled = np.arange(width)[None, :] < size[:, None]
@@ -224,13 +280,6 @@ def token_count(text: Column, folder: str = TOKENIZERS, name: str = VOCABULARY)
     return counts(text)
 
 
-def spread(df: DataFrame, least: int = 64) -> DataFrame:
-    """Rows dealt evenly to tasks before costly text work, whatever the files' layout."""
-    session = df.sparkSession
-    parts = int(session.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(parts, 1)) if parts <= least else df
-
-
 def encode_documents(df: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """``doc_id``, ``ids``: one row for each row of ``df``. A map without shuffle;
     repeated rows are encoded each, extra columns are pruned."""

@@ -86,31 +86,43 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def deal_groups(sizes: DataFrame, proportions: dict[str, float]) -> DataFrame:
     """A common split for each group: ``group_id``, ``records``, ``split``.
 
-    sizes: ``group_id``, ``records``. The groups of a size band (powers of two) are
-    ordered by hash and dealt systematically: the n-th group of a band goes to the
-    split whose share holds the n-th multiple of the golden section, modulo 1,
-    which fills the unit interval evenly. Ranks come from counts per hash bucket,
-    so that no band is gathered into one task.
+    sizes: ``group_id``, ``records``. The groups of a size band (powers of two) lie end
+    to end in the order of their hashes, each as long as its records, and the band is
+    divided among the splits in proportion to the records that each still lacks; a group
+    goes to the split in which its middle lies. Bands are dealt from the largest groups
+    to the smallest, so that each makes up for what the larger ones left uneven: shares
+    differ from ``proportions`` by less than the smallest groups, unless single groups
+    exceed what their split may hold. Places come from sums per hash bucket, so that no
+    band is gathered into one task; the driver holds one row for each band and split.
     """
     total = sum(proportions.values())
     if not proportions or total <= 0 or min(proportions.values()) < 0:
         raise ValueError("proportions must be positive")
-    placed = sizes.select("group_id", "records", F.floor(F.log2(F.greatest(F.col("records"), F.lit(1)))).cast("int").alias("band"), F.xxhash64("group_id").alias("h"))
-    placed = placed.withColumn("bucket", F.shiftrightunsigned("h", 52).cast("int"))
+    placed = sizes.select("group_id", F.greatest(F.col("records"), F.lit(0)).alias("records"), F.xxhash64("group_id").alias("h"))
+    placed = placed.withColumn("band", F.floor(F.log2(F.greatest(F.col("records"), F.lit(1)))).cast("int")).withColumn("bucket", F.shiftrightunsigned("h", 52).cast("int"))
     # 4096 buckets a band at most: the running sums over them are small
-    counts = placed.groupBy("band", "bucket").agg(F.count("*").alias("n"))
-    before = counts.select("band", "bucket", F.coalesce(F.sum("n").over(W.partitionBy("band").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rank = F.col("before") + F.row_number().over(W.partitionBy("band", "bucket").orderBy("h", "group_id"))
-    at = placed.join(before, ["band", "bucket"]).withColumn("rank", rank)
-    place = F.pmod(F.col("rank") * _GOLDEN + F.col("band") * _SHIFT, F.lit(1.0))
-    split, edge = None, 0.0
-    for name, share in proportions.items():
-        edge += share / total
-        split = F.when(place < edge, name) if split is None else split.when(place < edge, name)
-    return at.select("group_id", "records", split.otherwise(list(proportions)[-1]).alias("split"))
-
-
-#: Multiples of this, modulo 1, fill the unit interval evenly.
-_GOLDEN = 0.6180339887498949
-#: Start of each band, so that bands of few groups do not all begin with one split.
-_SHIFT = 0.7548776662466927
+    sums = placed.groupBy("band", "bucket").agg(F.sum("records").alias("n"))
+    whole = W.partitionBy("band")
+    before = sums.select(
+        "band", "bucket", F.sum("n").over(whole).alias("all"),
+        F.coalesce(F.sum("n").over(whole.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+    )
+    inside = F.sum("records").over(W.partitionBy("band", "bucket").orderBy("h", "group_id").rowsBetween(W.unboundedPreceding, 0))
+    middle = (F.col("before") + inside - F.col("records") / 2) / F.greatest(F.col("all"), F.lit(1))
+    at = checkpointed(placed.join(before, ["band", "bucket"]).select("group_id", "records", "band", middle.alias("middle")))
+    bands = [(r.band, r.n) for r in at.groupBy("band").agg(F.sum("records").alias("n")).orderBy(F.desc("band")).collect()]  # at most 64 rows
+    every = sum(n for _, n in bands)
+    lacking = {name: share / total * every for name, share in proportions.items()}
+    split = F.lit(max(proportions, key=proportions.get))
+    for band, n in bands:
+        order = sorted((x for x in lacking if lacking[x] > 0), key=lambda x: -lacking[x]) or [max(proportions, key=proportions.get)]
+        open_, edge, chosen = sum(max(lacking[x], 0.0) for x in order) or 1.0, 0.0, None
+        for name in order[:-1]:
+            edge += max(lacking[name], 0.0) / open_
+            inside = F.col("middle") < edge
+            chosen = F.when(inside, name) if chosen is None else chosen.when(inside, name)
+        chosen = F.lit(order[-1]) if chosen is None else chosen.otherwise(order[-1])
+        for r in at.where(F.col("band") == band).groupBy(chosen.alias("s")).agg(F.sum("records").alias("n")).collect():
+            lacking[r.s] -= r.n
+        split = F.when(F.col("band") == band, chosen).otherwise(split)
+    return at.select("group_id", "records", split.alias("split"))

@@ -27,6 +27,10 @@ CYRILLIC = "АВЕЅЗІЇЈКМНОРСТУХҮаеѕіїјорсухһԁԛԝӏ
 CYRILLIC_AS = "ABES3IÏJKMHOPCTYXYaesiïjopcyxhdqwl"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορυικμϲϳ"
 GREEK_AS = "ABEZHIKMNOPTYXavopuiкµcj"
+ARMENIAN = "ՕօոսհցզյՍՏ"
+ARMENIAN_AS = "OonuhgqjUS"
+CHEROKEE = "ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦ"
+CHEROKEE_AS = "DRTiAJEWMHGZVSLCPK"
 SIGNS = {
     "‐": "-", "‑": "-", "⁃": "-", "﹣": "-", "－": "-", "…": "...", "‥": "..", "․": ".", "ʼ": "’",
     "ꞏ": "·", "‧": "·", "∙": "·", "⋅": "·", "∶": ":", "℃": "°C", "℉": "°F", "˚": "°", "∗": "*",
@@ -44,7 +48,8 @@ _JOINER, _EMOJI_VARIANT = "‍", "️"
 
 def _fixed() -> dict[str, str]:
     """The explicit part of the mapping."""
-    found = dict(zip(CYRILLIC, CYRILLIC_AS)) | dict(zip(GREEK, GREEK_AS)) | SIGNS
+    tables = ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (ARMENIAN, ARMENIAN_AS), (CHEROKEE, CHEROKEE_AS))
+    found = {k: v for old, new in tables for k, v in zip(old, new, strict=True)} | SIGNS
     found["к"] = "к"  # small Cyrillic and Greek kappa share a form, apart from Latin k
     found["κ"] = "к"
     return {k: v for k, v in found.items() if k != v}
@@ -100,13 +105,30 @@ def mapping() -> dict[str, str]:
     return final
 
 
+#: Combining marks of the scripts whose letters the mapping rewrites, and of kana.
+_REWRITTEN_MARKS = "\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\uff9e\uff9f"
+
+
+@lru_cache(maxsize=1)
+def _marks() -> str:
+    """All combining marks and conjoining Hangul vowels and finals, as ranges."""
+    kinds = [o for o in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(o))[0] == "M" or 0x1160 <= o <= 0x11FF or 0xD7B0 <= o <= 0xD7FF or o in (0xFF9E, 0xFF9F)]
+    ranges: list[list[int]] = []
+    for o in kinds:
+        if ranges and ranges[-1][1] == o - 1:
+            ranges[-1][1] = o
+        else:
+            ranges.append([o, o])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges)
+
+
 class Transducer:
     """Longest match over grapheme clusters."""
 
     def __init__(self):
         self.map = mapping()
         simple = "".join(re.escape(c) for c in self.map)
-        marks = "̀-ͯ҃-҇᪰-᫿᷀-᷿⃐-⃿゙゚ﾞﾟ"
+        marks = _marks()
         unseen = "".join(re.escape(c) for c, out in self.map.items() if out == "")
         emoji = "\U0001f000-\U0001faff☀-➿⬀-⯿"
         self.parts = re.compile(
@@ -114,7 +136,8 @@ class Transducer:
             f"|(?P<cluster>[^{marks}\\s][{unseen}]*[{marks}][{marks}{unseen}]*)"
             f"|\r\n?|(?:[{simple}](?![{unseen}]*[{marks}]))+"
         )
-        self.special = re.compile(f"[{marks}]|[{emoji}][️\U0001f3fb-\U0001f3ff]*‍")
+        # marks of the scripts whose letters are rewritten; elsewhere composing is enough
+        self.special = re.compile(f"[{_REWRITTEN_MARKS}]|[{emoji}][️\U0001f3fb-\U0001f3ff]*‍")
         self.table = str.maketrans(self.map)
         self.clusters: dict[str, str] = {}
 
@@ -144,10 +167,12 @@ class Transducer:
     def __call__(self, text: str) -> str:
         if text.isascii() and "\r" not in text:
             return text
+        text = unicodedata.normalize("NFC", text)
         if self.special.search(text):
-            return self.parts.sub(self._one, text)
-        # clusters of one character each: the same mapping as a table
-        return text.replace("\r\n", "\n").replace("\r", "\n").translate(self.table)
+            text = self.parts.sub(self._one, text)
+        else:  # clusters that no mapping reaches into: the same mapping as a table
+            text = text.replace("\r\n", "\n").replace("\r", "\n").translate(self.table)
+        return unicodedata.normalize("NFC", text)
 
 
 @lru_cache(maxsize=1)
@@ -177,6 +202,15 @@ def look_alikes(df: DataFrame, key: str, text: str) -> DataFrame:
     return formed.where(visible).select(key, F.md5("f_").alias("form_id"), F.md5("t_").alias("raw_id"))
 
 
+def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, ``class_id``, ``strings``, ``members``: every row whose text looks like
+    another row's different string, with its class and the class's numbers of different
+    strings and of rows. One row for each row of ``df``, however large the classes."""
+    rows = checkpointed(look_alikes(df, key, text))
+    sizes = rows.groupBy("form_id", "raw_id").agg(F.count("*").alias("n")).groupBy("form_id").agg(F.count("*").alias("strings"), F.sum("n").alias("members"))
+    return rows.join(sizes.where("strings > 1"), "form_id").select(key, F.col("form_id").alias("class_id"), "strings", "members")
+
+
 def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """``doc_lo``, ``doc_hi``: pairs of rows whose texts look the same without being
     the same string. Exact copies are grouped before the join, so a class without

@@ -137,7 +137,8 @@ def pair_counts(baskets: DataFrame, group: str, basket: str, item: str, least: i
     items = checkpointed(
         items.where(F.col("n") >= least)
         .join(F.broadcast(per_group), "g")  # a row for each field, which are named in the code
-        .select("g", "item", "n", F.xxhash64("g", "item").alias("id"), (F.col("n") * HEAVY > F.col("places")).alias("is_heavy"))
+        # numbers of rows, kept by the write: no two items share one
+        .select("g", "item", "n", F.monotonically_increasing_id().alias("id"), (F.col("n") * HEAVY > F.col("places")).alias("is_heavy"))
     )
     known = F.broadcast(items.where("is_heavy").select("g", "item", "id", F.lit(True).alias("hot")))  # at most HEAVY a field
     light_rows = rows.join(known, ["g", "item"], "left")
@@ -159,11 +160,15 @@ def pair_counts(baskets: DataFrame, group: str, basket: str, item: str, least: i
         "light", "heavy", F.array().cast("array<bigint>").alias("other"), F.lit(True).alias("same"), F.lit(True).alias("first")
     )
     large = grouped.where(F.col("lights") > BLOCK)
-    a, b = large.alias("a"), large.alias("b")
-    wide = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.block") <= F.col("b.block")))
+    # every pair of blocks of a basket is a row with a key of its own, so that a huge
+    # basket's pairs are spread over the tasks; a block may be missing
+    last = (F.ceil(F.col("lights") / BLOCK) - 1).cast("int")
+    a = large.select("g", "k", F.col("block").alias("i"), F.explode(F.sequence("block", last)).alias("j"), "light")
+    b = large.select("g", "k", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("light").alias("other"))
     heads = large.where("block = 0").select("g", "k", F.col("heavy").alias("top"))
     wide = (
-        wide.select("a.g", "a.k", F.col("a.light").alias("light"), F.col("b.light").alias("other"), (F.col("a.block") == F.col("b.block")).alias("same"), ((F.col("a.block") == 0) & (F.col("b.block") == 0)).alias("first"))
+        a.join(b, ["g", "k", "i", "j"])
+        .select("g", "k", "light", "other", (F.col("i") == F.col("j")).alias("same"), ((F.col("i") == 0) & (F.col("j") == 0)).alias("first"))
         .join(heads, ["g", "k"], "left")  # a basket without heavy items may lack block 0
         .select("light", F.coalesce("top", F.array().cast("array<bigint>")).alias("heavy"), "other", "same", "first")
     )

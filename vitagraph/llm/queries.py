@@ -146,13 +146,12 @@ def p7_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    return bpe.encode_documents(bpe.spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
 def p9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, sized in tokens, in containers of every kind."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    sized = bpe.spread(docs).select("doc_id", bpe.token_count(F.col("text")).alias("n_tokens"))
+    sized = table(spark, sf_dir, "documents").select("doc_id", bpe.token_count(F.col("text")).alias("n_tokens"))
     return packing.pack(sized, "doc_id", F.col("n_tokens"), table(spark, sf_dir, "pack_sizes"))
 
 
@@ -174,6 +173,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.look_alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document that looks like another, different one."""
+    return lookalike.look_alike_classes(table(spark, sf_dir, "documents"), "doc_id", "text").drop("class_id")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_term_counts": p2_term_counts,
@@ -190,6 +194,7 @@ QUERIES = {
     "p9_fill": p9_fill,
     "p10_found": p10_found,
     "p10_forms": p10_forms,
+    "p10_classes": p10_classes,
 }
 
 #: Oracles of the problems that SQL can express on whole tables.

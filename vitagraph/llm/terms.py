@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitagraph.sources.tables import checkpointed
+
 _SEP = "\u0001"
 
 
@@ -27,13 +29,16 @@ def _intervals(part: pd.DataFrame, max_n: int) -> pd.DataFrame:
     cut = [s.split(_SEP) for s in part["suffix"]] if max_n > 1 else [[s] for s in part["suffix"]]
     length = np.fromiter(map(len, cut), np.int64, size)
     common = np.zeros(size, np.int64)
-    for i in range(1, size):
-        if group[i] == group[i - 1]:
-            a, b, k = cut[i - 1], cut[i], 0
-            most = min(len(a), len(b))
-            while k < most and a[k] == b[k]:
-                k += 1
-            common[i] = k
+    # neighbours' common prefixes, token by token for the rows that still agree
+    code = pd.factorize(np.fromiter((t for c in cut for t in c), object, int(length.sum())))[0]
+    start = np.cumsum(length) - length
+    alike = 1 + np.flatnonzero(group[1:] == group[:-1])
+    for k in range(int(length.max(initial=0))):
+        alike = alike[(length[alike] > k) & (length[alike - 1] > k)]
+        alike = alike[code[start[alike] + k] == code[start[alike - 1] + k]]
+        if not len(alike):
+            break
+        common[alike] = k + 1
     out = []
     for n in range(1, max_n + 1):
         run = np.cumsum(common < n) - 1
@@ -97,12 +102,9 @@ def ngram_counts(df: DataFrame, group: str, record: str, tokens: str, max_n: int
     suffixes = (
         F.transform(kept, lambda t, i: F.array_join(F.slice(kept, i + 1, max_n), _SEP)) if max_n > 1 else kept
     )
-    array = (
-        df.where(F.col(group).isNotNull() & F.col(record).isNotNull())
-        .select(F.col(group).alias("g"), F.col(record).cast("string").alias("r"), F.explode(suffixes).alias("suffix"))
-        .repartitionByRange("g", "suffix", "r")
-        .sortWithinPartitions("g", "suffix", "r")
-    )
+    listed = df.where(F.col(group).isNotNull() & F.col(record).isNotNull()).select(F.col(group).alias("g"), F.col(record).cast("string").alias("r"), F.explode(suffixes).alias("suffix"))
+    # written once: the ranges are sampled from it before it is sorted
+    array = checkpointed(listed).repartitionByRange("g", "suffix", "r").sortWithinPartitions("g", "suffix", "r")
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
