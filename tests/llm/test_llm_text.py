@@ -104,6 +104,30 @@ def test_sentence_rows(spark):
 
 def test_word_lattice():
     assert sentences.WordLattice("患者 家属 入院").cut("患者家属x入院") == ["患者", "家属", "x", "入院"]
+    # a lattice, not the longest word first: all characters are in words
+    assert sentences.WordLattice("ab abc cde d e").cut("abcde") == ["ab", "cde"]
+
+
+def test_the_word_lattice_decides():
+    cut = lambda t: [t[a:b] for a, b in sentences.sentence_spans(t)]
+    # the same first character after a closed quotation: a particle goes on, a word begins
+    assert cut("「痛い。」と患者は訴えた。") == ["「痛い。」と患者は訴えた。"]
+    if os.path.exists(sentences.VOCABULARY):
+        assert cut("「痛い。」ところが検査した。") == ["「痛い。」", "ところが検査した。"]
+    assert cut("ไอมาก ไม่พบไข้") == ["ไอมาก", "ไม่พบไข้"]
+    assert cut("ไอมาก ๆ ไม่พบไข้") == ["ไอมาก ๆ", "ไม่พบไข้"]
+
+
+def test_sentences_need_a_word():
+    cut = lambda t: [t[a:b] for a, b in sentences.sentence_spans(t)]
+    assert cut("He left! !! ? She came.") == ["He left! !! ?", "She came."]
+
+
+def test_far_brackets_and_blanks():
+    cut = lambda t: [t[a:b] for a, b in sentences.sentence_spans(t)]
+    inside = "(" + "no. Yes. " * 200 + "end)"
+    assert cut(f"He came {inside} late. She left.") == [f"He came {inside} late.", "She left."]
+    assert cut("He came." + " " * 500 + "then he left.") == ["He came." + " " * 500 + "then he left."]
 
 
 def best_level(levels, size, capacity):
