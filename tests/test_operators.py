@@ -12,6 +12,7 @@ from vitagraph.functions import text as T
 from vitagraph.operators import analytics as A
 from vitagraph.operators import attributes as X
 from vitagraph.operators import evaluate as E
+from vitagraph.operators import edges as P
 from vitagraph.operators import graph as G
 from vitagraph.operators import learn as L
 from vitagraph.operators import matching as M
@@ -165,11 +166,22 @@ def test_star_graph(spark, terms):
 
 def test_pairs_and_weak_labels(spark, terms):
     s = sentences(spark, "CT scan revealed a cyst", "cyst in the stomach seen by CT scan", "pain in the stomach", "CT scan revealed no cyst")
-    spans = M.match_terms(s, ["case_id", "sent_no"], "sentence", terms)
-    p = G.candidate_pairs(s, spans, ["case_id", "sent_no"])
-    got = {(r.sent_no, r.e1, r.e2): (r.reading_order, r.label) for r in p.withColumn("label", G.weak_label(p)).collect()}
-    assert got[1, "ct scan", "cyst"] == ("forward", "REVEALS") and got[2, "ct scan", "cyst"] == ("reversed", "REVEALS")
-    assert got[3, "pain", "stomach"] == ("forward", "LOCATED_IN") and got[4, "ct scan", "cyst"] == ("forward", "NONE")
+    keys = ["case_id", "sent_no"]
+    got = {(r.sent_no, r.e1, r.e2): (r.reading_order, r.label) for r in P.weak_labels(P.candidate_pairs(P.sentence_entities(s, terms, keys), keys)).collect()}
+    assert got[1, "ct scan", "cyst"] == ("E1_before_E2", "REVEALS") and got[2, "ct scan", "cyst"] == ("E2_before_E1", "REVEALS")
+    assert got[3, "pain", "stomach"] == ("E1_before_E2", "LOCATED_IN") and got[4, "ct scan", "cyst"] == ("E1_before_E2", "NONE")
+    # a patient is implied where the sentence names none
+    assert got[3, "patient", "pain"] == ("E1_before_E2", "PRESENTS_WITH")
+
+
+def test_patients_of_pairs(spark, terms):
+    s = sentences(spark, "The man had nausea but the female patients had no pain", "His mother had pain")
+    keys = ["case_id", "sent_no"]
+    rows = P.weak_labels(P.candidate_pairs(P.sentence_entities(s, terms, keys), keys)).collect()
+    got = {(r.sent_no, r.e2): (r.e1, r.e1_is_virtual, r.label) for r in rows if r.type_e1 == "Patient"}
+    assert got == {(1, "nausea"): ("man", False, "PRESENTS_WITH"), (1, "pain"): ("female patients", False, "NONE"), (2, "pain"): ("patient", True, "NONE")}
+    summary = {(r.section, r.name): r.n for r in P.edge_summary(P.weak_labels(P.candidate_pairs(P.sentence_entities(s, terms, keys), keys))).collect()}
+    assert summary["total", "cases"] == 1 and summary["label", "PRESENTS_WITH"] == 1
 
 
 def test_anchor_and_quantities(spark):
@@ -306,8 +318,8 @@ def test_json_and_dictionary_sinks(spark, tmp_path):
 def test_empty_tables(spark, terms):
     empty = sentences(spark, "x").limit(0)
     assert G.star_edges(empty, terms).count() == 0 and rules.rule_edges(empty, terms).count() == 0
-    spans = M.match_terms(empty, ["case_id", "sent_no"], "sentence", terms)
-    assert G.candidate_pairs(empty, spans, ["case_id", "sent_no"]).count() == 0
+    keys = ["case_id", "sent_no"]
+    assert P.candidate_pairs(P.sentence_entities(empty, terms, keys), keys).count() == 0
     assert X.typed_quantities(empty, ["case_id", "sent_no"], "sentence").count() == 0
     assert A.co_patients(spark.createDataFrame([], "source_id string, target_id string")).count() == 0
 

@@ -75,62 +75,6 @@ def star_nodes(edges: DataFrame) -> DataFrame:
     return patients.unionByName(entities)
 
 
-def schema_pairs(spark) -> DataFrame:
-    return spark.createDataFrame([(a, b, r) for a, b, r in VALID_PAIRS], "type_e1 string, type_e2 string, relations array<string>")
-
-
-def candidate_pairs(sentences: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of different entities of a sentence, oriented by the schema: as read,
-    else reversed, else as read. One row for each pair, with the words between, the
-    distance, four words of context at both sides and the types in between.
-
-    The self-join is on the sentence, so its rows are bounded by a sentence's
-    entities; nothing is paired across sentences.
-    """
-    words = sentences.select(*keys, T.words(F.col("sentence")).alias("w"))
-    ents = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "term", "label"))).alias("e"))
-    rows = ents.where(F.size("e") > 1).join(words, keys)
-    firsts = rows.select(*keys, "w", "e", F.posexplode("e").alias("i", "a"))
-    pairs = firsts.select(*keys, "w", "e", "a", F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("b"))
-    forward = {(x, y) for x, y, _ in VALID_PAIRS}
-    fits = lambda x, y: F.concat(x, F.lit(">"), y).isin([f"{p}>{q}" for p, q in forward])
-    turned = ~fits(F.col("a.label"), F.col("b.label")) & fits(F.col("b.label"), F.col("a.label"))
-    one, two = F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b"))
-    between = F.slice("w", F.col("a.stop") + 1, F.col("b.start") - F.col("a.stop"))
-    return pairs.select(
-        *keys, one["term"].alias("e1"), one["label"].alias("type_e1"), two["term"].alias("e2"), two["label"].alias("type_e2"),
-        F.when(turned, "reversed").otherwise("forward").alias("reading_order"), F.array_join(between, " ").alias("between"),
-        (F.col("b.start") - F.col("a.stop")).alias("token_dist"),
-        F.array_join(F.slice("w", F.greatest(F.col("a.start") - 3, F.lit(1)), F.least(F.col("a.start"), F.lit(4))), " ").alias("left_context"),
-        F.array_join(F.slice("w", F.col("b.stop") + 1, F.lit(4)), " ").alias("right_context"),
-        F.array_join(F.transform(F.filter("e", lambda x: (x["start"] >= F.col("a.stop")) & (x["stop"] <= F.col("b.start"))), lambda x: x["label"]), ",").alias("intervening"),
-    )
-
-
-def weak_label(pair: DataFrame) -> Column:
-    """Relation of a candidate pair by the cascade of rules, or NONE."""
-    c = F.col
-    between, left, right = c("between"), c("left_context"), c("right_context")
-    around = F.concat_ws(" ", left, between, right)
-    cue = lambda text, name: scope.has(text, scope.CUES[name])
-    patient, disease = c("type_e1") == "Patient", c("type_e2") == "Disease"
-    clause = scope.same_clause(between)
-    inside = lambda t: F.array_contains(F.split("intervening", ","), t)
-    valid = F.concat(c("type_e1"), F.lit(">"), c("type_e2")).isin([f"{a}>{b}" for a, b, _ in VALID_PAIRS])
-    d = c("token_dist")
-    return (
-        F.when(~valid, "NONE").when(scope.negated_pair(left, between, patient), "NONE")
-        .when(patient & disease & cue(around, "FAMILY"), "FAMILIAR_HISTORY").when(patient & disease & cue(around, "HISTORY"), "HISTORY")
-        .when(patient & disease, "DIAGNOSED_WITH")
-        .when(patient & (c("type_e2") == "Symptom"), F.when(cue(around, "FAMILY"), "NONE").otherwise("PRESENTS_WITH"))
-        .when(patient & (c("type_e2") == "Medication"), "TAKES").when(patient & c("type_e2").isin("Exam", "Procedure"), "UNDERWENT_EXAM")
-        .when(c("type_e2") == "Anatomy", F.when(~inside("Anatomy") & ~F.array_contains(F.split("intervening", ","), c("type_e1")) & clause & ((d <= 4) | (cue(between, "LOCATED") & (d <= 10))), "LOCATED_IN").otherwise("NONE"))
-        .when(c("type_e1") == "Exam", F.when(~inside("Exam") & ((cue(between, "REVEALS") & (d <= 15)) | (clause & (d <= 8))), "REVEALS").otherwise("NONE"))
-        .when(c("type_e1") == "Medication", F.when(~inside("Medication") & (((c("type_e2") == "Effect") & clause & (d <= 10)) | (cue(between, "EFFECT") & (d <= 12))), "HAS_EFFECT").otherwise("NONE"))
-        .otherwise("NONE")
-    )
-
-
 def nearest_anchor(targets: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFrame:
     """Each target with its closest preceding anchor, else the closest one.
 

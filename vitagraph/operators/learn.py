@@ -85,17 +85,17 @@ def context_bag(tokens: DataFrame, keys: list[str], at: str, token: str, reach:
 
 
 def pair_features(pairs: DataFrame) -> DataFrame:
-    """Candidate pairs (:func:`graph.candidate_pairs`) with ``pair``, ``pair_order``,
+    """Candidate pairs (:func:`edges.candidate_pairs`) with ``pair``, ``pair_order``,
     ``valid_schema_pair``, ``token_dist_scaled``, ``log_dist``, ``dist_bin``,
     ``pair_dist``, ``same_clause``, ``head_e1``, ``head_e2``, ``num_intervening`` and
     ``has_same_type_intervening``."""
     d, pair = F.col("token_dist"), F.concat("type_e1", F.lit("->"), "type_e2")
     bins = F.when(d == 0, "adj_0").when(d <= 3, "close_1_3").when(d <= 8, "med_4_8").when(d <= 15, "far_9_15").otherwise("very_far_16+")
     between = F.when(F.col("intervening") == "", F.array().cast("array<string>")).otherwise(F.split("intervening", ","))
-    return pairs.select(
+    return pairs.withColumn("same_clause", same_clause(F.col("between"))).select(
         "*", pair.alias("pair"), F.concat(pair, F.lit("|"), "reading_order").alias("pair_order"),
         pair.isin([f"{a}->{b}" for a, b, _ in VALID_PAIRS]).alias("valid_schema_pair"),
-        (d / 10.0).alias("token_dist_scaled"), F.log1p(d).alias("log_dist"), bins.alias("dist_bin"), F.concat(pair, F.lit("|"), bins).alias("pair_dist"), same_clause(F.col("between")).alias("same_clause"),
+        (d / 10.0).alias("token_dist_scaled"), F.log1p(d).alias("log_dist"), bins.alias("dist_bin"), F.concat(pair, F.lit("|"), bins).alias("pair_dist"),
         T.headword(F.col("e1")).alias("head_e1"), T.headword(F.col("e2")).alias("head_e2"), F.size(between).alias("num_intervening"),
         (F.array_contains(between, F.col("type_e1")) | F.array_contains(between, F.col("type_e2"))).alias("has_same_type_intervening"),
     )

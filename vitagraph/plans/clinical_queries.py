@@ -12,6 +12,7 @@ from vitagraph.operators import learn as L
 from vitagraph.operators import matching as M
 from vitagraph.operators import rules, tagger
 from vitagraph.operators import scope as R
+from vitagraph.plans.text_queries import LEMMA_SQL, SHAPE_SQL
 from vitagraph.sources.tables import latest_by, table
 
 
@@ -197,11 +198,6 @@ def star_nodes(spark, sf_dir):
     return G.star_nodes(G.star_edges(case_sentences(spark, sf_dir), lexicon(spark, sf_dir)))
 
 
-def pairs(spark, sf_dir):
-    p = G.candidate_pairs(case_sentences(spark, sf_dir), _spans(spark, sf_dir, M.LONGEST_FIRST), ["case_id", "sent_no"])
-    return p.withColumn("label", G.weak_label(p))
-
-
 def tagged(spark, sf_dir):
     n = case_sentences(spark, sf_dir)
     return M.tag_text(n, ["case_id", "sent_no"], "sentence", _spans(spark, sf_dir, M.LONGEST_FIRST))
@@ -224,6 +220,7 @@ def dictionary(spark, sf_dir):
     return d.select("key", "n_words", "label", F.array_join("candidates", ",").alias("candidates"))
 
 
+_PEOPLE = ",".join(f"'{w}'" for w in M.PATIENT_WORDS)
 _ORDER_SQL = "case t " + " ".join(f"when '{t}' then {i}" for i, t in enumerate(M.PRIORITY, 1)) + " else 99 end"
 
 
@@ -233,12 +230,13 @@ def patient_runs(spark, sf_dir):
 
 
 def anchors(spark, sf_dir):
-    """Each entity's nearest preceding patient mention in its sentence."""
+    """Each entity's nearest preceding patient mention in its sentence, -1 without one."""
     n = case_sentences(spark, sf_dir)
     keys = ["case_id", "sent_no"]
     toks = n.select(*keys, F.posexplode(T.words(F.col("sentence"))).alias("at", "token"))
     people = M.word_runs(toks, keys, "at", "token").select(*keys, F.col("run_start").alias("start"), (F.col("run_stop") + 1).alias("stop"))
-    return G.nearest_anchor(_spans(spark, sf_dir, M.LONGEST_FIRST), people, keys)
+    found = G.nearest_anchor(_spans(spark, sf_dir, M.LONGEST_FIRST), people, keys)
+    return found.fillna(-1, ["a_start", "a_stop"])
 
 
 _GUESS = {"TAKES": "M", "UNDERWENT_EXAM": "E", "REVEALS": "R", "DIAGNOSED_WITH": "D", "PRESENTS_WITH": "S", "LOCATED_IN": "A"}
@@ -298,10 +296,12 @@ def neighbours(spark, sf_dir):
 
 
 def bio(spark, sf_dir):
-    """Spans again from the tags of the matched entities."""
+    """Spans again from the tags of all words, those of matched entities being I- tags."""
     keys = ["case_id", "sent_no"]
-    sp = _spans(spark, sf_dir, M.LONGEST_FIRST)
-    tags = sp.select(*keys, F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("at"), F.concat(F.lit("I-"), F.col("label")).alias("tag"))
+    listed = _spans(spark, sf_dir, M.LONGEST_FIRST).groupBy(*keys).agg(F.collect_list(F.struct("start", "stop", "label")).alias("s"))
+    words = case_sentences(spark, sf_dir).select(*keys, T.words(F.col("sentence")).alias("w")).join(listed, keys)
+    own = lambda i: F.get(F.filter("s", lambda x: (x["start"] <= i) & (i < x["stop"])), F.lit(0))["label"]
+    tags = words.select(*keys, F.posexplode(F.transform("w", lambda w, i: F.coalesce(F.concat(F.lit("I-"), own(i)), F.lit("O")))).alias("at", "tag"))
     return E.bio_spans(E.repair_bio(tags, keys, "at", "tag"), keys, "at")
 
 
@@ -324,6 +324,39 @@ def stems(spark, sf_dir):
     return L.stem_words(w, "word")
 
 
+_WORDS = "regexp_extract_all({0}, '[A-Za-z0-9]+(?:[-\'\'][A-Za-z0-9]+)*')"
+_SP = f"sp as ({_greedy_sql('n desc, start').replace(_NUMBERED, _TEXTS)}), {_TEXTS}, ww as (select case_id, sent_no, sentence, {_WORDS.format('sentence')} as w from n), tk as (select case_id, sent_no, unnest(w) as word, cast(generate_subscripts(w, 1) - 1 as integer) as i from ww)"
+_PATIENT = f"(lower(word) in ({_PEOPLE}) or ({LEMMA_SQL}) in ({_PEOPLE}))"
+_BIO = f"""with {_SP}, t as (select tk.case_id, tk.sent_no, i, label from tk join sp on sp.case_id = tk.case_id and sp.sent_no = tk.sent_no and start <= i and i < stop),
+ g as (select *, lag(i) over (partition by case_id, sent_no order by i) as pi, lag(label) over (partition by case_id, sent_no order by i) as pl from t),
+ k as (select *, sum(case when pi = i - 1 and pl = label then 0 else 1 end) over (partition by case_id, sent_no order by i) as isle from g)
+ select case_id, sent_no, min(i) as start, max(i) + 1 as stop, min(label) as label from k group by case_id, sent_no, isle"""
+_ANCHOR = f"""with {_SP}, pr as (select case_id, sent_no, min(i) as a_start, max(i) + 1 as a_stop from (select *, i - row_number() over (partition by case_id, sent_no order by i) as isle from tk where {_PATIENT}) group by case_id, sent_no, isle),
+ j as (select sp.*, a_start, a_stop, row_number() over (partition by sp.case_id, sp.sent_no, start, stop, term, label order by not (a_stop <= start), abs(start - a_start), a_start) as rn from sp left join pr on pr.case_id = sp.case_id and pr.sent_no = sp.sent_no)
+ select case_id, sent_no, start, stop, term, label, coalesce(a_start, -1) as a_start, coalesce(a_stop, -1) as a_stop from j where rn = 1"""
+_TAGGED = f"""with {_SP}, t as (select tk.case_id, tk.sent_no, i, case when start is null then word when start = i then 'TAG-' || upper(label) end as x from tk left join sp on sp.case_id = tk.case_id and sp.sent_no = tk.sent_no and start <= i and i < stop),
+ u as (select case_id, sent_no, string_agg(x, ' ' order by i) as tagged from t group by 1, 2) select n.case_id, n.sent_no, coalesce(tagged, '') as tagged from n left join u on u.case_id = n.case_id and u.sent_no = n.sent_no"""
+_NEAR = f"""with {_TEXTS}, ww as (select case_id, sent_no, {_WORDS.format('sentence')} as w from n), tk as (select case_id, sent_no, unnest(w) as word, cast(generate_subscripts(w, 1) - 1 as integer) as i from ww)
+ select case_id, sent_no, i as "at", lower(word) as w, {SHAPE_SQL} as shape, {", ".join(f"coalesce({'lag' if d > 0 else 'lead'}(lower(word), {abs(d)}) over (partition by case_id, sent_no order by i), 'edge') as w{'m' if d > 0 else 'p'}{abs(d)}" for d in (2, 1, -1, -2))} from tk"""
+_TEXT_CUES = " union all ".join(
+    f"select case_id, sent_no, '{r}' as relation, unnest(list_filter(list_transform(p, lambda x, i: case when i % 2 = 0 then cast(length(array_to_string(p[1:i-1], '')) as integer) end), lambda x: x is not null)) as c "
+    f"from (select case_id, sent_no, string_split(regexp_replace({_wordy('sentence')}, '({_q(p)})', chr(1) || '\\1' || chr(1), 'gi'), chr(1)) as p from n)"
+    for r, p in R.RELATION_CUES.items()
+)
+_LABEL_DEFAULT = "case label " + " ".join(f"when '{k}' then '{v}'" for k, v in R.DEFAULT_RELATION.items()) + " else 'MENTIONS' end"
+_NODE = "case label " + " ".join(f"when '{k}' then '{v}'" for k, v in T.NODE_PREFIX.items()) + f" else 'N' end || ':' || replace({_KEY.format('term')}, ' ', '_')"
+_WINDOWED = lambda p, a, b: f"regexp_matches(substr({_wordy('sentence')}, greatest(pos0 - {a}, 0) + 1, least(pos0, {a}) + {b}), '{_q(p)}', 'i')"
+_STAR = f"""with {_SP}, cutp as (select case_id, sent_no, string_split(regexp_replace(sentence, '([A-Za-z0-9]+(?:[-\'\'][A-Za-z0-9]+)*)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) as p from n),
+ ats as (select case_id, sent_no, unnest(list_transform(p, lambda x, i: {{'i': i, 'a': cast(length(array_to_string(p[1:i-1], '')) as integer)}}), recursive := true) from cutp),
+ e as (select sp.*, ats.a as pos0, sentence from sp join ats on ats.case_id = sp.case_id and ats.sent_no = sp.sent_no and ats.i = 2 * sp.start + 2 join n on n.case_id = sp.case_id and n.sent_no = sp.sent_no),
+ f as (select * from e where not ({_WINDOWED(R.WINDOW_NEGATION, 60, 0)} or {_WINDOWED(R.WINDOW_UNCERTAINTY, 35, 90)})),
+ cues as ({_TEXT_CUES}), allowed as ({_ALLOWED_SQL}),
+ x as (select f.case_id, f.sent_no, f.start, first(c.relation order by abs(c.c - f.pos0), c.relation) as r from f join cues c on c.case_id = f.case_id and c.sent_no = f.sent_no
+   join allowed w on w.type = (case when f.label in ({", ".join(f"'{k}'" for k in R.ALLOWED_RELATIONS)}) then f.label else 'Other' end) and w.relation = c.relation group by 1, 2, 3),
+ at0 as (select case_id, sent_no, {_ATTR} as l from n), at1 as (select case_id, sent_no, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '; ') as attributes from at0),
+ st as (select distinct 'P:' || f.case_id as source_id, {_NODE} as target_id, coalesce(x.r, {_LABEL_DEFAULT}) as relation, attributes, f.case_id, f.sent_no as sentence_number, f.sentence, f.term as label, f.label as type
+   from f left join x on x.case_id = f.case_id and x.sent_no = f.sent_no and x.start = f.start join at1 on at1.case_id = f.case_id and at1.sent_no = f.sent_no)"""
+
 QUERIES = {
     "r4_rule_edges": (rule_edges, None),
     "l19_ngram_entities": (ngram_entities, None),
@@ -332,7 +365,11 @@ QUERIES = {
         sentence_attributes,
         f"{_S}, l as (select sentence, {_ATTR} as l from s) select sentence, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '; ') as found from l where len(l) > 0",
     ),
-    "x1_sizes": (_extract(X.sizes, text_sentences), None),
+    "x1_sizes": (
+        _extract(X.sizes, text_sentences),
+        f"""{_S_TEXTS}, a as (select sentence, {_wordy('sentence')} as t from s), b as (select sentence, t, regexp_replace(t, '{X.SIZE_3D}', chr(1), 'gi') as t2 from a), c as (select *, regexp_replace(t2, '{X.SIZE_2D}', chr(1), 'gi') as t1 from b),
+        d as (select sentence, list_concat(regexp_extract_all(t, '{X.SIZE_3D}', 0, 'i'), regexp_extract_all(t2, '{X.SIZE_2D}', 0, 'i'), regexp_extract_all(t1, '{X.SIZE_1D}', 0, 'i')) as l from c) select sentence, array_to_string(l, '; ') as found from d where len(l) > 0""",
+    ),
     "x2_labs": (_extract(_labs, sentences), f"{_S} select sentence, array_to_string({_rx(X.LAB)}, '; ') as found from s where len({_rx(X.LAB)}) > 0"),
     "x4_modifiers": (
         modifiers,
@@ -369,8 +406,12 @@ QUERIES = {
     ),
     "m1_match_left_to_right": (lambda s, d: _spans(s, d, M.LEFT_TO_RIGHT, numbered), _greedy_sql("start, n desc")),
     "m2_match_longest_first": (lambda s, d: _spans(s, d, M.LONGEST_FIRST, numbered), _greedy_sql("n desc, start")),
-    "m4_tag_text": (tagged, None),
-    "m6_patient_runs": (patient_runs, None),
+    "m4_tag_text": (tagged, _TAGGED),
+    "m6_patient_runs": (
+        patient_runs,
+        f"""with w as (select row_id, {_WORDS.format('case_text')} as w from cases where case_text is not null), tk as (select row_id, unnest(w) as word, cast(generate_subscripts(w, 1) - 1 as integer) as i from w)
+        select row_id, min(i) as run_start, max(i) as run_stop from (select *, i - row_number() over (partition by row_id order by i) as isle from tk where {_PATIENT}) group by row_id, isle""",
+    ),
     "m7_dictionary": (
         dictionary,
         f"""with r as (select distinct {_KEY.format('label')} as key, type as t from v4_nodes where label is not null and type is not null and type <> 'Patient'), k as (select * from r where key <> '' and not (t = 'Anatomy' and regexp_matches(key, '{M.CELL_LINE}'))),
@@ -378,12 +419,11 @@ QUERIES = {
         select key, cast(len(string_split(key,' ')) as integer) as n_words, case when max(n)=1 and min(t)='Procedure' then 'IGNORE' else first(t order by {_ORDER_SQL}, t) end as label, string_agg(t, ',' order by {_ORDER_SQL}, t) as candidates from d group by key""",
     ),
     "entity_types": (entity_types, "with z as (" + _greedy_sql("n desc, start") + ") select label, count(*) as mentions, count(distinct case_id) as cases from z group by label"),
-    "g14_star_edges": (star_edges, None),
-    "g14_star_nodes": (star_nodes, None),
-    "j3_candidate_pairs": (pairs, None),
-    "j4_nearest_anchor": (anchors, None),
+    "g14_star_edges": (star_edges, _STAR + " select source_id, target_id, relation, attributes, case_id, sentence_number from st"),
+    "g14_star_nodes": (star_nodes, _STAR + " select distinct source_id as node_id, case_id as label, 'Patient' as type from st union all select target_id, min(label), min(type) from st group by 1"),
+    "j4_nearest_anchor": (anchors, _ANCHOR),
     "j8_quantity_edges": (quantity_edges, None),
-    "w7_bio_spans": (bio, None),
+    "w7_bio_spans": (bio, _BIO),
     "a9_span_scores": (lambda s, d: E.span_scores(*_gold_pred(s, d)), _SCORES + "select label, support, predicted, tp, fp, fn, precision, recall, f1 from z"),
     "a9_averages": (
         lambda s, d: E.averages(E.span_scores(*_gold_pred(s, d))),
@@ -413,7 +453,7 @@ QUERIES = {
         n as (select count(distinct relation) as n from f), r as (select relation, token, (1+ln(tf))*(ln((1+n.n)::double/(1+count(*) over (partition by token)))+1) as raw from f, n) select relation, token, round(raw/sqrt(sum(raw*raw) over (partition by relation)),6) as weight from r""",
     ),
     "l17_ngram_model": (lm, _LM),
-    "w1_neighbours": (neighbours, None),
+    "w1_neighbours": (neighbours, _NEAR),
     "l9_relation_classifier": (classified, None),
 }
 

@@ -12,6 +12,7 @@ from vitagraph.sources.tables import latest_by, table
 # ---- fixed values ----------------------------------------------------------
 #: Types of a term in several categories: the last of these wins.
 CATEGORY_ORDER = ["Anatomy", "Disease", "Exam", "Medication", "Procedure", "Result", "Symptom"]
+RENAMED = {"computed tomography": "CT", "tomography": "TOMO", "body weight": "weight", "bp": "blood pressure"}
 GENERIC = ["humans", "human subjects", "adults", "male", "female", "men", "women", "case description"]
 # ----------------------------------------------------------------------------
 
@@ -129,14 +130,17 @@ def shared_concepts(spark, sf_dir):
 
 
 def substituted(spark, sf_dir):
-    terms = {"computed tomography": "CT", "tomography": "TOMO", "body weight": "weight", "bp": "blood pressure"}
     e = table(spark, sf_dir, "v2_edges_gemini").where("sentence is not null").select("sentence").distinct()
-    return e.select("sentence", T.substitute(F.col("sentence"), terms).alias("changed")).where("sentence <> changed")
+    return e.select("sentence", T.substitute(F.col("sentence"), RENAMED).alias("changed")).where("sentence <> changed")
 
 
 _LATEST = "c as (select case_id, age, gender from (select *, row_number() over (partition by case_id order by loaded_at is not null desc, loaded_at desc, row_id desc) as rn from cases where case_id is not null) where rn = 1)"
 _ORDER = "case type " + " ".join(f"when '{t}' then {i}" for i, t in enumerate(CATEGORY_ORDER, 1)) + " end"
 
+_CHANGED = "sentence"
+for _term, _new in sorted(RENAMED.items(), key=lambda x: (-len(x[0]), x[0])):
+    _CHANGED = rf"regexp_replace({_CHANGED}, '\b{_term}\b', '{_new}', 'gi')"
+
 QUERIES = {
     "m5_term_types": (term_types, f"select lower(label) as term, arg_max(type, {_ORDER}) as type from v4_nodes where label is not null and {_ORDER} is not null group by 1"),
     "j2_containment": (containment, _CONTAIN),
@@ -161,7 +165,7 @@ QUERIES = {
     "a17_adjacency": (adjacency, "select relation, cast(sum(len(regexp_extract_all(sentence,'(renal|hepatic|gastric) (cyst|abscess|sarcoma)',0,'i'))) as bigint) as pairs, count(*) as edges from v2_edges_gemini where sentence is not null group by relation"),
     "g15_patient_nodes": (patient_nodes, f"with {_LATEST} select 'P:' || case_id as node_id, 'Patient' as type, concat_ws('; ', 'age=' || cast(trunc(case when isnan(age) then 0 else age end) as integer), 'gender=' || gender) as attributes from c"),
     "g20_numeric_edges": (numeric_edges, "select row_id, relation, cast(regexp_extract(attributes,'([0-9]+(?:[.][0-9]+)?)',1) as double) as number from v2_edges_gemini where regexp_matches(attributes,'[0-9]')"),
-    "s4_substitute": (substituted, None),
+    "s4_substitute": (substituted, f"with s as (select distinct sentence from v2_edges_gemini where sentence is not null), c as (select sentence, {_CHANGED} as changed from s) select * from c where sentence <> changed"),
     "s17_mesh_heads": (mesh_heads, None),
     "w8_best_rows": (best_rows, "with n as (select case_id, node_id, count(*) as n from v4_nodes group by 1,2) select case_id, first(node_id order by n desc, node_id) as node_id, max(n) as n from n group by case_id"),
     "u5_shared_concepts": (

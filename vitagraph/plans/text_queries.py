@@ -29,6 +29,19 @@ def lemmas(spark, sf_dir):
 _IRREGULAR_SQL = " ".join(f"when lower(word)='{k}' then '{v}'" for k, v in T.IRREGULAR.items())
 
 
+LEMMA_SQL = f"""case when length(word) >= 2 and upper(word) = word and lower(word) <> word then word
+        {_IRREGULAR_SQL}
+        when lower(word) like '%ies' and length(word) > 4 then left(lower(word), length(word) - 3) || 'y'
+        when regexp_matches(lower(word), '[shxz]es$') and length(word) > 3 then left(lower(word), length(word) - 2)
+        when lower(word) like '%s' and lower(word) not like '%ss' and length(word) > 3 then left(lower(word), length(word) - 1)
+        else lower(word) end"""
+
+
+SHAPE_SQL = "regexp_replace(regexp_replace(regexp_replace(word,'[A-Z]','X','g'),'[a-z]','x','g'),'[0-9]','d','g')"
+for _c, _d in (("X", "X"), ("x", "x"), ("d", "d"), ("-", "-"), ("''", "''")):
+    SHAPE_SQL = f"regexp_replace({SHAPE_SQL},'{_c}+','{_d}','g')"
+
+
 def word_shapes(spark, sf_dir):
     return _words(spark, sf_dir).select("word", T.word_shape(F.col("word")).alias("shape"))
 
@@ -109,20 +122,11 @@ def acronyms(spark, sf_dir):
 
 QUERIES = {
     "s1_normalize_phrase": (normalize_phrases, f"select row_id, {_NORM.format('label')} as normalized from v4_nodes where label is not null"),
-    "s2_lemmatize": (
-        lemmas,
-        f"""with w as ({_WORDS_SQL}) select word, case when length(word) >= 2 and upper(word) = word and lower(word) <> word then word
-        {_IRREGULAR_SQL}
-        when lower(word) like '%ies' and length(word) > 4 then left(lower(word), length(word) - 3) || 'y'
-        when regexp_matches(lower(word), '[shxz]es$') and length(word) > 3 then left(lower(word), length(word) - 2)
-        when lower(word) like '%s' and lower(word) not like '%ss' and length(word) > 3 then left(lower(word), length(word) - 1)
-        else lower(word) end as lemma from w""",
-    ),
+    "s2_lemmatize": (lemmas, f"with w as ({_WORDS_SQL}) select word, {LEMMA_SQL} as lemma from w"),
     "s5_node_id": (node_ids, f"select row_id, {_PREFIX_SQL} || ':' || replace({_NORM.format('label')}, ' ', '_') as made_id from v4_nodes where label is not null"),
     "s7_word_shape": (
         word_shapes,
-        f"""with w as ({_WORDS_SQL}), m as (select word, regexp_replace(regexp_replace(regexp_replace(word,'[A-Z]','X','g'),'[a-z]','x','g'),'[0-9]','d','g') as s from w)
-        select word, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s,'X+','X','g'),'x+','x','g'),'d+','d','g'),'-+','-','g'),'''+','''','g') as shape from m""",
+        f"with w as ({_WORDS_SQL}) select word, {SHAPE_SQL} as shape from w",
     ),
     "s8_affixes": (
         affixes,
