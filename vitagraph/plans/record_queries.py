@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vitagraph.functions import text as T
 from vitagraph.operators.analytics import percent
 from vitagraph.operators.packed import FIELDS, packed_values
+from vitagraph.plans.general_problems import packed_sql
 from vitagraph.sources.tables import latest_by, table
 
 # ---- fixed values ----------------------------------------------------------
@@ -141,6 +142,8 @@ _CHANGED = "sentence"
 for _term, _new in sorted(RENAMED.items(), key=lambda x: (-len(x[0]), x[0])):
     _CHANGED = rf"regexp_replace({_CHANGED}, '\b{_term}\b', '{_new}', 'gi')"
 
+_MESH_CELLS = "select row_id as id, 'mesh_terms' as field_name, mesh_terms as cell from metadata"
+
 QUERIES = {
     "m5_term_types": (term_types, f"select lower(label) as term, arg_max(type, {_ORDER}) as type from v4_nodes where label is not null and {_ORDER} is not null group by 1"),
     "j2_containment": (containment, _CONTAIN),
@@ -166,7 +169,10 @@ QUERIES = {
     "g15_patient_nodes": (patient_nodes, f"with {_LATEST} select 'P:' || case_id as node_id, 'Patient' as type, concat_ws('; ', 'age=' || cast(trunc(case when isnan(age) then 0 else age end) as integer), 'gender=' || gender) as attributes from c"),
     "g20_numeric_edges": (numeric_edges, "select row_id, relation, cast(regexp_extract(attributes,'([0-9]+(?:[.][0-9]+)?)',1) as double) as number from v2_edges_gemini where regexp_matches(attributes,'[0-9]')"),
     "s4_substitute": (substituted, f"with s as (select distinct sentence from v2_edges_gemini where sentence is not null), c as (select sentence, {_CHANGED} as changed from s) select * from c where sentence <> changed"),
-    "s17_mesh_heads": (mesh_heads, None),
+    "s17_mesh_heads": (
+        mesh_heads,
+        f"with recursive {packed_sql(_MESH_CELLS)}, h as (select lower(trim(regexp_replace(split_part(item, '/', 1), '\\s+', ' ', 'g'))) as term from pv) select term, count(*) as n from h where length(term) >= 4 and term not in ({', '.join(map(repr, GENERIC))}) group by term",
+    ),
     "w8_best_rows": (best_rows, "with n as (select case_id, node_id, count(*) as n from v4_nodes group by 1,2) select case_id, first(node_id order by n desc, node_id) as node_id, max(n) as n from n group by case_id"),
     "u5_shared_concepts": (
         shared_concepts,

@@ -15,4 +15,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for DuckDB of the queries that have one."""
-    return {k: sql for k, (_, sql) in _WITH_ORACLE.items() if sql}
+    return general_problems.ORACLES | {k: sql for k, (_, sql) in _WITH_ORACLE.items() if sql}
