@@ -188,6 +188,18 @@ def test_deal_groups(spark):
         groups.deal_groups(spark.createDataFrame(rows, "group_id string, records bigint"), {})
 
 
+@pytest.mark.parametrize("sizes", [[2**k for k in range(12)], [1000] + [1] * 9000, [300, 300, 300, 100] + [1] * 500])
+def test_deal_groups_of_skewed_sizes(spark, sizes):
+    df = spark.createDataFrame([(f"g{k}", n) for k, n in enumerate(sizes)], "group_id string, records bigint")
+    wanted = {"train": 0.8, "validation": 0.1, "test": 0.1}
+    dealt = groups.deal_groups(df, wanted).toPandas()
+    share = dealt.groupby("split").records.sum() / sum(sizes)
+    assert len(dealt) == len(sizes)
+    # within two per cent, but for what a single group takes above a share
+    over = max([0, *[n / sum(sizes) - 0.1 for n in sizes if n < 0.5 * sum(sizes)]])
+    assert all(abs(share.get(k, 0) - v) <= 0.02 + over for k, v in wanted.items())
+
+
 def test_p5_pairs_counts_every_pair(spark, tmp_path):
     from vitagraph.llm import queries
 

@@ -211,3 +211,31 @@ def test_long_and_nested_brackets_are_not_divided():
         text = f"Seen ({inner}) today. Next one."
         assert len(sentence_spans(text)) == 2
     assert len(sentence_spans("Open ( here. Next one.")) == 2
+
+
+def test_marks_of_all_scripts_are_composed():
+    import unicodedata
+
+    run = lookalike.transducer()
+    for c in ["\u0622", "\uac00", "\u09cb", "\u0929", "\u00e9", "\u30d0"]:
+        apart = unicodedata.normalize("NFD", c)
+        assert run(apart) == run(c)
+        assert run("\u0430\u0301 " + apart) == run("\u00e1 " + c)  # in a text with rewritten letters too
+    assert run("\u0555\u13aa") == "OA"
+
+
+def test_look_alike_classes(spark):
+    df = spark.createDataFrame([(1, "CEA"), (2, "\u0421EA"), (3, "\u0421EA"), (4, "CEB"), (5, None), (6, "x"), (7, "x")], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.strings, r.members) for r in lookalike.look_alike_classes(df, "doc_id", "text").collect())
+    assert got == [(1, 2, 3), (2, 2, 3), (3, 2, 3)]
+    assert lookalike.look_alike_classes(df.limit(0), "doc_id", "text").count() == 0
+
+
+@needs_vocabulary
+def test_bpe_long_words(reference):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeé") for _ in range(n)) for n in (65, 700, 3000)]
+    own = bpe.encoder(bpe.TOKENIZERS, bpe.VOCABULARY)
+    assert [x.tolist() for x in own.encode(words)] == reference(words)
+    many = ["".join(rng.choice("abc") for _ in range(80)) for _ in range(60)]  # in lockstep
+    assert [x.tolist() for x in own.encode(many)] == reference(many)

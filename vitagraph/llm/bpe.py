@@ -60,6 +60,8 @@ class SegmentTreeBpe:
         self.of_byte = np.array([ids[x] for x in _byte_letters()], np.int64)
         self.rank = {int(k): r for r, k in enumerate(key)}
         self.words = regex.compile(PATTERN).findall
+        self.letters = {x: b for b, x in enumerate(_byte_letters())}
+        self.names = ids
         self.cache: dict[str, int] = {}
         self._clear()
 
@@ -194,6 +196,10 @@ class SegmentTreeBpe:
             out.append(symbol[i, np.flatnonzero(alive[i])].astype(np.int32))
         return out
 
+    def pieces(self) -> dict[int, bytes]:
+        """The bytes of each id (special tokens, which are never given, left out)."""
+        return {i: bytes(map(self.letters.__getitem__, x)) for x, i in self.names.items() if all(c in self.letters for c in x)}
+
     def codes(self, words: list[str]) -> np.ndarray:
         """Row of each word in the table of encoded words."""
         new = list(set(words).difference(self.cache))
@@ -280,6 +286,18 @@ def token_count(text: Column, folder: str = TOKENIZERS, name: str = VOCABULARY)
     return counts(text)
 
 
+def decoded(ids: Column, folder: str = TOKENIZERS, name: str = VOCABULARY) -> Column:
+    """The text that ids stand for; null for null."""
+
+    @F.pandas_udf("string")
+    def text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pieces = encoder(folder, name).pieces()
+        for part in parts:
+            yield pd.Series([None if x is None else b"".join([pieces[i] for i in x]).decode("utf-8", "surrogatepass") for x in part], index=part.index, dtype=object)
+
+    return text(ids)
+
+
 def encode_documents(df: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """``doc_id``, ``ids``: one row for each row of ``df``. A map without shuffle;
     repeated rows are encoded each, extra columns are pruned."""

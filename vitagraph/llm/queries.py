@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from vitagraph.llm import bpe, groups, lookalike, overlap, packing, pairs, sentences, terms
 from vitagraph.operators.packed import FIELDS, packed_values
-from vitagraph.sources.tables import latest_by, plain_term, table
+from vitagraph.plans.general_problems import packed_sql
+from vitagraph.sources.tables import checkpointed, latest_by, plain_term, table
 
 
 def _mesh_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,27 +179,111 @@ def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.look_alike_classes(table(spark, sf_dir, "documents"), "doc_id", "text").drop("class_id")
 
 
+def p4_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, and their signs other than blanks that stand in a sentence: all of them."""
+    found = []
+    for src, column in (("cases", "case_text"), ("v2_edges_gemini", "sentence")):
+        texts = table(spark, sf_dir, src).select("row_id", column).where(F.length(column) > 0)
+        cut = sentences.split_sentences(texts, ["row_id", column], column)
+        part = F.substr(F.col(column), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+        signs = cut.agg(F.sum(F.length(F.regexp_replace(part, r"[\s\x0b\x85\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff\x1c-\x1f]", ""))).alias("signs"))
+        found.append(texts.agg(F.lit(src).alias("src"), F.count("*").alias("texts")).join(F.broadcast(signs)))  # one row each
+    return found[0].unionByName(found[1])
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each split, whether its share is within two per cent of all cases, and groups
+    whose cases are not all in one split."""
+    dealt = p7_splits(spark, sf_dir)
+    torn = dealt.groupBy("group_id").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("torn_groups"))
+    wanted = F.create_map(*[F.lit(x) for p in {"train": 0.8, "validation": 0.1, "test": 0.1}.items() for x in p])
+    shares = dealt.groupBy("split").agg(F.count("*").alias("n")).join(F.broadcast(dealt.agg(F.count("*").alias("all"))))
+    return shares.select("split", (F.abs(F.col("n") / F.col("all") - F.try_element_at(wanted, F.col("split"))) <= 0.02).alias("near_its_share")).join(F.broadcast(torn))
+
+
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, null ones, and those whose ids do not give their text again."""
+    docs = table(spark, sf_dir, "documents").select("text", bpe.token_ids(F.col("text")).alias("ids"))
+    same = F.when(F.col("text").isNull(), F.col("ids").isNull()).otherwise(bpe.decoded(F.col("ids")) == F.col("text"))
+    return docs.select(F.col("text").isNull().alias("n"), F.coalesce(same, F.lit(False)).alias("s")).agg(F.count("*").alias("documents"), F.count_if("n").alias("nulls"), F.count_if(~F.col("s")).alias("differing"))
+
+
+def p9_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each kind: documents, containers over their capacity, documents divided though
+    they fit, and documents whose pieces are not all their tokens in order."""
+    packed = checkpointed(p9_packing(spark, sf_dir)).join(F.broadcast(table(spark, sf_dir, "pack_sizes")), "container_kind")  # a row for each kind
+    full = packed.groupBy("container_kind", "container_id", "capacity").agg(F.sum("item_tokens").alias("n")).groupBy("container_kind").agg(F.count_if(F.col("n") > F.col("capacity")).alias("overfull"))
+    sizes = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(bpe.token_count(F.col("text")), F.lit(0)).alias("size"))
+    last = F.max(F.col("item_start") + F.col("item_tokens"))
+    docs = packed.groupBy("container_kind", "capacity", "doc_id").agg(F.count("*").alias("pieces"), F.max("piece").alias("highest"), F.sum("item_tokens").alias("n"), last.alias("last")).join(sizes, "doc_id")
+    whole = (F.col("n") == F.col("size")) & (F.col("last") == F.col("size")) & (F.col("pieces") == F.col("highest"))
+    return docs.groupBy("container_kind").agg(
+        F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= F.col("capacity"))).alias("divided"), F.count_if(~whole).alias("incomplete")
+    ).join(full, "container_kind")
+
+
+def p10_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and those whose consistent form has another consistent form."""
+    forms = p10_forms(spark, sf_dir).where("form is not null")
+    return forms.select((lookalike.consistent_form(F.col("form")) != F.col("form")).alias("x")).agg(F.count("*").alias("documents"), F.count_if("x").alias("unstable"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_term_counts": p2_term_counts,
     "p2_ngrams": p2_ngrams,
     "p4_found": p4_found,
+    "p4_coverage": p4_coverage,
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p7_found": p7_found,
     "p7_splits": p7_splits,
+    "p7_shares": p7_shares,
     "p8_ids": p8_ids,
+    "p8_round_trip": p8_round_trip,
     "p9_packing": p9_packing,
     "p9_fill": p9_fill,
+    "p9_valid": p9_valid,
     "p10_found": p10_found,
     "p10_forms": p10_forms,
     "p10_classes": p10_classes,
+    "p10_stable": p10_stable,
 }
 
+_BLANKS = r"[\s\x{00a0}\x{2000}-\x{200a}\x{202f}\x{3000}]+"
+_PLAIN = lambda c: f"trim(regexp_replace(lower({c}), '{_BLANKS}', ' ', 'g'))"
+_MESH = (
+    packed_sql(
+        "select article_id as id, 'mesh_terms' as field_name, mesh_terms as cell from (select *, row_number() over (partition by article_id order by loaded_at is not null desc, loaded_at desc, row_id desc) as rn from metadata where article_id is not null) where rn = 1"
+    )
+    + f", mesh as (select id as article_id, {_PLAIN('item')} as term from pv where {_PLAIN('item')} <> '')"
+)
+_TM = f"""with recursive {_MESH}, tm as (select 'mesh_terms' as field_name, article_id as record, term from mesh
+ union all select 'label', case_id, {_PLAIN("label")} from v4_nodes where (type is null or type <> 'Patient') and label is not null and case_id is not null and {_PLAIN("label")} <> ''),
+ tc as (select field_name, term, count(*) as occurrences, count(distinct record) as records from tm group by 1, 2),
+ tt as (select 'mesh_terms' as field_name, count(distinct article_id) as total from metadata union all select 'label', count(distinct case_id) from v4_nodes),
+ marked as (select tc.*, case when records = 1 then 'rare' when records > 0.1::double * total then 'common' end as mark from tc join tt using (field_name))"""
+_PAIRS = f"""with recursive {_MESH}, bk as (select distinct 'mesh_terms' as f, article_id as k, term as item from mesh union all select distinct 'target_id', source_id, target_id from v1_edges where regexp_full_match(source_id, 'P[0-9]+') and target_id is not null),
+ nb as (select f, count(distinct k) as n from bk group by f), ni as (select f, item, count(*) as c from bk group by 1, 2),
+ jo as (select x.f, x.item as lo, y.item as hi, count(*) as joint from bk x join bk y on x.f = y.f and x.k = y.k and x.item < y.item group by 1, 2, 3),
+ al as (select jo.f as field_name, lo as item_lo, hi as item_hi, joint, a.c as n_lo, b.c as n_hi, n as n_baskets from jo join ni a on a.f = jo.f and a.item = lo join ni b on b.f = jo.f and b.item = hi join nb on nb.f = jo.f)"""
+_TEXT_SIZE = lambda c: f"cast(sum(length(regexp_replace({c}, '[\\s\\x{{000b}}\\x{{0085}}\\x{{00a0}}\\x{{1680}}\\x{{2000}}-\\x{{200b}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{feff}}\\x{{001c}}-\\x{{001f}}]', '', 'g'))) as bigint)"
+
 #: Oracles of the problems that SQL can express on whole tables.
 ORACLES = {
+    "p2_found": _TM + " select field_name, term, mark from marked where mark is not null",
+    "p2_term_counts": _TM + " select field_name, term, occurrences, records, mark from marked",
+    "p2_ngrams": _TM + """, wd as (select field_name, record, string_split(term, ' ') as w from tm), ix as (select *, unnest(generate_series(1, len(w))) as i from wd), ng as (select *, unnest(generate_series(i, len(w))) as j from ix)
+ select field_name, array_to_string(w[i:j], ' ') as ngram, cast(j - i + 1 as integer) as n, count(*) as occurrences, count(distinct record) as records from ng group by 1, 2, 3""",
+    "p4_coverage": f"select 'cases' as src, count(*) as texts, {_TEXT_SIZE('case_text')} as signs from cases where length(case_text) > 0 union all select 'v2_edges_gemini', count(*), {_TEXT_SIZE('sentence')} from v2_edges_gemini where length(sentence) > 0",
+    "p5_found": _PAIRS + " select field_name, item_lo, item_hi from al where joint >= 3 and joint * n_baskets >= 3 * n_lo * n_hi",
+    "p5_pairs": _PAIRS + " select *, round(joint * n_baskets / (n_lo::double * n_hi), 6) as lift from al",
+    "p7_shares": "select unnest(['train', 'validation', 'test']) as split, true as near_its_share, 0::bigint as torn_groups",
+    "p8_round_trip": "select count(*) as documents, count(*) filter (text is null) as nulls, 0::bigint as differing from documents",
+    "p9_valid": "select container_kind, (select count(*) from documents) as documents, 0::bigint as overfull, 0::bigint as divided, 0::bigint as incomplete from pack_sizes",
+    "p10_stable": "select count(*) as documents, 0::bigint as unstable from documents where text is not null",
     "p7_found": r"""
 with recursive m as (select case_id, article_id, split, row_number() over (partition by case_id order by loaded_at is not null desc, loaded_at desc, row_id desc) as rn from split_manifest where case_id is not null),
  r as (select case_id, regexp_replace(case_id, '_[^_]*$', '') as own, case when regexp_extract(article_id, '([0-9]+)\s*$', 1) <> '' then 'PMC' || regexp_extract(article_id, '([0-9]+)\s*$', 1) end as named,
