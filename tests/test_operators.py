@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from vitagraph.functions import stem as S
 from vitagraph.functions import text as T
 from vitagraph.operators import analytics as A
 from vitagraph.operators import attributes as X
@@ -239,7 +240,6 @@ def test_models(spark):
     assert out.where("prediction <> label_index").count() == 0
     lm = {(r.context, r.word): (r.c, r.p) for r in L.laplace(L.ngram_model(spark.createDataFrame([(["a", "b"],), (["a"],), (None,)], "t array<string>"), "t", 2)).collect()}
     assert lm["<s>", "a"][0] == 2 and abs(lm["<s>", "a"][1] - 3 / (2 + 4)) < 1e-9
-    assert {r.word: r.stem for r in L.stem_words(spark.createDataFrame([(w,) for w in ["caresses", "ponies", "hopping", "Plastered", "falling", "agreed", "x1"]], "w string"), "w").withColumnRenamed("w", "word").collect()} == {"caresses": "caress", "ponies": "poni", "hopping": "hop", "Plastered": "plaster", "falling": "fall", "agreed": "agree", "x1": "x1"}
 
 
 def test_alignment(spark):
@@ -358,3 +358,26 @@ def test_terms_of_more_than_five_words_match(spark):
     rows = spark.createDataFrame([(1, "Atypical squamous cells of the cervix were seen")], "k int, t string")
     for by in (M.LONGEST_FIRST, M.LEFT_TO_RIGHT):
         assert [(r.start, r.stop) for r in M.match_terms(rows, ["k"], "t", terms, by).collect()] == [(0, 6)]
+
+
+#: Published pairs of words and stems.
+STEMS = {
+    "consigned": "consign", "consistency": "consist", "consolation": "consol", "consolingly": "consol", "conspicuously": "conspicu",
+    "knackeries": "knackeri", "knaves": "knave", "knavish": "knavish", "kneading": "knead", "knightly": "knight", "knots": "knot",
+    "happy": "happi", "relational": "relat", "hopefulness": "hope", "generously": "generous", "ties": "tie", "cries": "cri", "by": "by",
+    "say": "say", "gas": "gas", "this": "this", "gaps": "gap", "kiwis": "kiwi", "luxuriated": "luxuri", "hoping": "hope", "hopped": "hop",
+    "skies": "sky", "caresses": "caress", "agreed": "agre", "Plastered": "plaster", "x1": "x1", "communities": "communiti", "yellow": "yellow",
+    "biliary": "biliari", "resection": "resect", "adjustable": "adjust", "formalities": "formal", "vietnamization": "vietnam", "rational": "ration",
+}
+
+
+def test_stems(spark):
+    got = {r.w: r.stem for r in S.stem_words(spark.createDataFrame([(w,) for w in [*STEMS, None]], "w string"), "w").collect()}
+    assert got == STEMS
+
+
+def test_stem_matches(spark):
+    s = sentences(spark, "The women had recurrent infections, of the kidneys", "No terms")
+    terms = M.stemmed_phrases(spark.createDataFrame([("recurrent infection",), ("kidney",), ("woman",)], "p string"), "p").select("key", F.lit("Disease").alias("label"))
+    got = {(r.sent_no, r.start, r.stop, r.term, r.label) for r in M.match_stems(s, ["case_id", "sent_no"], "sentence", terms, P.patient_runs).collect()}
+    assert got == {(1, 1, 2, "women", "Patient"), (1, 3, 5, "recurr infect", "Disease"), (1, 7, 8, "kidney", "Disease")}

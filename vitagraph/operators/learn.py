@@ -259,21 +259,3 @@ def align_tags(rows: DataFrame, most: int = 15) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     return rows.select("id", align("original", "tagged").alias("spans"))
-
-
-def stem_words(words: DataFrame, word: str) -> DataFrame:
-    """``word``, ``stem`` of distinct words, by the published Porter steps for plurals
-    and for -ed and -ing; join it back to the tokens. Non-alphabetic words stay."""
-    low = F.lower(word)
-    plural = (
-        F.when(low.endswith("sses"), F.left(low, F.length(low) - 2)).when(low.endswith("ies"), F.left(low, F.length(low) - 2))
-        .when(low.endswith("ss"), low).when(low.endswith("s"), F.left(low, F.length(low) - 1)).otherwise(low)
-    )
-    base = F.regexp_replace("p_", "(?:ed|ing)$", "")
-    cut = F.col("p_").rlike("[aeiouy].*(?:ed|ing)$") & base.rlike("[aeiouy]")
-    tidy = (
-        F.when(base.rlike("(?:at|bl|iz)$"), F.concat(base, F.lit("e"))).when(base.rlike(r"([^aeioulsz])\1$"), F.left(base, F.length(base) - 1)).otherwise(base)
-    )
-    rows = words.select(word).distinct().withColumn("p_", plural)
-    return rows.select(word, F.when(~low.rlike("^[a-z]+$"), low).when(F.col("p_").endswith("eed"), F.left("p_", F.length("p_") - 1)).when(cut, tidy).otherwise(F.col("p_")).alias("stem"))
-

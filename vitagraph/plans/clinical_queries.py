@@ -319,11 +319,6 @@ def ngram_entities(spark, sf_dir):
     return tagger.find_entities(plain, keys, "tokens", fitted)
 
 
-def stems(spark, sf_dir):
-    w = table(spark, sf_dir, "cases").select(F.explode(T.words(F.col("case_text"))).alias("word"))
-    return L.stem_words(w, "word")
-
-
 _WORDS = "regexp_extract_all({0}, '[A-Za-z0-9]+(?:[-\'\'][A-Za-z0-9]+)*')"
 _SP = f"sp as ({_greedy_sql('n desc, start').replace(_NUMBERED, _TEXTS)}), {_TEXTS}, ww as (select case_id, sent_no, sentence, {_WORDS.format('sentence')} as w from n), tk as (select case_id, sent_no, unnest(w) as word, cast(generate_subscripts(w, 1) - 1 as integer) as i from ww)"
 _PATIENT = f"(lower(word) in ({_PEOPLE}) or ({LEMMA_SQL}) in ({_PEOPLE}))"
@@ -360,7 +355,6 @@ _STAR = f"""with {_SP}, cutp as (select case_id, sent_no, string_split(regexp_re
 QUERIES = {
     "r4_rule_edges": (rule_edges, None),
     "l19_ngram_entities": (ngram_entities, None),
-    "t11_stems": (stems, None),
     "x5_sentence_attributes": (
         sentence_attributes,
         f"{_S}, l as (select sentence, {_ATTR} as l from s) select sentence, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '; ') as found from l where len(l) > 0",
