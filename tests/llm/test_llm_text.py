@@ -123,6 +123,18 @@ def test_sentences_need_a_word():
     assert cut("He left! !! ? She came.") == ["He left! !! ?", "She came."]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.text("ab !.", min_size=1, max_size=4), st.integers(-4, 4)), min_size=1, max_size=8))
+def test_the_plain_path_is_the_cheapest(parts):
+    line, nodes = "", []
+    for text, cost in parts:
+        line += text + "."
+        nodes.append((len(line), len(line) - 1, float(cost)))
+    line += "a"
+    total = lambda spans: sum(dict((e, c) for e, _, c in nodes)[b] for _, b in spans[:-1]) + 20 * sum(not any(c.isalnum() for c in line[a:b]) for a, b in spans)
+    assert total(sentences._plain_path(line, nodes)) == total(sentences._cheapest_path(line, nodes, []))
+
+
 def test_far_brackets_and_blanks():
     cut = lambda t: [t[a:b] for a, b in sentences.sentence_spans(t)]
     inside = "(" + "no. Yes. " * 200 + "end)"
