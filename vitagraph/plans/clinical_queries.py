@@ -12,7 +12,7 @@ from vitagraph.operators import learn as L
 from vitagraph.operators import matching as M
 from vitagraph.operators import rules, tagger
 from vitagraph.operators import scope as R
-from vitagraph.plans.text_queries import LEMMA_SQL, SHAPE_SQL
+from vitagraph.plans.text_queries import LEMMA_SQL, SHAPE_SQL, apart, plain_regex
 from vitagraph.sources.tables import latest_by, table
 
 
@@ -352,8 +352,56 @@ _STAR = f"""with {_SP}, cutp as (select case_id, sent_no, string_split(regexp_re
  st as (select distinct 'P:' || f.case_id as source_id, {_NODE} as target_id, coalesce(x.r, {_LABEL_DEFAULT}) as relation, attributes, f.case_id, f.sent_no as sentence_number, f.sentence, f.term as label, f.label as type
    from f left join x on x.case_id = f.case_id and x.sent_no = f.sent_no and x.start = f.start join at1 on at1.case_id = f.case_id and at1.sent_no = f.sent_no)"""
 
+_QN = r"\d+(?:,\d{3})*(?:\.\d+)?"
+_QUANTITIES = f"""q0 as (select sentence, regexp_extract_all({apart('sentence')}, '{plain_regex(X.QUANTITY_TOKEN)}') as t from s),
+ q1 as (select sentence, cast(generate_subscripts(t, 1) - 1 as integer) as token_index, unnest(t) as quantity, t from q0),
+ q2 as (select sentence, token_index, quantity, case when token_index >= 1 then lower(t[token_index]) else '' end as b1, case when token_index >= 2 then lower(t[token_index - 1]) else '' end as b2,
+   case {" ".join(f"when regexp_matches(quantity, '{_q(p)}') then '{n}'" for n, p in X.QUANTITY_RULES.items())} end as rule from q1 where regexp_matches(quantity, '^[0-9]')),
+ q3 as (select sentence, token_index, quantity, case when rule = 'dimension' then quantity else regexp_extract(quantity, '^{_QN}(?:/{_QN})?', 0) end as value,
+   case when rule = 'numero_puro' and b1 in ('day', 'pod') then b1 when rule = 'numero_puro' then '' when rule = 'dimension' then lower(regexp_extract(quantity, '(?i)(?:cm|mm)', 0))
+   else regexp_replace(substr(quantity, length(regexp_extract(quantity, '^{_QN}(?:/{_QN})?', 0)) + 1), '^[\\s-]+', '') end as unit,
+   case when rule = 'numero_puro' and b1 in ('day', 'pod') then 'time' else rule end as matched_rule from q2
+   where rule is not null and not (b1 in ({", ".join(f"'{w}'" for w in X._FIGURE)}) or b2 in ({", ".join(f"'{w}'" for w in X._FIGURE)})) and not regexp_matches(quantity, '(?i)(?:year|years|month)-old$')
+   and (rule <> 'numero_puro' or b1 in ({", ".join(f"'{w}'" for w in X._COUNTED)})))"""
+
+def _found_sql(name: str, pattern: str) -> str:
+    """Matches of a pattern in each sentence: ``at``, ``stop``, ``x`` and their order."""
+    cut = f"string_split(regexp_replace({_wordy('sentence')}, '({_q(pattern)})', chr(1) || '\\1' || chr(1), 'gi'), chr(1))"
+    return (
+        f"{name} as (select case_id, sent_no, i, cast(length(array_to_string(p[1:i-1], '')) as integer) as pos0, cast(length(array_to_string(p[1:i], '')) as integer) as stop, p[i] as x"
+        f" from (select case_id, sent_no, p, unnest(generate_series(2, len(p), 2)) as i from (select case_id, sent_no, {cut} as p from n)))"
+    )
+
+
+_IN = lambda a, b: f"{a}.case_id = {b}.case_id and {a}.sent_no = {b}.sent_no"
+_NEGATED_SQL = f"len(list_filter(regexp_split_to_array(sentence, '{_q(R.CONTRAST)}', 'i'), lambda c: regexp_matches(c, '{_q(R.NEGATED_AFTER)}', 'i') and contains(lower(regexp_extract(c, '{_q(R.NEGATED_AFTER)}', 1, 'i')), lower(term)))) > 0"
+_GAP = lambda a, b: f"greatest(0, {a}.pos0 - {b}.stop, {b}.pos0 - {a}.stop)"
+_RULES = f"""with sp as ({_greedy_sql("start, n desc").replace(_NUMBERED, _TEXTS)}), {_TEXTS},
+ en as (select sp.case_id, sp.sent_no, sp.start, sp.term, sp.label, strpos(lower(sentence), term) - 1 as pos0, strpos(lower(sentence), term) - 1 + length(term) as stop, lower(sentence) as low, sentence from sp join n on {_IN("sp", "n")} where not ({_NEGATED_SQL})),
+ md as (select case_id, sent_no, {_rx(X.POD, 1)}[1] as pod, coalesce({_rx(X.DURATION_HISTORY)}[1], {_rx(X.DURATION)}[1]) as duration, lower({_rx(X.LATERALITY, 1)}[1]) as laterality, lower({_rx(X.ASPECT, 1)}[1]) as aspect from n),
+ {_found_sql("sz", rules._SIZES)}, {_found_sql("lv", X.LAB)}, {_found_sql("ds", X.DOSAGE)},
+ rs as (select * from en where label = 'Result'),
+ szn as (select sz.*, r.term, row_number() over (partition by sz.case_id, sz.sent_no, sz.i order by {_GAP("r", "sz")}, r.pos0, r.start) as rn from sz join rs r on {_IN("r", "sz")} where r.pos0 >= 0),
+ mine as (select r.case_id, r.sent_no, r.start, arg_max(szn.x, szn.i) as size from rs r join szn on {_IN("r", "szn")} and szn.rn = 1 and szn.term = r.term where {_GAP("r", "szn")} < {rules.SIZE_REACH} group by 1, 2, 3),
+ lvn as (select lv.*, r.term, row_number() over (partition by lv.case_id, lv.sent_no, lv.i order by lv.pos0 - r.stop, r.pos0, r.start) as rn from lv join rs r on {_IN("r", "lv")} where r.pos0 >= 0 and r.stop <= lv.pos0),
+ labs as (select r.case_id, r.sent_no, r.start, string_agg('value=' || regexp_extract(lvn.x, '(?i){_q(X.LAB)}', 1) || '; unit=' || regexp_extract(lvn.x, '(?i){_q(X.LAB)}', 2), '; ' order by lvn.i) as lab from rs r join lvn on {_IN("r", "lvn")} and lvn.rn = 1 and lvn.term = r.term where lvn.pos0 - r.stop < {rules.LAB_REACH} group by 1, 2, 3),
+ ra as (select rs.*, concat_ws('; ', 'size=' || size, lab, case when contains(low, 'normal') and contains(rs.term, 'echotexture') then 'status=normal' end) as attributes from rs left join mine on {_IN("mine", "rs")} and mine.start = rs.start left join labs on {_IN("labs", "rs")} and labs.start = rs.start),
+ dn as (select m.case_id, m.sent_no, m.start, ds.x, row_number() over (partition by m.case_id, m.sent_no, m.start order by abs(ds.pos0 - m.stop), ds.pos0) as rn from en m join ds on {_IN("m", "ds")} where m.label = 'Medication'),
+ an as (select * from en where label = 'Anatomy'), ex as (select * from en where label = 'Exam'),
+ di as (select *, contains(low, 'history') and (contains(low, 'medical') or contains(low, 'past')) as hist from en where label = 'Disease')
+ select case_id, cast(sent_no as integer) as sent_no, rule, source, target, relation, attributes from (
+ select e.case_id, e.sent_no, 'symptom' as rule, 'P:' || e.case_id as source, e.term as target, 'PRESENTS_WITH' as relation, coalesce('duration=' || duration, '') as attributes from en e join md on {_IN("e", "md")} where e.label = 'Symptom'
+ union all select e.case_id, e.sent_no, 'symptom', e.term, an.term, 'LOCATED_IN', coalesce('laterality=' || laterality, '') from en e join an on {_IN("e", "an")} join md on {_IN("e", "md")} where e.label = 'Symptom' and contains(e.term, 'pain')
+ union all select m.case_id, m.sent_no, 'medication', 'P:' || m.case_id, m.term, 'TAKES', coalesce('dosage=' || dn.x, '') from en m left join dn on {_IN("m", "dn")} and dn.start = m.start and dn.rn = 1 where m.label = 'Medication'
+ union all select ex.case_id, ex.sent_no, 'exam', 'P:' || ex.case_id, ex.term, 'UNDERWENT_EXAM', coalesce('timeline=' || pod, '') from ex join md on {_IN("ex", "md")}
+ union all select ex.case_id, ex.sent_no, 'exam', ex.term, ra.term, 'REVEALS', ra.attributes from ex join ra on {_IN("ex", "ra")}
+ union all select ex.case_id, ex.sent_no, 'exam', rs.term, an.term, 'LOCATED_IN', coalesce('aspect=' || aspect, '') from ex join rs on {_IN("ex", "rs")} join an on {_IN("ex", "an")} join md on {_IN("ex", "md")}
+ union all select di.case_id, di.sent_no, 'disease', 'P:' || di.case_id, di.term, case when not hist then 'DIAGNOSED_WITH' when contains(low, 'family') then 'HAS_FAMILY_HISTORY' else 'HAS_PERSONAL_HISTORY' end,
+   case when hist then '' when contains(low, 'pathology') then 'status=confirmed; method=pathology' when regexp_matches(low, 'suggesting|suspected') then 'status=suspected; method=clinical/imaging' else 'status=confirmed' end from di
+ union all select di.case_id, di.sent_no, 'disease', di.term, an.term, 'LOCATED_IN', coalesce('aspect=' || aspect, '') from di join an on {_IN("di", "an")} join md on {_IN("di", "md")})"""
+
 QUERIES = {
-    "r4_rule_edges": (rule_edges, None),
+    "r4_rule_edges": (rule_edges, _RULES),
     "l19_ngram_entities": (ngram_entities, None),
     "x5_sentence_attributes": (
         sentence_attributes,
@@ -370,7 +418,7 @@ QUERIES = {
         f"{_S} select sentence, {_rx(X.POD, 1)}[1] as pod, coalesce({_rx(X.DURATION_HISTORY)}[1], {_rx(X.DURATION)}[1]) as duration, lower({_rx(X.LATERALITY, 1)}[1]) as laterality, lower({_rx(X.ASPECT, 1)}[1]) as aspect, array_to_string({_rx(X.DOSAGE)}, '; ') as dosages from s",
     ),
     "x6_clinical_attributes": (vitals, "select row_id, " + ", ".join(f"cast(len(regexp_extract_all({_wordy('case_text')}, '{_q(p)}', 0, 'i')) as integer) as {n}" for n, p in _VITALS.items()) + " from cases where case_text is not null"),
-    "x8_typed_quantities": (lambda s, d: quantities(s, d, text_sentences), None),
+    "x8_typed_quantities": (lambda s, d: quantities(s, d, text_sentences), f"{_S_TEXTS}, {_QUANTITIES} select sentence, token_index, quantity, value, unit, matched_rule from q3"),
     "x11_age": (
         ages,
         f"{_S}, a as (select sentence, lower({_rx(X.AGE, 1)}[1]) as num, lower({_rx(X.AGE, 2)}[1]) as u from s) select sentence, round(coalesce(case num "
@@ -382,7 +430,10 @@ QUERIES = {
         len(regexp_extract_all(case_text, '{X.MALE_PRONOUNS}', 0, 'i')) as m, len(regexp_extract_all(case_text, '{X.FEMALE_PRONOUNS}', 0, 'i')) as f from cases where case_text is not null)
         select row_id, case when regexp_full_match(noun, 'male|man|men|boy|gentleman') then 'Male' when noun is not null then 'Female' when m > f then 'Male' when f > m then 'Female' end as gender from c""",
     ),
-    "s13_merge_attributes": (merged, None),
+    "s13_merge_attributes": (
+        merged,
+        "select node_id, list_reduce(list(coalesce(attributes, '') order by row_id), lambda acc, x: case when x = '' then acc when acc = '' then x when contains(acc, x) then acc else acc || '; ' || x end) as attributes from v4_nodes group by node_id",
+    ),
     "r1_negated": (
         negated,
         f"with {_MEN} select sentence, entity, kind, len(list_filter(regexp_split_to_array(sentence, '{_q(R.CONTRAST)}', 'i'), lambda c: regexp_matches(c, '{_q(R.NEGATED_AFTER)}', 'i') and contains(lower(regexp_extract(c, '{_q(R.NEGATED_AFTER)}', 1, 'i')), lower(entity)))) > 0 as negated from m",

@@ -120,6 +120,24 @@ def acronyms(spark, sf_dir):
     return found.withColumn("expansion", F.try_element_at(table_, F.col("acronym"))).where("expansion is not null").groupBy("acronym", "expansion").agg(F.count("*").alias("texts"))
 
 
+def plain_regex(pattern: str) -> str:
+    """A pattern for an engine without look-ahead: where no letter may follow a unit, a
+    word's end must."""
+    return pattern.replace("(?![A-Za-z])", r"\b").replace("'", "''")
+
+
+def apart(text: str) -> str:
+    """A text with a mark between letters and digits, so that a unit before a digit ends
+    a word."""
+    return f"regexp_replace({text}, '([A-WYZa-wyz])([0-9])', '\\1' || chr(1) || '\\2', 'g')"
+
+
+_RULE_MARKS = r"regexp_replace(regexp_replace(regexp_replace(case_text, '\b([Ff]ig|[Dd]r|[Aa]rt)[.](\s)', '\1' || chr(2) || '\2', 'g'), '\b([Ff]ig|[Dd]r|[Aa]rt)[!](\s)', '\1' || chr(3) || '\2', 'g'), '\b([Ff]ig|[Dd]r|[Aa]rt)[?](\s)', '\1' || chr(4) || '\2', 'g')"
+_RULE = rf"""with m as (select row_id, string_split(regexp_replace({_RULE_MARKS}, '([.!?]\s+)([A-Z])', chr(1) || '\1' || chr(1) || '\2', 'g'), chr(1)) as p from cases where case_text is not null),
+ e as (select row_id, unnest(p) as piece, generate_subscripts(p, 1) as i from m), o as (select *, cast(coalesce(sum(length(piece)) over w, 0) as integer) as off, lag(piece) over (partition by row_id order by i) as sb, lead(piece) over (partition by row_id order by i) as sa from e window w as (partition by row_id order by i rows between unbounded preceding and 1 preceding)),
+ k as (select row_id, i, off + case when starts_with(coalesce(sb, ''), '?') then 1 else 0 end as pos, substr(piece, 1 + case when starts_with(coalesce(sb, ''), '?') then 1 else 0 end) as s from o where i % 2 = 1 and not starts_with(coalesce(sa, ''), '?'))
+ select row_id, cast(row_number() over (partition by row_id order by i) as integer) as sent_no, pos, translate(s, chr(2) || chr(3) || chr(4), '.!?') as sentence from k where s <> ''"""
+
 QUERIES = {
     "s1_normalize_phrase": (normalize_phrases, f"select row_id, {_NORM.format('label')} as normalized from v4_nodes where label is not null"),
     "s2_lemmatize": (lemmas, f"with w as ({_WORDS_SQL}) select word, {LEMMA_SQL} as lemma from w"),
@@ -147,8 +165,11 @@ QUERIES = {
         rf"""with f as (select row_id, {_FRAGMENTS} as parts from cases where case_text is not null), e as (select row_id, unnest(parts) as s, generate_subscripts(parts,1)-1 as sent_id from f)
         select row_id, cast(sent_id as integer) as sent_id, regexp_extract(s,'(?s)([A-Za-z0-9].*[A-Za-z0-9]|[A-Za-z0-9])',1) as sentence from e where regexp_matches(s,'[A-Za-z0-9]')""",
     ),
-    "t2_rule_sentences": (sentences_by_rule, None),
-    "t5_clinical_tokens": (clinical_tokens, None),
+    "t2_rule_sentences": (sentences_by_rule, _RULE),
+    "t5_clinical_tokens": (
+        clinical_tokens,
+        f"with s as (select distinct sentence from v2_edges_gemini where sentence is not null), t as (select unnest(regexp_extract_all({apart("sentence")}, '{plain_regex(T.CLINICAL_TOKEN)}')) as token from s) select token, count(*) as n from t group by token",
+    ),
     "t9_token_offsets": (token_offsets, _TOKEN_SQL),
     "t14_preprocess": (
         preprocessed,
