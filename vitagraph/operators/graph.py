@@ -48,17 +48,11 @@ def star_edges(sentences: DataFrame, terms: DataFrame) -> DataFrame:
     """
     keys = ["case_id", "sent_no"]
     hits = match_terms(sentences, keys, "sentence", terms, LONGEST_FIRST)
-    # position of each word: lengths of the pieces before it
-    cut = F.split(F.regexp_replace("sentence", f"({T.WORD})", "\u0001$1\u0001"), "\u0001", -1)
-    starts = F.aggregate(
-        cut, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"],
-    )
     texts = sentences.select(
-        *keys, "sentence", starts.alias("starts"), scope.cue_positions(F.col("sentence")).alias("cues"),
+        *keys, "sentence", T.word_starts(F.col("sentence")).alias("starts"), scope.cue_positions(F.col("sentence")).alias("cues"),
         attributes.sentence_attributes(F.col("sentence")).alias("attributes"),
     )
-    at = F.get("starts", F.col("start") * 2 + 1)
+    at = F.get("starts", F.col("start"))
     rows = hits.join(texts, keys).withColumn("at", at).where(~scope.blocked_in_window(F.col("sentence"), F.col("at")))
     edges = rows.select(
         F.concat(F.lit("P:"), F.col("case_id")).alias("source_id"), T.node_id(F.col("label"), F.col("term")).alias("target_id"),

@@ -209,8 +209,7 @@ def quantity_edges(spark, sf_dir):
     entity = F.replace(F.split_part("target_id", F.lit(":"), F.lit(2)), F.lit("_"), F.lit(" "))
     edges = e.select("sentence", F.col("target_id").alias("edge"), "relation", (F.instr(F.lower("sentence"), F.lower(entity)) - 1).alias("e_start"), F.length(entity).alias("n")).where("e_start >= 0").distinct()
     edges = edges.select("sentence", "edge", "relation", "e_start", (F.col("e_start") + F.col("n")).alias("e_end"))
-    q = quantities(spark, sf_dir).withColumn("q_start", F.instr("sentence", F.col("quantity")) - 1)
-    q = q.select("sentence", "q_start", (F.col("q_start") + F.length("quantity")).alias("q_end"), "value", "unit", "matched_rule").distinct()
+    q = quantities(spark, sf_dir).select("sentence", "q_start", "q_end", "value", "unit", "matched_rule").distinct()
     return G.bind_quantities(q, edges, ["sentence"])
 
 
@@ -353,16 +352,24 @@ _STAR = f"""with {_SP}, cutp as (select case_id, sent_no, string_split(regexp_re
    from f left join x on x.case_id = f.case_id and x.sent_no = f.sent_no and x.start = f.start join at1 on at1.case_id = f.case_id and at1.sent_no = f.sent_no)"""
 
 _QN = r"\d+(?:,\d{3})*(?:\.\d+)?"
-_QUANTITIES = f"""q0 as (select sentence, regexp_extract_all({apart('sentence')}, '{plain_regex(X.QUANTITY_TOKEN)}') as t from s),
- q1 as (select sentence, cast(generate_subscripts(t, 1) - 1 as integer) as token_index, unnest(t) as quantity, t from q0),
- q2 as (select sentence, token_index, quantity, case when token_index >= 1 then lower(t[token_index]) else '' end as b1, case when token_index >= 2 then lower(t[token_index - 1]) else '' end as b2,
-   case {" ".join(f"when regexp_matches(quantity, '{_q(p)}') then '{n}'" for n, p in X.QUANTITY_RULES.items())} end as rule from q1 where regexp_matches(quantity, '^[0-9]')),
- q3 as (select sentence, token_index, quantity, case when rule = 'dimension' then quantity else regexp_extract(quantity, '^{_QN}(?:/{_QN})?', 0) end as value,
-   case when rule = 'numero_puro' and b1 in ('day', 'pod') then b1 when rule = 'numero_puro' then '' when rule = 'dimension' then lower(regexp_extract(quantity, '(?i)(?:cm|mm)', 0))
-   else regexp_replace(substr(quantity, length(regexp_extract(quantity, '^{_QN}(?:/{_QN})?', 0)) + 1), '^[\\s-]+', '') end as unit,
+
+
+def quantities_sql(source: str, keys: str) -> str:
+    """``q3``: the quantities of a table of sentences with their places."""
+    first = lambda x: f"regexp_extract({x}, '^{_QN}(?:/{_QN})?', 0)"
+    words = lambda w: ", ".join(f"'{x}'" for x in w)
+    return f"""q0 as (select {keys}, string_split(regexp_replace({apart('sentence')}, '({plain_regex(X.QUANTITY_TOKEN)})', chr(2) || '\\1' || chr(2), 'g'), chr(2)) as p from {source}),
+ q1 as (select {keys}, p, unnest(generate_series(2, len(p), 2)) as i from q0),
+ q2 as (select {keys}, cast(i // 2 - 1 as integer) as token_index, p[i] as quantity, cast(length(replace(array_to_string(p[1:i-1], ''), chr(1), '')) as integer) as q_start, case when i > 2 then lower(p[i-2]) else '' end as b1, case when i > 4 then lower(p[i-4]) else '' end as b2,
+   case {" ".join(f"when regexp_matches(p[i], '{_q(r)}') then '{n}'" for n, r in X.QUANTITY_RULES.items())} end as rule from q1 where regexp_matches(p[i], '^[0-9]')),
+ q3 as (select {keys}, token_index, quantity, q_start, cast(q_start + length(quantity) as integer) as q_end, case when rule = 'dimension' then quantity else {first("quantity")} end as value,
+   case when rule = 'numero_puro' and b1 in ('day', 'pod') then b1 when rule = 'numero_puro' then '' when rule = 'dimension' then lower(regexp_extract(quantity, '(?i)(?:cm|mm)', 0)) else regexp_replace(substr(quantity, length({first("quantity")}) + 1), '^[\\s-]+', '') end as unit,
    case when rule = 'numero_puro' and b1 in ('day', 'pod') then 'time' else rule end as matched_rule from q2
-   where rule is not null and not (b1 in ({", ".join(f"'{w}'" for w in X._FIGURE)}) or b2 in ({", ".join(f"'{w}'" for w in X._FIGURE)})) and not regexp_matches(quantity, '(?i)(?:year|years|month)-old$')
-   and (rule <> 'numero_puro' or b1 in ({", ".join(f"'{w}'" for w in X._COUNTED)})))"""
+   where rule is not null and not (b1 in ({words(X._FIGURE)}) or b2 in ({words(X._FIGURE)})) and not regexp_matches(quantity, '(?i)(?:year|years|month)-old$') and (rule <> 'numero_puro' or b1 in ({words(X._COUNTED)})))"""
+
+
+_FITS_SQL = "case matched_rule " + " ".join("when '{}' then label in ({})".format(k, ", ".join(f"'{x}'" for x in v)) for k, v in G.RULE_RELATIONS.items()) + " else false end"
+
 
 def _found_sql(name: str, pattern: str) -> str:
     """Matches of a pattern in each sentence: ``at``, ``stop``, ``x`` and their order."""
@@ -418,7 +425,7 @@ QUERIES = {
         f"{_S} select sentence, {_rx(X.POD, 1)}[1] as pod, coalesce({_rx(X.DURATION_HISTORY)}[1], {_rx(X.DURATION)}[1]) as duration, lower({_rx(X.LATERALITY, 1)}[1]) as laterality, lower({_rx(X.ASPECT, 1)}[1]) as aspect, array_to_string({_rx(X.DOSAGE)}, '; ') as dosages from s",
     ),
     "x6_clinical_attributes": (vitals, "select row_id, " + ", ".join(f"cast(len(regexp_extract_all({_wordy('case_text')}, '{_q(p)}', 0, 'i')) as integer) as {n}" for n, p in _VITALS.items()) + " from cases where case_text is not null"),
-    "x8_typed_quantities": (lambda s, d: quantities(s, d, text_sentences), f"{_S_TEXTS}, {_QUANTITIES} select sentence, token_index, quantity, value, unit, matched_rule from q3"),
+    "x8_typed_quantities": (lambda s, d: quantities(s, d, text_sentences).drop("q_start", "q_end"), f"{_S_TEXTS}, {quantities_sql('s', 'sentence')} select sentence, token_index, quantity, value, unit, matched_rule from q3"),
     "x11_age": (
         ages,
         f"{_S}, a as (select sentence, lower({_rx(X.AGE, 1)}[1]) as num, lower({_rx(X.AGE, 2)}[1]) as u from s) select sentence, round(coalesce(case num "
@@ -467,7 +474,13 @@ QUERIES = {
     "g14_star_edges": (star_edges, _STAR + " select source_id, target_id, relation, attributes, case_id, sentence_number from st"),
     "g14_star_nodes": (star_nodes, _STAR + " select distinct source_id as node_id, case_id as label, 'Patient' as type from st union all select target_id, min(label), min(type) from st group by 1"),
     "j4_nearest_anchor": (anchors, _ANCHOR),
-    "j8_quantity_edges": (quantity_edges, None),
+    "j8_quantity_edges": (
+        quantity_edges,
+        f"""{_S}, {quantities_sql('s', 'sentence')}, qd as (select distinct sentence, q_start, q_end, value, unit, matched_rule from q3), ent as (select sentence, target_id as edge, relation as label, replace(split_part(target_id, ':', 2), '_', ' ') as e from v2_edges_gemini where sentence is not null),
+        ed as (select distinct sentence, edge, label, strpos(lower(sentence), lower(e)) - 1 as e_start, strpos(lower(sentence), lower(e)) - 1 + length(e) as e_end from ent where strpos(lower(sentence), lower(e)) > 0),
+        nr as (select qd.*, edge, label, greatest(0, e_start - q_end, q_start - e_end) as gap from qd join ed using (sentence)), bt as (select *, row_number() over (partition by sentence, q_start, q_end, value, unit, matched_rule order by not ({_FITS_SQL}), gap, edge) as rn from nr where gap <= 110)
+        select sentence, q_start, q_end, value, unit, matched_rule, edge, cast(row_number() over (partition by sentence, edge order by q_start, value) as integer) as n from bt where rn = 1""",
+    ),
     "w7_bio_spans": (bio, _BIO),
     "a9_span_scores": (lambda s, d: E.span_scores(*_gold_pred(s, d)), _SCORES + "select label, support, predicted, tp, fp, fn, precision, recall, f1 from z"),
     "a9_averages": (
