@@ -42,6 +42,11 @@ def dictionary(terms: DataFrame, term: str, category: str) -> DataFrame:
         terms.select(T.normalize_phrase(F.col(term)).alias("key"), F.col(category).alias("c"))
         .where("key <> '' and c is not null").where(~((F.col("c") == "Anatomy") & F.col("key").rlike(CELL_LINE)))
     )
+    return resolve_types(rows)
+
+
+def resolve_types(rows: DataFrame) -> DataFrame:
+    """``key``, ``n_words``, ``label``, ``candidates`` of rows of ``key`` and type ``c``."""
     kinds = rows.groupBy("key").agg(F.collect_set("c").alias("all"))
     less = lambda a, x: F.when(F.size(a) > 1, F.array_remove(a, x)).otherwise(a)
     left = less(less(F.col("all"), "Procedure"), "Anatomy")
@@ -126,6 +131,26 @@ def stemmed_phrases(phrases: DataFrame, phrase: str) -> DataFrame:
     return listed.select(phrase, F.array_join(F.transform("s_", lambda x: x["stem"]), " ").alias("key"))
 
 
+def stem_dictionary(terms: DataFrame, term: str, category: str, stopped: list[str] | None = None) -> DataFrame:
+    """:func:`dictionary` with stems as keys, of all spellings of each term
+    (:func:`text.term_variants`). Terms of ``stopped``, single words of fewer than
+    ``LEAST_SINGLE`` characters and single numbers are left out."""
+    rows = terms.select(F.col(term).alias("t_"), F.col(category).alias("c")).where("t_ is not null and c is not null").where(~((F.col("c") == "Anatomy") & F.lower("t_").rlike(CELL_LINE))).distinct()
+    rows = rows.select(F.explode(T.term_variants(F.col("t_"))).alias("v_"), "c").distinct()
+    rows = rows.join(stemmed_phrases(rows.select("v_").distinct(), "v_"), "v_").select("key", "c").distinct()
+    single = F.size(F.split("key", " ")) == 1
+    rows = rows.where((F.col("key") != "") & ~(single & ((F.length("key") < LEAST_SINGLE) | F.col("key").rlike("^[0-9]+$"))))
+    if stopped:
+        out = stemmed_phrases(terms.sparkSession.createDataFrame([(w.lower(),) for w in stopped], "v_ string"), "v_").select("key")
+        rows = rows.join(out, "key", "left_anti")
+    return resolve_types(rows)
+
+
+def widest(terms: DataFrame) -> DataFrame:
+    """One row, ``n_words``: the words of the dictionary's longest term, at least 1."""
+    return terms.agg(F.coalesce(F.max("n_words"), F.lit(1)).alias("n_words"))
+
+
 def match_stems(texts: DataFrame, keys: list[str], text: str, terms: DataFrame, first) -> DataFrame:
     """``keys``, ``start``, ``stop``, ``term``, ``label``: dictionary terms by their stems,
     the earliest and then the longest, within a sentence and across punctuation, and
