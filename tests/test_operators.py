@@ -13,10 +13,12 @@ from vitagraph.functions import text as T
 from vitagraph.operators import analytics as A
 from vitagraph.operators import attributes as X
 from vitagraph.operators import evaluate as E
+from vitagraph.operators import edgemodel as Y
 from vitagraph.operators import edges as P
 from vitagraph.operators import graph as G
 from vitagraph.operators import learn as L
 from vitagraph.operators import matching as M
+from vitagraph.operators import nodes as N
 from vitagraph.operators import rules, scope, tagger
 from vitagraph.sources import readers, sinks
 from vitagraph.sources.tables import latest_by
@@ -228,16 +230,9 @@ def test_latest(spark):
 def test_splits_and_folds():
     test = L.split_groups([f"g{i:02d}" for i in range(50)])
     assert len(test) == 10 and L.split_groups(["b", "a"], 0.5) == L.split_groups(["a", "b", "a"], 0.5)
-    fold = L.balanced_folds({f"g{i}": i for i in range(1, 21)}, 4)
-    sums = [sum(int(g[1:]) for g, f in fold.items() if f == k) for k in range(4)]
-    assert len(fold) == 20 and all(abs(s - sum(sums) / 4) <= 0.1 * sum(sums) / 4 for s in sums)
 
 
 def test_models(spark):
-    rows = spark.createDataFrame([("pain in chest", "S")] * 20 + [("took aspirin daily", "M")] * 20, "t string, y string")
-    model = L.train_classifier(rows, "t", "y")
-    out = model.transform(rows.withColumn("weight", F.lit(1.0)))
-    assert out.where("prediction <> label_index").count() == 0
     lm = {(r.context, r.word): (r.c, r.p) for r in L.laplace(L.ngram_model(spark.createDataFrame([(["a", "b"],), (["a"],), (None,)], "t array<string>"), "t", 2)).collect()}
     assert lm["<s>", "a"][0] == 2 and abs(lm["<s>", "a"][1] - 3 / (2 + 4)) < 1e-9
 
@@ -381,3 +376,63 @@ def test_stem_matches(spark):
     terms = M.stemmed_phrases(spark.createDataFrame([("recurrent infection",), ("kidney",), ("woman",)], "p string"), "p").select("key", F.lit("Disease").alias("label"))
     got = {(r.sent_no, r.start, r.stop, r.term, r.label) for r in M.match_stems(s, ["case_id", "sent_no"], "sentence", terms, P.patient_runs).collect()}
     assert got == {(1, 1, 2, "women", "Patient"), (1, 3, 5, "recurr infect", "Disease"), (1, 7, 8, "kidney", "Disease")}
+
+
+def test_group_folds(spark):
+    rng = random.Random(3)
+    sizes = {f"g{i:03d}": rng.choice([1, 1, 2, 5, 40]) for i in range(120)}
+    held, want = [0] * 4, {}
+    for g in sorted(sizes, key=lambda g: (-sizes[g], g)):
+        want[g] = held.index(min(held))
+        held[want[g]] += sizes[g]
+    df = spark.createDataFrame(list(sizes.items()), "g string, n bigint")
+    assert {r.g: r.fold for r in Y.group_folds(df, "g", "n", 4).collect()} == want
+    assert Y.group_folds(df.limit(0), "g", "n").count() == 0
+
+
+def pair_rows(n):
+    rows = []
+    for i in range(n):
+        d, far = f"disease {i % 7}", i % 3 == 0
+        rows.append((f"a{i % 20}_{i:02d}", 1, d, "Disease", "stomach", "Anatomy", False, 5, 9 if far else 5, 7, 10, "E1_before_E2", "and then it" if far else "in the", "seen", "was", 4 if far else 2, "", "NONE" if far else "LOCATED_IN"))
+    return rows
+
+
+PAIR = "case_id string, sent_no int, e1 string, type_e1 string, e2 string, type_e2 string, e1_is_virtual boolean, e1_start int, e2_start int, e1_stop int, e2_stop int, reading_order string, between string, left_context string, right_context string, token_dist int, intervening string, label string"
+
+
+def test_edge_model(spark, tmp_path):
+    f = L.pair_features(spark.createDataFrame(pair_rows(90), PAIR)).withColumn("group", F.split_part("case_id", F.lit("_"), F.lit(1)))
+    folds = Y.group_folds(f.groupBy("group").agg(F.count("*").alias("n")), "group", "n", 2)
+    out = Y.out_of_fold(f, folds, "group", 2).collect()
+    assert len(out) == 90 and all(r.pred_label == r.label for r in out)
+    model = Y.fit(f)
+    model.save(f"{tmp_path}/model")
+    again = Y.EdgeModel.load(spark, f"{tmp_path}/model")
+    want = sorted((r.case_id, r.pred_label, r.pred_confidence, r.pmi_head) for r in Y.predict(model, f).collect())
+    assert sorted((r.case_id, r.pred_label, r.pred_confidence, r.pmi_head) for r in Y.predict(again, f).collect()) == want
+    # terms and pairs that the model has not seen
+    new = L.pair_features(spark.createDataFrame([("z_1", 1, "q", "Disease", "w", "Disease", False, 0, 3, 1, 4, "E1_before_E2", "", "", "", 2, "", "NONE")], PAIR))
+    assert [(r.pred_label) for r in Y.predict(model, new).collect()] == ["NONE"]
+    assert len(Y.feature_names(model)) == model.stages[-1].coefficientMatrix.numCols
+    assert {r[0] for r in Y.top_features(model, 3)} == {"LOCATED_IN", "NONE"}
+
+
+def test_class_scores(spark):
+    df = spark.createDataFrame([("A", "A"), ("A", "NONE"), ("B", "A"), ("NONE", "NONE"), ("NONE", "B")], "t string, g string")
+    got = {r.label: (r.support, r.predicted, r.tp, r.precision, r.recall) for r in P.class_scores(df, "t", "g").collect()}
+    assert got == {"A": (2, 2, 1, 0.5, 0.5), "B": (1, 1, 0, 0.0, 0.0), "macro": (3, 3, 1, 0.25, 0.25), "micro": (3, 3, 1, round(1 / 3, 6), round(1 / 3, 6))}
+    assert {(r.truth, r.guess): r.share for r in P.class_confusion(df, "t", "g").collect()}["A", "NONE"] == 0.5
+
+
+def test_ambiguous_tags(spark):
+    rows = [("O", ["Disease", "Symptom"], True, {"B-Symptom": 0.3, "I-Symptom": 0.1, "B-Disease": 0.35}), ("B-Exam", ["Exam"], True, {}), ("B-Exam", ["IGNORE"], False, {}), ("O", ["A", "B"], False, {})]
+    df = spark.createDataFrame(rows, "tag string, c array<string>, f boolean, s map<string,double>")
+    assert [r[0] for r in df.select(N.choose_ambiguous(F.col("tag"), F.col("c"), F.col("f"), F.col("s"))).collect()] == ["B-Symptom", "B-Exam", "O", "I-A"]
+
+
+def test_hidden_spans(spark):
+    df = spark.range(2000).select(F.concat(F.lit("c"), "id").alias("k"))
+    share = [df.where(L.hidden([F.col("k")], 0.3, seed)).count() / 2000 for seed in (1, 2)]
+    assert all(abs(x - 0.3) < 0.05 for x in share) and df.where(L.hidden([F.col("k")], 0.0, 1)).count() == 0 and df.where(L.hidden([F.col("k")], 1.0, 1)).count() == 2000
+    assert df.where(L.hidden([F.col("k")], 0.3, 1)).orderBy("k").collect() == df.repartition(3).where(L.hidden([F.col("k")], 0.3, 1)).orderBy("k").collect()

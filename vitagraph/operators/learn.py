@@ -161,44 +161,6 @@ def split_groups(groups: list, test_size: float = 0.2, seed: int = 42) -> set:
     return {ordered[i] for i in order[: int(np.ceil(test_size * len(ordered)))]}
 
 
-def balanced_folds(sizes: dict[str, int], k: int = 5) -> dict[str, int]:
-    """Fold of each group: by falling size, each into the fold that is smallest so far
-    (a table of groups on the driver, as for :func:`split_groups`)."""
-    held, fold = [0] * k, {}
-    for group in sorted(sizes, key=lambda g: (-sizes[g], g)):
-        fold[group] = held.index(min(held))
-        held[fold[group]] += sizes[group]
-    return fold
-
-
-def train_classifier(rows: DataFrame, text: str, label: str, features: int = 1 << 14, reg: float = 1.0):
-    """Multinomial logistic regression over hashed words, L2, balanced weights. A
-    fitted pipeline; ``transform`` adds ``prediction`` and ``probability``."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, RegexTokenizer, StringIndexer
-
-    counted = rows.groupBy(label).agg(F.count("*").alias("n_"))
-    every = counted.agg(F.sum("n_").alias("t_"), F.count("*").alias("k_"))
-    weighted = rows.join(F.broadcast(counted.join(F.broadcast(every)).select(label, (F.col("t_") / (F.col("k_") * F.col("n_"))).alias("weight"))), label)
-    total = weighted.agg(F.sum("weight")).first()[0] or 1.0
-    stages = [
-        StringIndexer(inputCol=label, outputCol="label_index", handleInvalid="skip", stringOrderType="alphabetAsc"),
-        RegexTokenizer(inputCol=text, outputCol="tokens_", pattern=r"[^A-Za-z0-9]+"),
-        HashingTF(inputCol="tokens_", outputCol="features", numFeatures=features, binary=True),
-        LogisticRegression(featuresCol="features", labelCol="label_index", weightCol="weight", family="multinomial", regParam=reg / total, elasticNetParam=0.0, standardization=False, maxIter=50),
-    ]
-    return Pipeline(stages=stages).fit(weighted)
-
-
-def masked_argmax(probability: Column, labels: list[str], allowed: Column) -> Column:
-    """The most probable of the allowed labels (``array<string>``), else NONE."""
-    scored = F.arrays_zip(F.array(*map(F.lit, labels)).alias("l"), probability.alias("p"))
-    kept = F.filter(scored, lambda s: F.array_contains(allowed, s["l"]))
-    best = F.array_max(F.transform(kept, lambda s: F.struct(s["p"].alias("p"), s["l"].alias("l"))))
-    return F.coalesce(best["l"], F.lit("NONE"))
-
-
 def align_entities(cases: DataFrame) -> DataFrame:
     """``case_id``, ``text``, ``label``, ``char_start``, ``char_end`` of entities found
     again in their text, each searched from where the last one was found and, failing

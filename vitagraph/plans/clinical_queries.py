@@ -277,17 +277,6 @@ def tfidf(spark, sf_dir):
     return L.tfidf(e, "relation", "token")
 
 
-def classified(spark, sf_dir):
-    """Relation of each different sentence and target kind, as learned from the edges."""
-    e = table(spark, sf_dir, "v2_edges_gemini").where("sentence is not null and relation is not null").select("sentence", "relation").distinct()
-    model = L.train_classifier(e, "sentence", "relation")
-    labels = model.stages[0].labels
-    from pyspark.ml.functions import vector_to_array
-
-    out = model.transform(e.withColumn("weight", F.lit(1.0)))
-    return out.select("sentence", "relation", L.masked_argmax(vector_to_array("probability"), labels, F.array(*map(F.lit, labels))).alias("predicted"))
-
-
 def neighbours(spark, sf_dir):
     n = case_sentences(spark, sf_dir)
     toks = n.select("case_id", "sent_no", F.posexplode(T.words(F.col("sentence"))).alias("at", "token"))
@@ -512,7 +501,6 @@ QUERIES = {
     ),
     "l17_ngram_model": (lm, _LM),
     "w1_neighbours": (neighbours, _NEAR),
-    "l9_relation_classifier": (classified, None),
 }
 
 #: The queries whose SQL reads the edges' sentences, over all sentences of the case texts.

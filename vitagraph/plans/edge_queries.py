@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitagraph.functions import text as T
+from vitagraph.operators import edgemodel as Y
 from vitagraph.operators import edges as P
 from vitagraph.operators import learn as L
 from vitagraph.operators import scope as R
@@ -12,7 +13,7 @@ from vitagraph.operators.graph import VALID_PAIRS
 from vitagraph.operators.matching import PATIENT_WORDS
 from vitagraph.plans.clinical_queries import _NUMBERED, _TEXTS, _greedy_sql, _q, _wordy, case_sentences, lexicon
 from vitagraph.plans.text_queries import LEMMA_SQL
-from vitagraph.sources.tables import checkpointed
+from vitagraph.sources.tables import checkpointed, table
 
 _KEYS = ["case_id", "sent_no"]
 
@@ -59,6 +60,39 @@ def _guessed(spark, sf_dir):
     return labelled(spark, sf_dir).withColumn("guess", guess)
 
 
+def _featured(spark, sf_dir):
+    f = L.pair_features(labelled(spark, sf_dir))
+    return checkpointed(f.withColumn("article_id", F.regexp_replace("case_id", r"_[^_]*\z", "")))
+
+
+def folds(spark, sf_dir):
+    """Five folds of articles, balanced by their rows."""
+    sizes = table(spark, sf_dir, "metadata").where("article_id is not null").groupBy("article_id").agg(F.count("*").alias("n"))
+    return Y.group_folds(sizes, "article_id", "n")
+
+
+def model_scores(spark, sf_dir):
+    """Scores of predictions by models that have not seen the pair's article."""
+    f = _featured(spark, sf_dir)
+    sizes = f.groupBy("article_id").agg(F.count("*").alias("n"))
+    return P.class_scores(Y.out_of_fold(f, Y.group_folds(sizes, "article_id", "n"), "article_id"), "label", "pred_label")
+
+
+def predicted_edges(spark, sf_dir):
+    """The positive edges that a model of the first four folds gives to all cases."""
+    f = _featured(spark, sf_dir)
+    sizes = f.groupBy("article_id").agg(F.count("*").alias("n"))
+    held = f.join(Y.group_folds(sizes, "article_id", "n").where("fold < 4"), "article_id", "left_semi")
+    found = Y.predict(Y.fit(held), f).where("pred_label <> 'NONE'")
+    return found.select(*_KEYS, "e1", "type_e1", "e2", "type_e2", "pred_label", "pred_confidence", "pmi_head")
+
+
+def top_features(spark, sf_dir):
+    """The features that speak most for each relation."""
+    rows = Y.top_features(Y.fit(_featured(spark, sf_dir)))
+    return spark.createDataFrame(rows, "label string, rank int, feature string, coefficient double")
+
+
 _LIST = ",".join(f"'{w}'" for w in PATIENT_WORDS)
 _OK = lambda a, b: f"({a} || '>' || {b}) in (" + ",".join(f"'{x}>{y}'" for x, y, _ in VALID_PAIRS) + ")"
 _HAS = lambda col, p: f"regexp_matches({col}, '{_q(p)}', 'i')"
@@ -103,7 +137,16 @@ _BETWEEN = "list_filter(string_split(intervening, ','), lambda x: x <> '')"
 _GUESS = "case when token_dist <= 8 then case type_e1 || '>' || type_e2 " + " ".join(f"when '{a}>{b}' then '{r[0]}'" for a, b, r in VALID_PAIRS) + " else 'NONE' end else 'NONE' end"
 _F1 = "case when p + r = 0 then 0.0::double else 2 * p * r / (p + r) end"
 
+_FOLDS = """with recursive a as (select article_id, count(*) as n from metadata where article_id is not null group by 1), o as (select *, row_number() over (order by n desc, article_id) as rn from a),
+ f as (select 0::bigint as rn, [0, 0, 0, 0, 0]::bigint[] as held, null::varchar as article_id, null::integer as fold union all
+   select o.rn, list_transform(held, lambda x, i: case when i = list_position(held, list_min(held)) then x + n else x end), o.article_id, cast(list_position(held, list_min(held)) - 1 as integer) from f join o on o.rn = f.rn + 1)
+ select article_id, fold from f where article_id is not null"""
+
 QUERIES = {
+    "l3_group_folds": (folds, _FOLDS),
+    "l9_edge_scores": (model_scores, None),
+    "l15_predicted_edges": (predicted_edges, None),
+    "l16_top_features": (top_features, None),
     "j3_candidate_pairs": (pairs, _FROM + f"{_AT}, e1, type_e1, cast(a1 as integer) as e1_stop, e2, type_e2, cast(b1 as integer) as e2_stop, reading_order from cu"),
     "j5_virtual_patients": (virtual, _FROM + "type_e2, count(*) filter (virt) as implied, count(*) as pairs from cu where type_e1 = 'Patient' group by type_e2"),
     "j6_pair_records": (records, _FROM + f"{_AT}, virt as e1_is_virtual, btw as between, left_context, right_context, token_dist, same_clause, intervening from cu".replace("as between", 'as "between"')),

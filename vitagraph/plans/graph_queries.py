@@ -66,12 +66,6 @@ def pivot_types(spark, sf_dir):
     return rows.select("case_id", *[F.coalesce(k, F.lit(0)).alias(k.lower()) for k in kinds])
 
 
-def fold_of_articles(spark, sf_dir):
-    """Five folds of articles by hash rank; no article in two folds."""
-    arts = _T(spark, sf_dir, "metadata").select("article_id").where("article_id is not null").distinct()
-    return arts.select("article_id", F.pmod(F.conv(F.substr(F.md5("article_id"), F.lit(1), F.lit(8)), 16, 10).cast("bigint"), F.lit(5)).alias("fold"))
-
-
 def semi_anti(spark, sf_dir):
     """Cases with and without edges, and rows kept by not-null filters."""
     c, e = _T(spark, sf_dir, "cases"), _T(spark, sf_dir, V2E).select("case_id").distinct()
@@ -181,7 +175,6 @@ QUERIES = {
     ),
     "f5_text_column": (text_column, "select * from (select 'case_text' as name, round(avg(length(case_text)),6) as mean_length from cases union all select 'article_id', round(avg(length(article_id)),6) from cases union all select 'case_id', round(avg(length(case_id)),6) from cases union all select 'gender', round(avg(length(gender)),6) from cases) order by mean_length desc limit 1"),
     "f6_first_by_type": (lookups, "select type, arg_min(node_id, row_id) as first_node, arg_min(label, row_id) as first_label, count(*) as n from v1_nodes group by type"),
-    "l3_group_folds": (fold_of_articles, "select article_id, cast(('0x' || substr(md5(article_id),1,8))::bigint % 5 as bigint) as fold from (select distinct article_id from metadata where article_id is not null)"),
     "s19_json_round": (json_round, "select distinct case_id, sentence_number, relation from v2_edges_gemini"),
     "io19_mermaid": (
         mermaid,
