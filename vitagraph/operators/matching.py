@@ -118,6 +118,43 @@ def match_terms(texts: DataFrame, keys: list[str], text: str, terms: DataFrame,
     return listed.select(*keys, F.explode(greedy(F.col("s_"), F.col("s_"))).alias("s")).select(*keys, "s.start", "s.stop", "s.term", "s.label")
 
 
+#: Tokens that no term crosses, and the most tokens of a joined term (fixed values).
+BARRIERS = [".", ";", "!", "?", "(", ")"]
+MOST_JOINED = 5
+
+
+def reconstruct_tokens(texts: DataFrame, keys: list[str], text: str, vocabulary: DataFrame) -> DataFrame:
+    """``keys``, ``tokens``: clinical tokens of each text, those of a vocabulary term
+    joined by blanks and acronyms followed by their expansion in brackets.
+
+    From left to right the longest window of 5 to 2 tokens is taken whose lower-case
+    tokens, or whose lemmas, are a term; no window crosses a full stop, semicolon,
+    exclamation or question mark or bracket, and none begins with an acronym.
+    vocabulary: distinct ``key`` in lower case."""
+    tokens = T.clinical_tokens(F.col(text))
+    acronym = F.create_map(*[F.lit(x) for p in T.ACRONYMS.items() for x in p])
+
+    def windows(t: Column, lemmas: Column) -> Column:
+        def of(n: int) -> Column:
+            starts = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
+            cut = lambda a, i: F.slice(a, i + 1, F.lit(n))
+            free = F.filter(starts, lambda i: ~F.arrays_overlap(cut(t, i), F.array(*map(F.lit, BARRIERS))) & ~F.get(t, i).isin(list(T.ACRONYMS)))
+            return F.transform(free, lambda i: F.struct(i.alias("start"), (i + n).alias("stop"), F.lower(F.array_join(cut(t, i), " ")).alias("raw"), F.array_join(cut(lemmas, i), " ").alias("lemma")))
+
+        return F.concat(*[of(n) for n in range(2, MOST_JOINED + 1)])
+
+    rows = texts.select(*keys, tokens.alias("t")).withColumn("l", F.transform("t", T.lemmatize))
+    cand = rows.select(*keys, F.explode(windows(F.col("t"), F.col("l"))).alias("w")).select(*keys, "w.start", "w.stop", F.explode(F.array_distinct(F.array("w.raw", "w.lemma"))).alias("key"))
+    hash_ = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    kept = cand.withColumn("h_", hash_).where(F.getbit(F.get(key_filter(vocabulary).scalar(), F.expr("int(h_ / 64)")), F.expr("int(h_ % 64)")) == 1).drop("h_").join(vocabulary.select("key"), "key", "left_semi")
+    span = F.struct(F.col("start").alias("a"), (-F.col("stop")).alias("b"), "start", "stop")
+    found = kept.groupBy(*keys).agg(F.array_sort(F.collect_set(span)).alias("c")).select(*keys, greedy(F.col("c"), F.col("c")).alias("s"))
+    own = lambda i: F.get(F.filter("s", lambda x: (x["start"] <= i) & (i < x["stop"])), F.lit(0))
+    alone = lambda w: F.when(F.try_element_at(acronym, w).isNotNull(), F.concat(w, F.lit(" ["), F.try_element_at(acronym, w), F.lit("]"))).otherwise(w)
+    joined = lambda w, i: F.when(F.col("s").isNull() | own(i).isNull(), alone(w)).when(own(i)["start"] == i, F.array_join(F.slice("t", i + 1, own(i)["stop"] - i), " "))
+    return rows.join(found, keys, "left").select(*keys, F.filter(F.transform("t", joined), lambda w: w.isNotNull()).alias("tokens"))
+
+
 #: Characters of the shortest dictionary term of one word.
 LEAST_SINGLE = 3
 

@@ -108,13 +108,6 @@ def mesh_heads(spark, sf_dir):
     return v.select(head.alias("term")).where((F.length("term") >= 4) & ~F.col("term").isin(GENERIC)).groupBy("term").agg(F.count("*").alias("n"))
 
 
-def adjacency(spark, sf_dir):
-    """How often a lesion word follows an organ word directly, per relation."""
-    e = table(spark, sf_dir, "v2_edges_gemini").where("sentence is not null")
-    pair = F.regexp_count("sentence", F.lit("(?i)(renal|hepatic|gastric) (cyst|abscess|sarcoma)"))
-    return e.groupBy("relation").agg(F.sum(pair).cast("bigint").alias("pairs"), F.count("*").alias("edges"))
-
-
 def best_rows(spark, sf_dir):
     """The node with most rows of each case, ties by id."""
     n = table(spark, sf_dir, "v4_nodes").groupBy("case_id", "node_id").agg(F.count("*").alias("n"))
@@ -165,7 +158,6 @@ QUERIES = {
         select count(*) as patients, count(*) filter (abs(n_age-age) < 1) as same_age, count(*) filter (lower(n_sex)=lower(gender)) as same_gender from n join c using (case_id)""",
     ),
     "a8_edge_report": (edge_report, "select relation, count(*) as edges, count(distinct case_id) as cases, round(100.0::double*count(*)/(select count(*) from v2_edges_gemini),4) as share from v2_edges_gemini group by relation"),
-    "a17_adjacency": (adjacency, "select relation, cast(sum(len(regexp_extract_all(sentence,'(renal|hepatic|gastric) (cyst|abscess|sarcoma)',0,'i'))) as bigint) as pairs, count(*) as edges from v2_edges_gemini where sentence is not null group by relation"),
     "g15_patient_nodes": (patient_nodes, f"with {_LATEST} select 'P:' || case_id as node_id, 'Patient' as type, concat_ws('; ', 'age=' || cast(trunc(case when isnan(age) then 0 else age end) as integer), 'gender=' || gender) as attributes from c"),
     "g20_numeric_edges": (numeric_edges, "select row_id, relation, cast(regexp_extract(attributes,'([0-9]+(?:[.][0-9]+)?)',1) as double) as number from v2_edges_gemini where regexp_matches(attributes,'[0-9]')"),
     "s4_substitute": (substituted, f"with s as (select distinct sentence from v2_edges_gemini where sentence is not null), c as (select sentence, {_CHANGED} as changed from s) select * from c where sentence <> changed"),

@@ -128,8 +128,10 @@ def plain_regex(pattern: str) -> str:
 
 def apart(text: str) -> str:
     """A text with a mark between letters and digits, so that a unit before a digit ends
-    a word."""
-    return f"regexp_replace({text}, '([A-WYZa-wyz])([0-9])', '\\1' || chr(1) || '\\2', 'g')"
+    a word, and before the last digit of a ratio whose unit the patterns do not know,
+    where an engine with look-ahead gives up that digit."""
+    split = f"regexp_replace({text}, '([A-WYZa-wyz])([0-9])', '\\1' || chr(1) || '\\2', 'g')"
+    return f"regexp_replace({split}, '(/[0-9]*[0-9])([0-9]k)', '\\1' || chr(1) || '\\2', 'g')"
 
 
 _RULE_MARKS = r"regexp_replace(regexp_replace(regexp_replace(case_text, '\b([Ff]ig|[Dd]r|[Aa]rt)[.](\s)', '\1' || chr(2) || '\2', 'g'), '\b([Ff]ig|[Dd]r|[Aa]rt)[!](\s)', '\1' || chr(3) || '\2', 'g'), '\b([Ff]ig|[Dd]r|[Aa]rt)[?](\s)', '\1' || chr(4) || '\2', 'g')"
