@@ -436,3 +436,53 @@ def test_hidden_spans(spark):
     share = [df.where(L.hidden([F.col("k")], 0.3, seed)).count() / 2000 for seed in (1, 2)]
     assert all(abs(x - 0.3) < 0.05 for x in share) and df.where(L.hidden([F.col("k")], 0.0, 1)).count() == 0 and df.where(L.hidden([F.col("k")], 1.0, 1)).count() == 2000
     assert df.where(L.hidden([F.col("k")], 0.3, 1)).orderBy("k").collect() == df.repartition(3).where(L.hidden([F.col("k")], 0.3, 1)).orderBy("k").collect()
+
+
+def test_named_dictionaries(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Termo,Preferred Name\nMI,Myocardial infarction\nCT,Scan\n,empty\n")
+    (tmp_path / "b.json").write_text('[{"synonym": "CT", "canonical": "Computed tomography (X-ray)"}, {"synonym": "EKG", "canonical": null}]')
+    (tmp_path / "c.csv").write_text("x,y\n1,2\n")
+    found, skipped = readers.read_named_dictionaries(spark, [str(tmp_path / f) for f in ("a.csv", "b.json", "c.csv", "none.csv")])
+    assert {tuple(r) for r in found.collect()} == {("MI", "myocardial_infarction"), ("CT", "computed_tomography_x_ray")}
+    assert [p.rsplit("/", 1)[1] for p in skipped] == ["c.csv", "none.csv"]
+    assert readers.read_named_dictionaries(spark, [])[0].count() == 0
+
+
+def test_lexicon_module_and_graph_sinks(spark, tmp_path):
+    import json
+
+    terms = spark.createDataFrame([("b", "X"), ("a", "X"), ("a", "X"), ("it's", "Y"), (None, "Y")], "term string, category string")
+    sinks.write_lexicon(terms, str(tmp_path / "l.json"))
+    assert json.loads((tmp_path / "l.json").read_text()) == ["a", "b", "it's"]
+    sinks.write_category_module(terms, str(tmp_path / "m.py"))
+    names = {}
+    exec((tmp_path / "m.py").read_text(), names)
+    assert names["ENTITY_CATEGORIES"] == {"X": {"a", "b"}, "Y": {"it's"}}
+    with pytest.raises(ValueError):
+        sinks.write_lexicon(terms, str(tmp_path / "n.json"), most=2)
+    nodes = spark.createDataFrame([("c_1", 0, "Patient", "p", ""), ("c_1", 1, "Exam", "ct", "")], "case_id string, node int, type string, label string, attributes string")
+    edges = spark.createDataFrame([("c_1", 0, 1, "HAS", "")], "case_id string, from_node int, to_node int, relation string, attributes string")
+    sinks.write_case_graphs(nodes, edges, str(tmp_path / "n"), str(tmp_path / "e"))
+    row = spark.read.option("header", True).csv(str(tmp_path / "e")).first()
+    assert (row.source_id, row.target_id) == ("c_1:N0", "c_1:N1")
+    n = spark.createDataFrame([("P", "Patient", "p"), ("E", "Exam", "ct"), ("Z", "Exam", "z")], "node_id string, type string, label string")
+    e = spark.createDataFrame([("P", "E", "HAS")], "source_id string, target_id string, relation string")
+    assert sinks.mermaid_text(*sinks.hub_subgraph(n, e, "E"), "TD", rhombus=["Exam"]) == 'graph TD\nE{"ct"}\nP -->|HAS| E\nP(("p"))'
+
+
+def test_reconstructed_tokens(spark):
+    s = sentences(spark, "He had chest. Pain was absent. CT; scan and kidney cysts", "The CT scan", None)
+    words = spark.createDataFrame([("chest pain",), ("ct scan",), ("kidney cyst",)], "key string")
+    got = {r.sent_no: r.tokens for r in M.reconstruct_tokens(s, ["case_id", "sent_no"], "sentence", words).collect()}
+    assert got[1] == ["He", "had", "chest", ".", "Pain", "was", "absent", ".", "CT [computed tomography]", ";", "scan", "and", "kidney cysts"]
+    assert got[2] == ["The", "CT [computed tomography]", "scan"]
+
+
+def test_command_line(spark, tmp_path):
+    from vitagraph.__main__ import main, parser
+
+    spark.createDataFrame([("CT scan",), (None,)], "label string").write.parquet(f"{tmp_path}/v4_nodes.parquet")
+    main(["lexicon", "--data", str(tmp_path), "--out", str(tmp_path / "l.json")])
+    assert (tmp_path / "l.json").read_text() == '[\n    "ct scan"\n]'
+    with pytest.raises(SystemExit):
+        parser().parse_args(["run"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CASES = "article_id string, case_id string, case_text string, age double, gender string"
@@ -53,3 +53,46 @@ def load_lexicon(spark: SparkSession, path: str, fallback: DataFrame) -> DataFra
         return spark.read.json(path)
     except AnalysisException:
         return fallback
+
+
+# ---- fixed values: names of the columns of a term and of its preferred form ----
+TERM_COLUMNS = ["term", "termo", "synonym", "sinonimo", "entry", "original", "label"]
+NAME_COLUMNS = ["preferredterm", "preferredname", "canonical", "canonico", "nomenclature", "nome", "name", "normalized"]
+# --------------------------------------------------------------------------------
+
+
+def plain_header(name: str) -> str:
+    """A column's name in lower case, letters and digits only."""
+    return "".join(c for c in name.lower() if c.isascii() and c.isalnum())
+
+
+def canonical_token(c: Column) -> Column:
+    """A preferred name as one token: no punctuation, blanks and hyphens to ``_``."""
+    bare = F.regexp_replace(F.trim(c), r"[^\p{L}\p{N}_\s-]", "")
+    return F.regexp_replace(F.lower(F.regexp_replace(bare, r"[\s-]+", "_")), "^_+|_+$", "")
+
+
+def read_named_dictionaries(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+    """(``term``, ``name``, longest terms first; files left out). Each CSV or JSON file is
+    read by its own header: the first column that is named like a term and the first
+    named like a preferred form. Of a term's several names the last in the last file
+    counts. A file without such columns, or that cannot be read, is left out."""
+    from pyspark.errors import PySparkException
+
+    found, skipped = None, []
+    for at, path in enumerate(paths):
+        try:
+            df = spark.read.option("multiLine", True).json(path) if path.endswith(".json") else spark.read.options(header=True, multiLine=True, escape='"').csv(path)
+            columns = {plain_header(c): c for c in reversed(df.columns)}
+            term, name = (next((columns[k] for k in known if k in columns), None) for known in (TERM_COLUMNS, NAME_COLUMNS))
+            if term is None or name is None:
+                raise ValueError("no column of terms and names")
+            rows = df.select(F.trim(F.col(f"`{term}`").cast("string")).alias("term"), canonical_token(F.col(f"`{name}`").cast("string")).alias("name"))
+            rows = rows.where("term <> '' and name <> ''").select("term", "name", F.lit(at).alias("file"), F.monotonically_increasing_id().alias("line"))
+            found = rows if found is None else found.unionByName(rows)
+        except (PySparkException, ValueError):
+            skipped.append(path)
+    if found is None:
+        return spark.createDataFrame([], "term string, name string"), skipped
+    last = found.groupBy("term").agg(F.max_by("name", F.struct("file", "line")).alias("name"))
+    return last.orderBy(F.desc(F.length("term")), "term"), skipped
