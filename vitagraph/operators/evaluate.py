@@ -73,6 +73,18 @@ def confusion(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return g.join(p, key, "full_outer").groupBy(F.coalesce("gl", F.lit("SPURIOUS")).alias("gold_label"), F.coalesce("pl", F.lit("MISSED")).alias("pred_label")).agg(F.count("*").alias("n"))
 
 
+def top_errors(gold: DataFrame, pred: DataFrame, k: int = 10) -> DataFrame:
+    """``kind`` (false positive or missed), ``label``, ``term``, ``n``: the ``k`` terms of
+    each kind that are most often wrong by exact span and label, ties by name."""
+    key = ["case_id", "start", "stop", "label"]
+    parts = []
+    for kind, these, those in (("false positive", pred, gold), ("missed", gold, pred)):
+        wrong = these.select(*key, "term").distinct().join(those.select(*key).distinct(), key, "left_anti")
+        counted = wrong.groupBy("label", "term").agg(F.count("*").alias("n"))
+        parts.append(counted.orderBy(F.desc("n"), "label", "term").limit(k).select(F.lit(kind).alias("kind"), "label", "term", "n"))
+    return parts[0].unionByName(parts[1])
+
+
 def repair_bio(df: DataFrame, keys: list[str], at: str, tag: str) -> DataFrame:
     """``keys``, ``at``, ``tag``: an I- tag without a like predecessor becomes B-."""
     from pyspark.sql import Window as W

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vitagraph.plans import case_queries, clinical_queries, edge_queries, general_problems, graph_queries, record_queries, survey_queries, text_queries, token_queries
+from vitagraph.plans import case_queries, clinical_queries, edge_queries, general_problems, graph_queries, record_queries, score_queries, survey_queries, text_queries, token_queries
 
 FLAGSHIP = "entity_types_texts"
-_WITH_ORACLE = {**text_queries.QUERIES, **graph_queries.QUERIES, **clinical_queries.QUERIES, **record_queries.QUERIES, **edge_queries.QUERIES, **token_queries.QUERIES, **case_queries.QUERIES, **survey_queries.QUERIES}
+_WITH_ORACLE = {**text_queries.QUERIES, **graph_queries.QUERIES, **clinical_queries.QUERIES, **record_queries.QUERIES, **edge_queries.QUERIES, **token_queries.QUERIES, **case_queries.QUERIES, **survey_queries.QUERIES, **score_queries.QUERIES}
 
 
 def queries() -> dict:
