@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from vitagraph.functions import text as T
+from vitagraph.operators import attributes as X
+from vitagraph.operators import graph as G
 from vitagraph.operators import matching as M
 from vitagraph.operators import rules
+from vitagraph.operators.edges import patient_runs
 from vitagraph.plans import clinical_queries as Q
 from vitagraph.plans.text_queries import _RULE, LEMMA_SQL, apart, plain_regex
 from vitagraph.sources.tables import latest_by, table
@@ -168,3 +171,65 @@ QUERIES = {
     ),
     "l2_strided_folds": (strided_folds, "select article_id, cast((row_number() over (order by md5(article_id || ':42'), article_id) - 1) % 5 as integer) as fold from (select distinct article_id from metadata where article_id is not null)"),
 }
+
+
+def cleaned(spark, sf_dir):
+    """Different attribute cells, fit for a serialized list."""
+    return table(spark, sf_dir, "v4_nodes").where("attributes is not null").select("attributes", X.clean_attribute(F.col("attributes")).alias("cleaned")).distinct()
+
+
+def tags(spark, sf_dir):
+    """Tags of the tagged sentences without their prefix."""
+    t = Q.tagged(spark, sf_dir).select(F.explode(F.split("tagged", " ")).alias("token")).where(T.is_tag(F.col("token")))
+    return t.groupBy(T.tag_name(F.col("token")).alias("label")).agg(F.count("*").alias("n"))
+
+
+def signs(spark, sf_dir):
+    """Tokens without a letter."""
+    t = table(spark, sf_dir, "cases").select(F.explode(T.word_tokens(F.col("case_text"))).alias("token")).where(~F.col("token").rlike("[A-Za-z]"))
+    return t.groupBy("token").agg(F.count("*").alias("n"))
+
+
+def population_nodes(spark, sf_dir):
+    """One node for each (term, type) of all cases, numbered in first-seen order."""
+    spans = Q._spans(spark, sf_dir, M.LEFT_TO_RIGHT).select("case_id", "sent_no", "start", F.col("term").alias("label"), F.col("label").alias("type"))
+    return G.number_nodes(spans, ["case_id", "sent_no", "start"])
+
+
+def patients(spark, sf_dir):
+    """Age and gender of each case's patient as its text tells them."""
+    rows = Q.case_sentences(spark, sf_dir).select(*_KEYS, "sentence", patient_runs(T.words(F.col("sentence"))).alias("runs"), T.word_starts(F.col("sentence")).alias("starts"))
+    found = rows.groupBy("case_id").agg(F.min(F.when(F.size("runs") > 0, F.struct("sent_no", "sentence", "runs", "starts"))).alias("m"))
+    text = latest_by(table(spark, sf_dir, "cases").where("case_text is not null"), "case_id", "case_text")
+    anchor = F.get("m.starts", F.get("m.runs", F.lit(0))["start"])
+    age = F.coalesce(X.nearest_age(F.col("m.sentence"), anchor), X.nearest_age(F.substring("case_text", 1, 300), F.lit(0)))
+    noun = F.get(F.filter(F.split(F.get("m.runs", F.lit(0))["term"], " "), lambda w: w.isin(X.MALE_WORDS + X.FEMALE_WORDS)), F.lit(0))
+    return text.join(found, "case_id", "left").select("case_id", age.alias("age"), X.gender_of(noun, F.col("case_text")).alias("gender"))
+
+
+_AGES = lambda source, keys: " union all ".join(
+    f"select {keys}, cast(length(array_to_string(p[1:i-1], '')) as integer) as pos0, regexp_extract(p[i], '(?i){Q._q(r)}', 1) as num, {u} as unit from (select {keys}, p, unnest(generate_series(2, len(p), 2)) as i from (select {keys}, string_split(regexp_replace(t, '({Q._q(r)})', chr(1) || '\\1' || chr(1), 'gi'), chr(1)) as p from {source}))"
+    for r, u in ((X.AGE_PATTERNS[0], f"lower(regexp_extract(p[i], '(?i){Q._q(X.AGE_PATTERNS[0])}', 2))"), (X.AGE_PATTERNS[1], "'year'"), (X.AGE_PATTERNS[2], "'year'"))
+)
+_YEARS = "round((case lower(num) " + " ".join(f"when '{w}' then {i}.0::double" for i, w in enumerate(X.NUMBER_WORDS, 1)) + " else try_cast(num as double) end) * (case unit when 'month' then 1.0::double/12 when 'week' then 1.0::double/52 when 'day' then 1.0::double/365 else 1.0::double end), 3)"
+_MEN, _WOMEN = ", ".join(f"'{w}'" for w in X.MALE_WORDS), ", ".join(f"'{w}'" for w in X.FEMALE_WORDS)
+_WHO = f"""with {Q._SP}, h as (select *, i - row_number() over (partition by case_id, sent_no order by i) as isle from tk where {Q._PATIENT}),
+ r as (select case_id, sent_no, min(i) as a, string_agg(lower(word), ' ' order by i) as term from h group by case_id, sent_no, isle), f as (select *, row_number() over (partition by case_id order by sent_no, a) as rn from r),
+ m as (select f.case_id, f.sent_no, f.a, f.term, regexp_replace(sentence, '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Thai}}\\p{{Devanagari}}\\p{{Cyrillic}}\\p{{Greek}}À-ÖØ-öø-ɏªºµ]', '_', 'g') as t, cast(length(array_to_string(string_split(regexp_replace(sentence, '([A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)*)', chr(1) || '\\1' || chr(1), 'g'), chr(1))[1:2*f.a+1], '')) as integer) as anchor
+   from f join n on n.case_id = f.case_id and n.sent_no = f.sent_no where rn = 1),
+ c as (select case_id, case_text, regexp_replace(substr(case_text, 1, 300), '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Thai}}\\p{{Devanagari}}\\p{{Cyrillic}}\\p{{Greek}}À-ÖØ-öø-ɏªºµ]', '_', 'g') as t, {Q._wordy('case_text')} as whole from ct where rn = 1),
+ g1 as (select case_id, first(y order by abs(pos0 - anchor), y) as age from (select case_id, pos0, anchor, {_YEARS} as y from ({_AGES("m", "case_id, anchor")})) group by case_id),
+ g2 as (select case_id, first(y order by pos0, y) as age from (select case_id, pos0, {_YEARS} as y from ({_AGES("c", "case_id")})) group by case_id),
+ k as (select c.case_id, list_filter(string_split(term, ' '), lambda w: w in ({_MEN}, {_WOMEN}))[1] as noun, len(regexp_extract_all(whole, '{X.MALE_PRONOUNS}', 0, 'i')) as he, len(regexp_extract_all(whole, '{X.FEMALE_PRONOUNS}', 0, 'i')) as she from c left join m using (case_id))
+ select k.case_id, coalesce(g1.age, g2.age) as age, case when noun in ({_MEN}) then 'male' when noun is not null then 'female' when he > she then 'male' when she > he then 'female' end as gender from k left join g1 using (case_id) left join g2 using (case_id)"""
+QUERIES |= {
+    "s12_clean_attributes": (cleaned, "select distinct attributes, replace(replace(replace(attributes, ';', ','), chr(13), ''), chr(10), ' ') as cleaned from v4_nodes where attributes is not null"),
+    "s14_signs": (signs, f"select token, count(*) as n from (select unnest(regexp_extract_all(case_text, '{T.WORD_TOKEN.replace(chr(39), chr(39) * 2)}')) as token from cases) where not regexp_matches(token, '[A-Za-z]') group by token"),
+    "s15_tags": (tags, "with z as (" + Q._TAGGED + "), t as (select unnest(string_split(tagged, ' ')) as token from z) select substr(token, 5) as label, count(*) as n from t where starts_with(token, 'TAG-') group by 1"),
+    "g12_population_nodes": (
+        population_nodes,
+        f"with sp as ({Q._greedy_sql('start, n desc').replace(Q._NUMBERED, Q._TEXTS)}), f as (select term as label, label as type, min({{'c': case_id, 's': sent_no, 'w': start}}) as a from sp group by 1, 2)"
+        " select case type " + " ".join(f"when '{k}' then '{v}'" for k, v in T.NODE_PREFIX.items()) + " else 'N' end || row_number() over (partition by type order by a, label) as node_id, type, label from f",
+    ),
+    "x12_patients": (patients, _WHO),
+}
