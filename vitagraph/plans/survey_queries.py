@@ -199,12 +199,14 @@ def population_nodes(spark, sf_dir):
 def patients(spark, sf_dir):
     """Age and gender of each case's patient as its text tells them."""
     rows = Q.case_sentences(spark, sf_dir).select(*_KEYS, "sentence", patient_runs(T.words(F.col("sentence"))).alias("runs"), T.word_starts(F.col("sentence")).alias("starts"))
-    found = rows.groupBy("case_id").agg(F.min(F.when(F.size("runs") > 0, F.struct("sent_no", "sentence", "runs", "starts"))).alias("m"))
+    found = rows.groupBy("case_id").agg(F.min(F.when(F.size("runs") > 0, F.struct("sent_no", "sentence", "runs", "starts"))).alias("m"), F.array_sort(F.collect_list(F.struct("sent_no", "sentence"))).alias("all"))
+    first = F.coalesce("m.sent_no", F.lit(1))
+    near = F.array_join(F.transform(F.filter("all", lambda x: (x["sent_no"] >= first) & (x["sent_no"] <= first + 1)), lambda x: x["sentence"]), " ")
     text = latest_by(table(spark, sf_dir, "cases").where("case_text is not null"), "case_id", "case_text")
     anchor = F.get("m.starts", F.get("m.runs", F.lit(0))["start"])
     age = F.coalesce(X.nearest_age(F.col("m.sentence"), anchor), X.nearest_age(F.substring("case_text", 1, 300), F.lit(0)))
     noun = F.get(F.filter(F.split(F.get("m.runs", F.lit(0))["term"], " "), lambda w: w.isin(X.MALE_WORDS + X.FEMALE_WORDS)), F.lit(0))
-    return text.join(found, "case_id", "left").select("case_id", age.alias("age"), X.gender_of(noun, F.col("case_text")).alias("gender"))
+    return text.join(found, "case_id", "left").select("case_id", age.alias("age"), X.gender_of(noun, F.coalesce(near, F.lit("")), F.col("case_text")).alias("gender"))
 
 
 _AGES = lambda source, keys: " union all ".join(
@@ -220,8 +222,10 @@ _WHO = f"""with {Q._SP}, h as (select *, i - row_number() over (partition by cas
  c as (select case_id, case_text, regexp_replace(substr(case_text, 1, 300), '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Thai}}\\p{{Devanagari}}\\p{{Cyrillic}}\\p{{Greek}}À-ÖØ-öø-ɏªºµ]', '_', 'g') as t, {Q._wordy('case_text')} as whole from ct where rn = 1),
  g1 as (select case_id, first(y order by abs(pos0 - anchor), y) as age from (select case_id, pos0, anchor, {_YEARS} as y from ({_AGES("m", "case_id, anchor")})) group by case_id),
  g2 as (select case_id, first(y order by pos0, y) as age from (select case_id, pos0, {_YEARS} as y from ({_AGES("c", "case_id")})) group by case_id),
- k as (select c.case_id, list_filter(string_split(term, ' '), lambda w: w in ({_MEN}, {_WOMEN}))[1] as noun, len(regexp_extract_all(whole, '{X.MALE_PRONOUNS}', 0, 'i')) as he, len(regexp_extract_all(whole, '{X.FEMALE_PRONOUNS}', 0, 'i')) as she from c left join m using (case_id))
- select k.case_id, coalesce(g1.age, g2.age) as age, case when noun in ({_MEN}) then 'male' when noun is not null then 'female' when he > she then 'male' when she > he then 'female' end as gender from k left join g1 using (case_id) left join g2 using (case_id)"""
+ nx as (select n.case_id, string_agg(sentence, ' ' order by n.sent_no) as t from n left join m on m.case_id = n.case_id where n.sent_no between coalesce(m.sent_no, 1) and coalesce(m.sent_no, 1) + 1 group by 1),
+ np as (select case_id, len(regexp_extract_all({Q._wordy('t')}, '{X.MALE_PRONOUNS}', 0, 'i')) as nhe, len(regexp_extract_all({Q._wordy('t')}, '{X.FEMALE_PRONOUNS}', 0, 'i')) as nshe from nx),
+ k as (select c.case_id, coalesce(nhe, 0) as nhe, coalesce(nshe, 0) as nshe, list_filter(string_split(term, ' '), lambda w: w in ({_MEN}, {_WOMEN}))[1] as noun, len(regexp_extract_all(whole, '{X.MALE_PRONOUNS}', 0, 'i')) as he, len(regexp_extract_all(whole, '{X.FEMALE_PRONOUNS}', 0, 'i')) as she from c left join m using (case_id) left join np on np.case_id = c.case_id)
+ select k.case_id, coalesce(g1.age, g2.age) as age, case when noun in ({_MEN}) then 'male' when noun is not null then 'female' when nhe > nshe then 'male' when nshe > nhe then 'female' when he > she then 'male' when she > he then 'female' end as gender from k left join g1 using (case_id) left join g2 using (case_id)"""
 QUERIES |= {
     "s12_clean_attributes": (cleaned, "select distinct attributes, replace(replace(replace(attributes, ';', ','), chr(13), ''), chr(10), ' ') as cleaned from v4_nodes where attributes is not null"),
     "s14_signs": (signs, f"select token, count(*) as n from (select unnest(regexp_extract_all(case_text, '{T.WORD_TOKEN.replace(chr(39), chr(39) * 2)}')) as token from cases) where not regexp_matches(token, '[A-Za-z]') group by token"),
