@@ -486,3 +486,34 @@ def test_command_line(spark, tmp_path):
     assert (tmp_path / "l.json").read_text() == '[\n    "ct scan"\n]'
     with pytest.raises(SystemExit):
         parser().parse_args(["run"])
+
+
+def test_ranked(spark):
+    from vitagraph.sources.tables import ranked
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), f"x{k:03d}", 0) for k in rng.sample(range(300), 300)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges
+    try:
+        got = {(r.g, r.v): r.place for r in ranked(spark.createDataFrame(rows, "g string, v string, n_ int").drop("n_"), ["g"], ["v"], "place").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g in ("a", "b", None):
+        assert [got[g, v] for v in sorted(v for h, v in got if h == g)] == list(range(1, 1 + sum(h == g for h, _ in got)))
+    assert ranked(spark.createDataFrame([], "g string, v string"), ["g"], ["v"], "place").count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from vitagraph.sources import tables
+
+    for master, fails in (("spark://host:7077", True), ("local-cluster[2,1,1024]", True), ("local[2]", False)):
+        context = SimpleNamespace(master=master, applicationId=f"app-{master}", getCheckpointDir=lambda: None)
+        session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+        monkeypatch.setattr(tables.atexit, "register", lambda *a: None)
+        if fails:
+            with pytest.raises(ValueError):
+                tables.scratch_dir(session)
+        else:
+            assert tables.scratch_dir(session).endswith(f"vitagraph-app-{master}")

@@ -12,11 +12,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from vitagraph.functions import text as T
 from vitagraph.operators import learn as L
-from vitagraph.sources.tables import checkpointed
+from vitagraph.sources.tables import checkpointed, ranked
 
 #: Pairs that one model is fitted on, at most: a hash sample of the training pairs.
 MOST_PAIRS = 5_000
@@ -187,9 +186,8 @@ def group_folds(sizes: DataFrame, group: str, n: str, k: int = 5) -> DataFrame:
         for j, f in enumerate(turn):
             held[f] += size * (left // k + (j < left % k))
         plans.append((size, first, turn))
-    rank = F.row_number().over(W.partitionBy(n).orderBy(group)) - 1
     plan = sizes.sparkSession.createDataFrame(plans, f"`{n}` bigint, first_ array<int>, turn_ array<int>")
-    rows = sizes.select(group, F.col(n).cast("bigint").alias(n)).withColumn("r_", rank).join(plan, n)
+    rows = ranked(sizes.select(group, F.col(n).cast("bigint").alias(n)), [n], [group], "r_").withColumn("r_", (F.col("r_") - 1).cast("int")).join(plan, n)
     fold = F.when(F.col("r_") < F.size("first_"), F.get("first_", F.col("r_"))).otherwise(F.get("turn_", ((F.col("r_") - F.size("first_")) % k).cast("int")))
     return rows.select(group, fold.alias("fold"))
 

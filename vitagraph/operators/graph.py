@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from vitagraph.functions import text as T
 from vitagraph.operators import attributes, scope
 from vitagraph.operators.matching import LONGEST_FIRST, match_terms
+from vitagraph.sources.tables import ranked
 
 # ---- fixed values: types that may be linked, and their relations -------------
 VALID_PAIRS = [
@@ -103,5 +104,6 @@ def number_nodes(entities: DataFrame, order: list[str]) -> DataFrame:
     of entities with ``label``, ``type``: one node for each (lower label, type)."""
     first = entities.where("label is not null").groupBy(F.lower("label").alias("low"), "type").agg(F.min(F.struct(*order, "label")).alias("f"))
     prefix = F.create_map(*[F.lit(x) for p in T.NODE_PREFIX.items() for x in p])
-    rank = F.row_number().over(W.partitionBy("type").orderBy(*[f"f.{o}" for o in order], "low"))
-    return first.select(F.concat(F.coalesce(F.try_element_at(prefix, F.col("type")), F.lit("N")), rank).alias("node_id"), "type", F.col("f.label").alias("label"))
+    placed = first.select("type", "low", F.col("f.label").alias("label"), *[F.col(f"f.{o}").alias(f"o_{i}") for i, o in enumerate(order)])
+    found = ranked(placed, ["type"], [*[f"o_{i}" for i in range(len(order))], "low"], "rank")
+    return found.select(F.concat(F.coalesce(F.try_element_at(prefix, F.col("type")), F.lit("N")), F.col("rank").cast("string")).alias("node_id"), "type", "label")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vitagraph.functions import text as T
 from vitagraph.functions.stem import stem_words
+from vitagraph.sources.tables import ranked
 
 # ---- fixed values -------------------------------------------------------------
 UNIT_WORDS = ["mg", "mcg", "g", "kg", "ml", "l", "mmhg", "mmol", "iu", "cm", "mm", "bpm", "%"]
@@ -110,8 +111,4 @@ def feature_index(rows: DataFrame, names: str) -> DataFrame:
     """``name``, ``column``: the different feature names of training rows, numbered in
     their order; a name that a later row has and this table lacks is dropped by a join."""
     every = rows.select(F.explode(names).alias("name")).distinct()
-    numbered = every.repartitionByRange("name").sortWithinPartitions("name").select("name", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    numbered = numbered.withColumn("k", F.col("m") - F.col("p").cast("bigint") * (1 << 33))
-    sizes = numbered.groupBy("p").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy(F.col("a.p").alias("p")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))  # a row a partition
-    return numbered.join(F.broadcast(before), "p").select("name", (F.col("before") + F.col("k")).alias("column"))
+    return ranked(every, [], ["name"], "number").select("name", (F.col("number") - 1).alias("column"))

@@ -55,12 +55,33 @@ def sentence_entities(sentences: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.groupBy(*keys, "sentence").agg(F.array_sort(F.collect_list(ent)).alias("ents"))
 
 
+# ---- fixed values of the variant: sentences it skips, and words that tell of a symptom
+SKIPPED = ["non-contributory", "were normal"]
+TELLING = ["presented", "history", "pain", "complained", "had", "symptom"]
+# ------------------------------------------------------------------------------------
+
+
+def variant_edges(sentences: DataFrame, terms: DataFrame) -> DataFrame:
+    """:func:`rule_edges` of the stricter variant, with ``target_attributes``: sentences
+    that say nothing new are skipped, symptoms need a telling word in their sentence,
+    and a result's attributes are those of its node instead of the edge's."""
+    low = F.lower("sentence")
+    kept = sentences
+    for words in SKIPPED:
+        kept = kept.where(~F.contains(low, F.lit(words)))
+    told = kept.select("case_id", "sent_no", low.rlike("|".join(TELLING)).alias("told_"))
+    rows = rule_edges(kept, terms).join(told, ["case_id", "sent_no"]).where((F.col("rule") != "symptom") | F.col("told_")).drop("told_")
+    reveals = F.col("relation") == "REVEALS"
+    return rows.withColumn("target_attributes", F.when(reveals, F.col("attributes")).otherwise("")).withColumn("attributes", F.when(reveals, "").otherwise(F.col("attributes")))
+
+
 def rule_edges(sentences: DataFrame, terms: DataFrame) -> DataFrame:
     """Edges by the sentence rules: ``case_id``, ``sent_no``, ``rule``, ``source``,
     ``source_type``, ``target``, ``target_type``, ``relation``, ``attributes``.
 
     Symptoms: PRESENTS_WITH with the duration; pains LOCATED_IN the sentence's
-    anatomy. Medications: TAKES with the nearest dose. Exams: UNDERWENT_EXAM with the
+    anatomy. Medications: TAKES with the dose nearest to the drug, the first one where the
+    drug does not stand literally. Exams: UNDERWENT_EXAM with the
     timeline, REVEALS each result with its size, lab values and status, and results
     LOCATED_IN anatomy, once for each exam. Diseases: history or DIAGNOSED_WITH, and
     LOCATED_IN. Edges are a multiset: repeats are kept.
@@ -97,7 +118,7 @@ def rule_edges(sentences: DataFrame, terms: DataFrame) -> DataFrame:
         .when(low.rlike("suggesting|suspected"), "status=suspected; method=clinical/imaging").otherwise("status=confirmed")
     )
     known = F.when(~history, "DIAGNOSED_WITH").when(F.contains(low, F.lit("family")), "HAS_FAMILY_HISTORY").otherwise("HAS_PERSONAL_HISTORY")
-    nearest_dose = lambda m: F.coalesce(F.concat(F.lit("dosage="), _nearest(c("doses"), lambda d: F.abs(d["at"] - m["stop"]))["s"]["text"]), F.lit(""))
+    nearest_dose = lambda m: F.coalesce(F.concat(F.lit("dosage="), _nearest(c("doses"), lambda d: F.when(placed(m), F.abs(d["at"] - m["stop"])).otherwise(d["at"]))["s"]["text"]), F.lit(""))
     located = lambda rule, e, t, a: F.transform("anatomy", lambda x: edge(rule, e["term"], t, x["term"], "Anatomy", "LOCATED_IN", a))
     edges = F.concat(
         F.transform("symptom", lambda s: edge("symptom", me, "Patient", s["term"], "Symptom", "PRESENTS_WITH", attr("duration", "duration"))),

@@ -382,7 +382,7 @@ _RULES = f"""with sp as ({_greedy_sql("start, n desc").replace(_NUMBERED, _TEXTS
  lvn as (select lv.*, r.term, row_number() over (partition by lv.case_id, lv.sent_no, lv.i order by lv.pos0 - r.stop, r.pos0, r.start) as rn from lv join rs r on {_IN("r", "lv")} where r.pos0 >= 0 and r.stop <= lv.pos0),
  labs as (select r.case_id, r.sent_no, r.start, string_agg('value=' || regexp_extract(lvn.x, '(?i){_q(X.LAB)}', 1) || '; unit=' || regexp_extract(lvn.x, '(?i){_q(X.LAB)}', 2), '; ' order by lvn.i) as lab from rs r join lvn on {_IN("r", "lvn")} and lvn.rn = 1 and lvn.term = r.term where lvn.pos0 - r.stop < {rules.LAB_REACH} group by 1, 2, 3),
  ra as (select rs.*, concat_ws('; ', 'size=' || size, lab, case when contains(low, 'normal') and contains(rs.term, 'echotexture') then 'status=normal' end) as attributes from rs left join mine on {_IN("mine", "rs")} and mine.start = rs.start left join labs on {_IN("labs", "rs")} and labs.start = rs.start),
- dn as (select m.case_id, m.sent_no, m.start, ds.x, row_number() over (partition by m.case_id, m.sent_no, m.start order by abs(ds.pos0 - m.stop), ds.pos0) as rn from en m join ds on {_IN("m", "ds")} where m.label = 'Medication'),
+ dn as (select m.case_id, m.sent_no, m.start, ds.x, row_number() over (partition by m.case_id, m.sent_no, m.start order by case when m.pos0 >= 0 then abs(ds.pos0 - m.stop) else ds.pos0 end, ds.pos0) as rn from en m join ds on {_IN("m", "ds")} where m.label = 'Medication'),
  an as (select * from en where label = 'Anatomy'), ex as (select * from en where label = 'Exam'),
  di as (select *, contains(low, 'history') and (contains(low, 'medical') or contains(low, 'past')) as hist from en where label = 'Disease')
  select case_id, cast(sent_no as integer) as sent_no, rule, source, target, relation, attributes from (
@@ -398,6 +398,11 @@ _RULES = f"""with sp as ({_greedy_sql("start, n desc").replace(_NUMBERED, _TEXTS
 
 QUERIES = {
     "r4_rule_edges": (rule_edges, _RULES),
+    "r9_variant_edges": (
+        lambda s, d: rules.variant_edges(case_sentences(s, d), lexicon(s, d)).select("case_id", "sent_no", "rule", "source", "target", "relation", "attributes", "target_attributes"),
+        f"with r as ({_RULES}), {_TEXTS} select r.case_id, r.sent_no, rule, source, target, relation, case when relation = 'REVEALS' then '' else attributes end as attributes, case when relation = 'REVEALS' then attributes else '' end as target_attributes from r join n on n.case_id = r.case_id and n.sent_no = r.sent_no"
+        f" where {' and '.join(f'not contains(lower(sentence), {w!r})' for w in rules.SKIPPED)} and (rule <> 'symptom' or regexp_matches(lower(sentence), '{'|'.join(rules.TELLING)}'))",
+    ),
     "l19_ngram_entities": (ngram_entities, None),
     "x5_sentence_attributes": (
         sentence_attributes,

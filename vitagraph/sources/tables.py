@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -53,6 +54,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove the intermediate tables that were written so far; frames that were built on
+    them can no longer be read."""
+    path = _SCRATCH.get(spark.sparkContext.applicationId)
+    if path:
+        _remove(spark.sparkContext, path)
+
+
+def ranked(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: each row's number, from 1, in the ``order`` of its group
+    (ties in any order). Rows are sorted by ranges and numbered by counts of each range,
+    so that a group of any size is divided among tasks; nulls are a group of their own."""
+    by = [*groups, *order]
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = checkpointed(rows.withColumn("p_", F.spark_partition_id()).withColumn("k_", F.monotonically_increasing_id()))
+    parts = rows.groupBy(*groups, "p_").agg(F.count("*").alias("n_"), F.min("k_").alias("first_"))
+    until = F.sum("n_").over(W.partitionBy(*groups).orderBy("p_").rowsBetween(W.unboundedPreceding, -1))
+    parts = parts.select(*[F.col(g).alias(f"{g}_g") for g in groups], F.col("p_").alias("p_g"), "first_", F.coalesce(until, F.lit(0)).alias("before_"))
+    same = F.col("p_") == F.col("p_g")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"{g}_g"))
+    return rows.join(parts, same).select(*df.columns, (F.col("before_") + F.col("k_") - F.col("first_") + 1).alias(name))
+
+
 def latest_by(df: DataFrame, key: str, *values: str) -> DataFrame:
     """The current row of each ``key``: greatest ``loaded_at``, ties by greatest
     ``row_id``. A partial aggregate, so a hot key is combined before the shuffle.
