@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Training sentences at most, taken in the order of a hash of their tokens.
-MOST_SENTENCES = 20_000
+MOST_SENTENCES = 10_000
 # ---- fixed values: words that start no entity, end the growth of one, or are cut from its end
 NO_START = frozenset(
     "a an the this that these those he she it they we i you his her its their our my who whom whose which what where when why how in on at of for with by from "

@@ -13,7 +13,7 @@ from vitagraph.operators import matching as M
 from vitagraph.operators import rules, tagger
 from vitagraph.operators import scope as R
 from vitagraph.plans.text_queries import LEMMA_SQL, SHAPE_SQL, apart, plain_regex
-from vitagraph.sources.tables import latest_by, table
+from vitagraph.sources.tables import checkpointed, latest_by, table
 
 
 def _q(s: str) -> str:
@@ -299,12 +299,17 @@ def rule_edges(spark, sf_dir):
 
 
 def ngram_entities(spark, sf_dir):
-    """Entities of all sentences by models of tagged ones."""
+    """Entities of all sentences, each by models of the tagged sentences of the other
+    half of the articles."""
     keys = ["case_id", "sent_no"]
-    lines = tagged(spark, sf_dir).select(*keys, F.split("tagged", " ").alias("tokens"))
+    half = F.pmod(F.xxhash64(F.regexp_replace("case_id", r"_[^_]*\z", "")), F.lit(2))
+    lines = checkpointed(tagged(spark, sf_dir).select(*keys, F.transform(F.split("tagged", " "), lambda t: F.when(t.startswith("TAG-"), t).otherwise(F.lower(t))).alias("tokens")))
     plain = case_sentences(spark, sf_dir).select(*keys, T.words(F.lower("sentence")).alias("tokens"))
-    fitted = tagger.fit_tagger(lines.select(F.transform("tokens", lambda t: F.when(t.startswith("TAG-"), t).otherwise(F.lower(t))).alias("tokens")), "tokens")
-    return tagger.find_entities(plain, keys, "tokens", fitted)
+    found = None
+    for h in (0, 1):
+        part = tagger.find_entities(plain.where(half == h), keys, "tokens", tagger.fit_tagger(lines.where(half != h).select("tokens"), "tokens"))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 _WORDS = "regexp_extract_all({0}, '[A-Za-z0-9]+(?:[-\'\'][A-Za-z0-9]+)*')"
