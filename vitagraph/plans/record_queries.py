@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitagraph.functions import text as T
@@ -26,12 +27,12 @@ def term_types(spark, sf_dir):
 
 
 def containment(spark, sf_dir):
-    """Words of each sentence, by their places in the text (range within the row)."""
+    """Words of each sentence, and the number of its first word in the text: a sentence's
+    words are cut in it, and its place is a running sum over the text's sentences."""
     c = table(spark, sf_dir, "cases").select("row_id", "case_text")
-    toks = T.offset_tokens(c, ["row_id"], "case_text")
-    sents = T.sentences_with_offsets(c, ["row_id"], "case_text").select("row_id", "sent_id", F.col("char_start").alias("s"), F.col("char_end").alias("e"))
-    inside = (F.col("char_start") >= F.col("s")) & (F.col("char_end") <= F.col("e"))
-    return toks.join(sents, "row_id").where(inside).groupBy("row_id", "sent_id").agg(F.count("*").alias("words"), F.min("tok_idx").alias("first_word"))
+    sents = T.sentences_with_offsets(c, ["row_id"], "case_text").select("row_id", "sent_id", F.size(T.words(F.col("sentence"))).cast("bigint").alias("words"))
+    before = W.partitionBy("row_id").orderBy("sent_id").rowsBetween(W.unboundedPreceding, -1)
+    return sents.withColumn("first_word", F.coalesce(F.sum("words").over(before), F.lit(0)).cast("int"))
 
 
 _CONTAIN = r"""with f as (select row_id, string_split(regexp_replace(regexp_replace(case_text, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), '\n+', chr(1), 'g'), chr(1)) as parts from cases where case_text is not null),
