@@ -72,10 +72,10 @@ def folds(spark, sf_dir):
 
 
 def model_scores(spark, sf_dir):
-    """Scores of predictions by models that have not seen the pair's article."""
+    """Scores of predictions by models that have not seen the pair's article (three folds)."""
     f = _featured(spark, sf_dir)
     sizes = f.groupBy("article_id").agg(F.count("*").alias("n"))
-    return P.class_scores(Y.out_of_fold(f, Y.group_folds(sizes, "article_id", "n"), "article_id"), "label", "pred_label")
+    return P.class_scores(Y.out_of_fold(f, Y.group_folds(sizes, "article_id", "n", 3), "article_id", 3), "label", "pred_label")
 
 
 def predicted_edges(spark, sf_dir):
