@@ -111,6 +111,20 @@ def training_labels(spark, sf_dir):
     return f.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("ambiguous") | (F.col("label") == "IGNORE")).alias("left_out"))
 
 
+def label_report(spark, sf_dir):
+    """``section``, ``name``, ``n``: words and how many a span covers, spans by label, and
+    spans of ambiguous terms by their candidates."""
+    d = checkpointed(full_dictionary(spark, sf_dir).where("label <> 'IGNORE'"))
+    lines = case_sentences(spark, sf_dir)
+    spans = checkpointed(M.match_stems(lines, _KEYS, "sentence", d.select("key", "label"), patient_runs))
+    section = lambda name, df: df.select(F.lit(name).alias("section"), "name", "n")
+    words = lines.agg(F.sum(F.size(T.words(F.col("sentence")))).cast("bigint").alias("n")).withColumn("name", F.lit("words"))
+    covered = spans.agg(F.sum(F.col("stop") - F.col("start")).cast("bigint").alias("n")).withColumn("name", F.lit("covered"))
+    labels = spans.groupBy(F.col("label").alias("name")).agg(F.count("*").alias("n"))
+    unsure = spans.join(d.where(F.size("candidates") > 1).select(F.col("key").alias("term"), "candidates"), "term").groupBy(F.array_join("candidates", "|").alias("name")).agg(F.count("*").alias("n"))
+    return section("total", words).unionByName(section("total", covered)).unionByName(section("label", labels)).unionByName(section("ambiguous", unsure))
+
+
 def vectorizer(spark, sf_dir):
     """Feature names of the tokens with their columns."""
     f = _tokens(spark, sf_dir).select(F.explode(N.token_features()).alias("f"))
@@ -171,6 +185,11 @@ QUERIES = {
         training_labels,
         f"with recursive {_FOUND.replace('{where}', 'true')}, x as (select case when label is null then 'O' when label = 'IGNORE' then 'IGNORE' else (case when start = i then 'B-' else 'I-' end) || label end as label, coalesce(len(candidates) > 1, false) as amb from own) select label, count(*) as n, count(*) filter (amb or label = 'IGNORE') as left_out from x group by label",
     ),
+    "a7_label_report": (
+        label_report,
+        "with recursive " + _FOUND.replace("{where}", "label <> 'IGNORE'") + """ select 'total' as section, 'words' as name, count(*) as n from tk union all select 'total', 'covered', cast(sum(k) as bigint) from (select stop - start as k from fs union all select stop - start from pr)
+        union all select 'label', label, count(*) from (select label from fs union all select label from pr) group by label union all select 'ambiguous', array_to_string(candidates, '|'), count(*) from fs where len(candidates) > 1 group by 2""",
+    ),
     "l8_feature_index": (vectorizer, f"with {_FEATURES} select feature as name, row_number() over (order by feature) - 1 as \"column\" from (select distinct feature from ft)"),
     "t7_word_tokens": (word_tokens, f"select token, count(*) as n from ({_ALL_TOKENS}) group by token"),
     "t10_processed_tokens": (
