@@ -63,7 +63,8 @@ def ngrams(words: Column, most: Column) -> Column:
     """``array<struct<start, n, key>>`` of all runs of 1 to ``most`` normalized words."""
     def runs(w: Column, n: Column) -> Column:
         starts = F.sequence(F.lit(0), F.size(w) - n)
-        return F.transform(starts, lambda i: F.struct(i.alias("start"), n.alias("n"), F.array_join(F.slice(w, i + 1, n), " ").alias("key")))
+        key = lambda i: F.when(n == 1, F.get(w, i)).otherwise(F.array_join(F.slice(w, i + 1, n), " "))
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), n.alias("n"), key(i).alias("key")))
 
     def lengths(w: Column) -> Column:
         longest = F.least(most, F.size(w))
@@ -105,7 +106,7 @@ def match_terms(texts: DataFrame, keys: list[str], text: str, terms: DataFrame,
     texts match nothing.
     """
     longest = terms.agg(F.coalesce(F.max(F.size(F.split("key", " "))), F.lit(0)).alias("most"))
-    normalized = F.transform(T.words(F.col(text)), T.normalize_phrase)
+    normalized = F.transform(T.words(F.col(text)), T.normalize_word)
     cand = (
         texts.withColumn("most_", longest.scalar()).select(*keys, F.explode(ngrams(normalized, F.col("most_"))).alias("g")).select(*keys, "g.start", "g.n", "g.key")
         .withColumn("h_", F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)))
