@@ -145,6 +145,20 @@ def test_overlaps_with_spread_changes(spark, length):
     assert len(want) > 50 and got == want
 
 
+def test_overlap_scan_moves_no_copies(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "SHARD_WORDS", 300)
+    monkeypatch.setattr(overlap, "BLOCK_WORDS", 300)
+    plans, write = [], overlap.checkpointed
+    monkeypatch.setattr(overlap, "checkpointed", lambda df: plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or write(df))
+    df = spark.createDataFrame(near_texts(random.Random(9), 30), "k string, t string, s string")
+    want = {tuple(r) for r in overlap.cross_split_pairs(df, "k", "t", "s").collect()}
+    scans = [p for c, p in plans if c == ["eval_class", "train_class"]]
+    assert want and len(scans) == 1 and "Exchange" not in scans[0]
+    # the same with the splits in a table of their own, and with texts that a task meets again
+    texts = df.select("k", "t").unionByName(df.select("k", "t")).coalesce(1)
+    assert {tuple(r) for r in overlap.cross_split_pairs(texts, "k", "t", "s", splits=df.select("k", "s")).collect()} == want
+
+
 def test_overlap_report(spark):
     rows = spark.createDataFrame([("a", "t", "train", "s1"), ("b", "t", "test", "s2"), ("c", "u", "test", "s2")], "k string, t string, s string, source string")
     found = overlap.cross_split_pairs(rows, "k", "t", "s")
