@@ -118,6 +118,16 @@ def test_the_word_lattice_decides():
     assert cut("ไอมาก ๆ ไม่พบไข้") == ["ไอมาก ๆ", "ไม่พบไข้"]
 
 
+def test_a_missing_vocabulary_is_an_error(monkeypatch, tmp_path):
+    assert sentences.vocabulary_words("") == []
+    monkeypatch.setattr(sentences, "VOCABULARY", str(tmp_path / "none.tiktoken"))
+    for text in ("「痛い。」ところが検査した。", "ไอมาก ไม่พบไข้"):
+        with pytest.raises(OSError):
+            sentences.sentence_spans(text)
+    monkeypatch.setattr(sentences, "VOCABULARY", "")
+    assert len(sentences.sentence_spans("ไอมาก ไม่พบไข้")) == 2
+
+
 def test_sentences_need_a_word():
     cut = lambda t: [t[a:b] for a, b in sentences.sentence_spans(t)]
     assert cut("He left! !! ? She came.") == ["He left! !! ?", "She came."]

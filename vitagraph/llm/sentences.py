@@ -72,7 +72,8 @@ _CLOSERS = frozenset("a.m p.m etc ltd co inc corp".split())
 _CUT_QUOTE, _NEVER = 6.0, 50.0
 
 
-#: Where the public vocabulary lies (a parameter); without it the words above are all.
+#: Where the public vocabulary lies (a parameter); with an empty one the words above are
+#: all. Every executor needs the file: one that lacks it fails.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
@@ -101,12 +102,12 @@ class WordLattice:
 
 
 def vocabulary_words(path: str) -> list[str]:
-    """Words of two and more characters of the spaceless scripts in a vocabulary file."""
-    try:
-        with open(path, "rb") as file:
-            pieces = [base64.b64decode(line.split()[0]) for line in file if line.strip()]
-    except OSError:
+    """Words of two and more characters of the spaceless scripts in a vocabulary file; none
+    without a path. A file that can't be read is an error: sentences would differ."""
+    if not path:
         return []
+    with open(path, "rb") as file:
+        pieces = [base64.b64decode(line.split()[0]) for line in file if line.strip()]
     words = (p.decode("utf-8", "ignore").strip() for p in pieces)
     return [w for w in words if len(w) > 1 and _SPACELESS_WORD.fullmatch(w)]
 
