@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vitagraph.functions import stem as S
 from vitagraph.functions import text as T
+from vitagraph.operators.edges import patient_runs
 from vitagraph.operators import analytics as A
 from vitagraph.operators import attributes as X
 from vitagraph.operators import evaluate as E
@@ -517,3 +518,14 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
                 tables.scratch_dir(session)
         else:
             assert tables.scratch_dir(session).endswith(f"vitagraph-app-{master}")
+
+
+def test_stems_are_matched_on_known_words_only(spark):
+    texts = spark.createDataFrame([("a", "chest pains"), ("b", "chest of pains"), ("c", "the chest patient pains"), ("d", "pain, chest pain")], "k string, s string")
+    terms = spark.createDataFrame([("chest pain", "Symptom"), ("pain", "Result")], "key string, label string")
+    found = M.match_stems(texts, ["k"], "s", terms, patient_runs)
+    assert {(r.k, r.start, r.stop, r.label) for r in found.collect()} == {
+        ("a", 0, 2, "Symptom"), ("b", 2, 3, "Result"), ("c", 2, 3, "Patient"), ("c", 3, 4, "Result"), ("d", 0, 1, "Result"), ("d", 1, 3, "Symptom"),
+    }
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "ement|ance" not in plan  # the stems are made once, apart from the matching

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vitagraph.functions import text as T
 from vitagraph.functions.stem import stem_words
+from vitagraph.sources.tables import checkpointed
 
 # ---- fixed values ----------------------------------------------------------
 #: Types of an ambiguous term: the first of these is its label.
@@ -195,15 +196,23 @@ def match_stems(texts: DataFrame, keys: list[str], text: str, terms: DataFrame,
     before them the runs that ``first`` (words -> array of spans) takes. terms: ``key``
     (stems joined by blanks), ``label``, one row a key."""
     words = texts.select(*keys, T.words(F.col(text)).alias("w")).where(F.size("w") > 0)
-    stems = stem_words(words.select(F.explode("w").alias("word")), "word")
-    tokens = words.select(*keys, F.posexplode("w").alias("i_", "word")).join(stems, "word")
-    listed = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i_", "stem", "word"))).alias("t"))
-    rows = listed.select(*keys, F.transform("t", lambda x: x["stem"]).alias("s"), first(F.transform("t", lambda x: x["word"])).alias("taken"))
+    taken = words.select(*keys, "w", first(F.col("w")).alias("taken"))
+    # only words whose stem stands in a term, outside the runs taken before, can match
+    known = terms.select(F.explode(F.split("key", " ")).alias("stem")).distinct()
+    stems = checkpointed(stem_words(words.select(F.explode("w").alias("word")), "word")).join(known, "stem", "left_semi").select("word", "stem")
+    tokens = (
+        taken.select(*keys, "taken", F.posexplode("w").alias("i_", "word")).where(~F.exists("taken", lambda o: (o["start"] <= F.col("i_")) & (F.col("i_") < o["stop"]))).select(*keys, "i_", "word")
+        .withColumn("h_", F.pmod(F.xxhash64("word"), F.lit(FILTER_BITS)))
+        .where(F.getbit(F.get(key_filter(stems.select(F.col("word").alias("key"))).scalar(), F.expr("int(h_ / 64)")), F.expr("int(h_ % 64)")) == 1).drop("h_")
+        .join(stems, "word")
+    )
+    listed = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i_", "stem"))).alias("t"))
     longest = terms.agg(F.coalesce(F.max(F.size(F.split("key", " "))), F.lit(0)).alias("most"))
+    place = lambda at: F.get("t", at)["i_"]
     cand = (
-        rows.withColumn("most_", longest.scalar()).select(*keys, "taken", F.explode(ngrams(F.col("s"), F.col("most_"))).alias("g"))
-        .where(~F.exists("taken", lambda o: (o["start"] < F.col("g.start") + F.col("g.n")) & (F.col("g.start") < o["stop"])))
-        .select(*keys, "g.start", (F.col("g.start") + F.col("g.n")).alias("stop"), F.col("g.key").alias("key"))
+        listed.withColumn("most_", longest.scalar()).select(*keys, "t", F.explode(ngrams(F.transform("t", lambda x: x["stem"]), F.col("most_"))).alias("g"))
+        .select(*keys, place(F.col("g.start")).alias("start"), (place(F.col("g.start") + F.col("g.n") - 1) + 1).alias("stop"), F.col("g.n").alias("n_"), F.col("g.key").alias("key"))
+        .where(F.col("stop") - F.col("start") == F.col("n_")).drop("n_")
         .withColumn("h_", F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)))
         .where(F.getbit(F.get(key_filter(terms).scalar(), F.expr("int(h_ / 64)")), F.expr("int(h_ % 64)")) == 1).drop("h_")
         .join(terms.select("key", "label"), "key")
@@ -211,7 +220,7 @@ def match_stems(texts: DataFrame, keys: list[str], text: str, terms: DataFrame,
     span = F.struct(F.col("start").alias("a"), (-F.col("stop")).alias("b"), "start", "stop", F.col("key").alias("term"), "label")
     found = cand.groupBy(*keys).agg(F.array_sort(F.collect_list(span)).alias("c"))
     chosen = found.select(*keys, F.explode(greedy(F.col("c"), F.col("c"))).alias("x")).select(*keys, "x.start", "x.stop", "x.term", "x.label")
-    return chosen.unionByName(rows.select(*keys, F.inline("taken")))
+    return chosen.unionByName(taken.select(*keys, F.inline("taken")))
 
 
 def mesh_categories(tree: Column, acts: Column) -> Column:
