@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from vitagraph.llm import groups, overlap, pairs, terms
@@ -159,6 +160,21 @@ def test_overlap_scan_moves_no_copies(spark, monkeypatch):
     assert {tuple(r) for r in overlap.cross_split_pairs(texts, "k", "t", "s", splits=df.select("k", "s")).collect()} == want
 
 
+def test_folded_parities_lose_nothing_and_tell_most_apart():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 3_000, rng.integers(100, 141)).astype(np.int32) for _ in range(400)]
+    near = [np.where(rng.random(len(t)) < 0.15, rng.integers(0, 3_000, len(t)), t).astype(np.int32) for t in texts]
+    index = overlap.ParityFilter(texts, 180)
+    assert 64 * len(index.first) < 180 + 64  # a bit for each word is compared first
+    first = 0
+    for i, (t, p) in enumerate(zip(near, index.parities(near))):
+        if 5 * plain_common(texts[i].tolist(), t.tolist()) >= 4 * len(t):
+            assert i in index.candidates(len(t), p)
+        lo, hi, most = index._fitting(len(t))
+        first += (np.bitwise_count(index.first[:, lo:hi] ^ index.folded(p)[:, None]).sum(axis=0) <= most).sum()
+    assert first < 0.05 * 400 * 400
+
+
 def test_overlap_report(spark):
     rows = spark.createDataFrame([("a", "t", "train", "s1"), ("b", "t", "test", "s2"), ("c", "u", "test", "s2")], "k string, t string, s string, source string")
     found = overlap.cross_split_pairs(rows, "k", "t", "s")
