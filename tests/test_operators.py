@@ -198,6 +198,16 @@ def test_anchor_and_quantities(spark):
     assert [(r.value, r.edge, r.n) for r in G.bind_quantities(q, e, ["k"]).collect()] == [("5", "y", 1)]
 
 
+def test_match_modes_meet_once(spark):
+    row = "case_id string, start int, stop int, label string"
+    gold = spark.createDataFrame([("a", 0, 2, "X"), ("a", 0, 2, "X"), ("a", 4, 5, "Y"), (None, 0, 1, "X"), ("b", None, 1, "X")], row)
+    pred = spark.createDataFrame([("a", 1, 3, "X"), ("a", 4, 5, "Z"), (None, 0, 1, "X"), ("b", None, 1, "X")], row)
+    found = E.match_modes(gold, pred)
+    assert {r["mode"]: (r.hit_pred, r.hit_gold, r.recall) for r in found.collect()} == {"strict": (0, 0, 0.0), "start_tag": (0, 0, 0.0), "start": (1, 1, 0.25), "overlap": (1, 1, 0.25)}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r)[1:3] for r in E.match_modes(gold.limit(0), pred.limit(0)).collect()] == [(0, 0)] * 4
+
+
 def test_scores(spark):
     cols = "case_id string, start int, stop int, label string"
     gold = spark.createDataFrame([("c", 0, 2, "A"), ("c", 3, 4, "B"), ("c", 5, 6, "B"), ("c", 5, 6, "B")], cols)

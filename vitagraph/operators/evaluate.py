@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,21 +49,24 @@ def averages(per_label: DataFrame) -> DataFrame:
 def match_modes(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """``mode``, ``hit_pred``, ``hit_gold``, precision, recall, f1 in four modes: the
     whole span and label, start and label, start, and overlap with the label."""
-    g, p = gold.select("case_id", "start", "stop", "label").distinct(), pred.select("case_id", "start", "stop", "label").distinct()
-    sizes = g.agg(F.count("*").alias("n_gold")).join(F.broadcast(p.agg(F.count("*").alias("n_pred"))))
-    parts = []
-    for mode, key in (("strict", ["case_id", "start", "stop", "label"]), ("start_tag", ["case_id", "start", "label"]), ("start", ["case_id", "start"])):
-        hp = p.join(g.select(*key).distinct(), key, "left_semi").agg(F.count("*").alias("hit_pred"))
-        hg = g.join(p.select(*key).distinct(), key, "left_semi").agg(F.count("*").alias("hit_gold"))
-        parts.append(hp.join(F.broadcast(hg)).select(F.lit(mode).alias("mode"), "hit_pred", "hit_gold"))
-    over = lambda a, b: (F.col("a.case_id") == F.col("b.case_id")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.start") < F.col("b.stop")) & (F.col("b.start") < F.col("a.stop"))
-    hp = p.alias("a").join(g.alias("b"), over("a", "b"), "left_semi").agg(F.count("*").alias("hit_pred"))
-    hg = g.alias("a").join(p.alias("b"), over("a", "b"), "left_semi").agg(F.count("*").alias("hit_gold"))
-    parts.append(hp.join(F.broadcast(hg)).select(F.lit("overlap").alias("mode"), "hit_pred", "hit_gold"))
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.unionByName(x)
-    scored = every.join(F.broadcast(sizes)).withColumn("precision", ratio(F.col("hit_pred"), F.col("n_pred"))).withColumn("recall", ratio(F.col("hit_gold"), F.col("n_gold")))
+    span = F.struct("start", "stop", "label")
+    # both sides of a case meet once, whatever the modes
+    sides = gold.select("case_id", span.alias("g")).unionByName(pred.select("case_id", span.alias("p")), allowMissingColumns=True)
+    both = sides.groupBy("case_id").agg(F.collect_set("g").alias("g"), F.collect_set("p").alias("p"))
+    same = lambda *names: lambda a, b: reduce(and_, [a[n] == b[n] for n in names])
+    meets = {
+        "strict": same("start", "stop", "label"), "start_tag": same("start", "label"), "start": same("start"),
+        "overlap": lambda a, b: (a["label"] == b["label"]) & (a["start"] < b["stop"]) & (b["start"] < a["stop"]),
+    }
+
+    def hits(these: str, those: str, meet) -> Column:
+        n = F.size(F.filter(these, lambda a: F.exists(those, lambda b: meet(a, b))))
+        return F.coalesce(F.sum(F.when(F.col("case_id").isNotNull(), n)), F.lit(0))
+
+    size = lambda side: F.coalesce(F.sum(F.size(side)), F.lit(0))
+    counts = [F.struct(F.lit(mode).alias("mode"), hits("p", "g", m).alias("hit_pred"), hits("g", "p", m).alias("hit_gold"), size("p").alias("n_pred"), size("g").alias("n_gold")) for mode, m in meets.items()]
+    every = both.agg(F.array(*counts).alias("m")).select(F.inline("m"))
+    scored = every.withColumn("precision", ratio(F.col("hit_pred"), F.col("n_pred"))).withColumn("recall", ratio(F.col("hit_gold"), F.col("n_gold")))
     return scored.withColumn("f1", _f1(F.col("precision"), F.col("recall"))).select("mode", "hit_pred", "hit_gold", "precision", "recall", "f1")
 
 
